@@ -5,7 +5,7 @@ Method: one-permutation hashing with optimal densification, banded buckets, star
 1. Each text in its consistent form (problem 3) becomes a bag of word hashes, lower case. Equal bags are one class; only
    classes go on, so exact copies, however many, cost one row.
 2. Words in more than `frequent` of all texts (a count over all texts) say nothing about likeness; the sketch leaves them
-   out, the exact check doesn't. A text that would keep fewer than `MIN_FEATURES` words keeps them all.
+   out, the exact check doesn't. A text that keeps fewer than MIN_FEATURES words has a second sketch, of all its words.
 3. The sketch hashes each (word, how often so far) once; the top of the hash names one of BINS bins, which keep their
    minimum; an empty bin borrows from a bin drawn by a hash of the bin and the try (optimal densification).
 4. Bands of ROWS bins are buckets. In a bucket, edges lead from one hub to each other member, so a bucket of m gives m-1
@@ -28,6 +28,7 @@ from . import codepoints as cp
 from . import lookalikes
 
 BANDS, ROWS = 20, 4
+ROWS_ALL = 6
 BINS = 128
 LOOSE = 0.64
 MIN_FEATURES = 8
@@ -131,21 +132,24 @@ def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield out()
 
 
-def sketch(words: np.ndarray, offs: np.ndarray, frequent: np.ndarray, bins: int = BINS) -> np.ndarray:
-    """One-permutation sketch with optimal densification: rows x bins of 64-bit values; every row has a word."""
+def rare_words(words: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    if not len(frequent):
+        return np.ones(len(words), bool)
+    at = np.searchsorted(frequent, words)
+    at[at == len(frequent)] = 0
+    return frequent[at] != words
+
+
+def sketch(words: np.ndarray, offs: np.ndarray, use: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """One-permutation sketch with optimal densification of the words in use: rows x bins of 64-bit values.
+
+    A row without a word in use comes out as zeros.
+    """
     n = len(offs) - 1
     row = cp.row_ids(offs)
     new = np.concatenate([[True], (words[1:] != words[:-1]) | (row[1:] != row[:-1])]) if len(words) else np.empty(0, bool)
     idx = np.arange(len(words))
     occ = idx - np.maximum.accumulate(np.where(new, idx, 0)) if len(words) else idx
-    if len(frequent):
-        at = np.searchsorted(frequent, words)
-        at[at == len(frequent)] = 0
-        rare = frequent[at] != words
-        few = np.bincount(row[rare], minlength=n) < MIN_FEATURES
-        use = rare | few[row]
-    else:
-        use = np.ones(len(words), bool)
     row, feat = row[use], cp.mix64((words[use].astype(U64) << U64(20)) + occ[use].astype(U64) + U64(0x2545F491))
     shift = U64(64 - int(bins).bit_length() + 1)
     cell = row.astype(np.int64) * bins + (feat >> shift).astype(np.int64)
@@ -171,11 +175,11 @@ def sketch(words: np.ndarray, offs: np.ndarray, frequent: np.ndarray, bins: int
     return out
 
 
-def band_hashes(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+def band_hashes(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS, seed: int = 0) -> np.ndarray:
     n = len(sig)
     out = np.empty((n, bands), U64)
     for b in range(bands):
-        h = np.full(n, b + 1, U64)
+        h = np.full(n, seed + b + 1, U64)
         for k in range(rows):
             h = cp.mix64(h + sig[:, b * rows + k])
         out[:, b] = h
@@ -189,11 +193,22 @@ def _buckets(frequent: np.ndarray):
             n = len(offs) - 1
             if not n:
                 continue
-            h = band_hashes(sketch(words, offs, frequent))
+            row, rare = cp.row_ids(offs), rare_words(words, frequent)
+            left = np.bincount(row[rare], minlength=n)
             group = b.column("grp").to_numpy(zero_copy_only=False).astype(np.int64).view(U64)
-            h = cp.mix64(h + group[:, None])
             bag = b.column("bag").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(np.repeat(bag, BANDS))], names=["bucket", "node"])
+            some, few = left > 0, left < MIN_FEATURES
+            h = [band_hashes(sketch(words, offs, rare))[some]]
+            who = [np.flatnonzero(some)]
+            if few.any():
+                take = np.flatnonzero(few)
+                o = np.concatenate([[0], np.cumsum(np.diff(offs)[take])])
+                w = words[few[row]]
+                h.append(band_hashes(sketch(w, o, np.ones(len(w), bool)), rows=ROWS_ALL, seed=1000))
+                who.append(take)
+            who, h = np.concatenate(who), np.concatenate(h)
+            h = cp.mix64(h + group[who][:, None])
+            yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(np.repeat(bag[who], BANDS))], names=["bucket", "node"])
 
     return run
 
