@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lookalikes, neardup
+from ..sources.tables import table
+from . import lookalikes, neardup, overlap, truncation
 from .neardup import corpus_texts
 
 
@@ -15,6 +16,23 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.pairs(corpus_texts(spark, d, "raw_records", "documents"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    texts = corpus_texts(spark, d, "raw_records", "documents")
+    return truncation.flag(texts, "tab", "record_key").where("cut").select("tab", "record_key").distinct()
+
+
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    """(tab, source, texts, cut, rate, marked): marked is the share of texts with any sentence end, the source's baseline."""
+    out = None
+    for t, key in (("raw_records", "record_id"), ("documents", "doc_id")):
+        rows = table(spark, d, t).where("text is not null").select(F.lit(t).alias("tab"), truncation.source_name(F.col("source")).alias("source"), F.col("text").rlike(r"[.!?؟]").alias("has_mark"), "text")
+        out = rows if out is None else out.unionByName(rows)
+    flags = truncation.flag(out, "tab", "source", "has_mark")
+    return flags.groupBy("tab", "source").agg(
+        F.count(F.lit(1)).alias("texts"), F.count_if("cut").alias("cut"), F.round(F.avg(F.col("cut").cast("double")), 6).alias("rate"), F.round(F.avg(F.col("has_mark").cast("double")), 6).alias("marked")
+    )
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     texts = corpus_texts(spark, d, "wikipedia", "raw_records", "documents")
     return lookalikes.normalise(texts, "tab", "record_key").where("changed").select("tab", "record_key").distinct()
@@ -25,6 +43,14 @@ def p3_text(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.normalise(texts, "tab", "record_key")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.found(table(spark, d, "window_samples"))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.report(table(spark, d, "window_samples"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
