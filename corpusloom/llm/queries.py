@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import lookalikes, neardup, overlap, truncation
+from . import bpe, lookalikes, neardup, overlap, truncation
 from .neardup import corpus_texts
 
 
@@ -51,6 +51,10 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.report(table(spark, d, "window_samples"))
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
