@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bpe, lookalikes, neardup, overlap, truncation
+from . import bpe, groupsplit, lookalikes, neardup, overlap, truncation
 from .neardup import corpus_texts
 
 
@@ -43,6 +43,18 @@ def p3_text(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.normalise(texts, "tab", "record_key")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return groupsplit.found(table(spark, d, "accepted_records"))
+
+
+def p5_split(spark: SparkSession, d: str) -> DataFrame:
+    return groupsplit.split(table(spark, d, "accepted_records"), table(spark, d, "window_samples"), table(spark, d, "split_targets"))
+
+
+def p5_shares(spark: SparkSession, d: str) -> DataFrame:
+    return groupsplit.reached(p5_split(spark, d), table(spark, d, "split_targets"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return overlap.found(table(spark, d, "window_samples"))
 
