@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import materialise
 from ..sources.tables import table
-from . import bpe, groupsplit, lookalikes, neardup, overlap, truncation
+from . import bpe, groupsplit, lookalikes, mixing, neardup, overlap, packing, truncation
 from .neardup import corpus_texts
 
 
@@ -55,6 +56,14 @@ def p5_shares(spark: SparkSession, d: str) -> DataFrame:
     return groupsplit.reached(p5_split(spark, d), table(spark, d, "split_targets"))
 
 
+def p6_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(table(spark, d, "raw_records"), table(spark, d, "source_targets"))
+
+
+def p6_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(p6_mixture(spark, d), table(spark, d, "source_targets"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return overlap.found(table(spark, d, "window_samples"))
 
@@ -67,6 +76,15 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
 
 
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    sizes = bpe.token_counts(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return packing.containers(materialise(sizes, "sizes"), "doc_id")
+
+
+def p9_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(p9_containers(spark, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
