@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import materialise
 from ..sources.tables import table
-from . import bpe, groupsplit, lookalikes, mixing, neardup, overlap, packing, truncation
+from . import bpe, groupsplit, languages, lookalikes, mixing, neardup, overlap, packing, truncation
 from .neardup import corpus_texts
 
 
@@ -44,6 +44,30 @@ def p3_text(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.normalise(texts, "tab", "record_key")
 
 
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    raw = table(spark, d, "raw_records").select(F.lit("raw_records").alias("tab"), F.col("record_id").alias("record_key"), "text", F.col("language_code").alias("label"))
+    docs = table(spark, d, "documents").select(F.lit("documents").alias("tab"), F.col("doc_id").cast("string").alias("record_key"), "text", F.col("lang").alias("label"))
+    return raw.unionByName(docs)
+
+
+def _profiles(spark: SparkSession, d: str) -> languages.Profiles:
+    return languages.profiles(table(spark, d, "language_samples"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return languages.unlabelled(_labelled(spark, d), _profiles(spark, d), "tab", "record_key")
+
+
+def p4_segments(spark: SparkSession, d: str) -> DataFrame:
+    texts = _labelled(spark, d).withColumn("named", languages.label_language(F.col("label")))
+    return languages.segment_table(texts, _profiles(spark, d), "tab", "record_key", "named")
+
+
+def p4_documents(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return languages.documents(docs, _profiles(spark, d), "doc_id")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return groupsplit.found(table(spark, d, "accepted_records"))
 
