@@ -2,8 +2,8 @@
 
 Method: rank-order profiles. A language's profile is the list of its most frequent character n-grams (1 to 3 characters,
 words padded); a sentence is compared by the out-of-place distance: over its n-grams, the difference between the rank in the
-sentence and the rank in the profile, an absent n-gram counting as far as the profile is long. N-grams in no profile are as
-far from every language and are left out. Everything runs on arrays over whole batches.
+sentence and the rank in the profile, an absent n-gram counting as far as the profile is long; whole words have a ranked
+list of their own. What is in no profile is as far from every language and is left out. Everything runs on arrays over whole batches.
 
 Profiles are built from labelled samples (language_samples, a fixed table, read on the driver). A Latin-script language also
 gets a second profile without its accents, because texts are written so too.
@@ -33,12 +33,14 @@ from . import lookalikes
 TOP = 600
 STEP = 14
 SHORT = 4
-CLOSE = 0.08
-PRIOR = 0.05
+CLOSE = 0.05
+PRIOR = 0.04
 SEGMENT_WORDS = 6
 ORDERS = 3
 BASE = 128
 COUNTS = 16
+TOP_WORDS = 300
+WORD_WEIGHT = 0.5
 ABSENT = 20_000
 U64 = np.uint64
 
@@ -83,6 +85,17 @@ class Profiles:
             for g, x in r.items():
                 self.rank[self.index[g], j] = x
         self.of = np.array([self.languages.index(k[0]) for k in self.keys], np.int64)
+        words: list[dict[int, int]] = []
+        for k in self.keys:
+            cps, offs = cp.decode(pa.array(texts[k]))
+            start, end, _ = cp.word_runs(cps, offs)
+            counts = Counter(cp.run_hashes(cps, start, end)[~_number(cps, start)].tolist())
+            words.append({w: r for r, (w, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:TOP_WORDS])})
+        self.words = np.array(sorted(set().union(*words)) if words else [], U64)
+        self.word_rank = np.full((len(self.words), len(self.keys)), ABSENT, np.int16)
+        for j, r in enumerate(words):
+            at = np.searchsorted(self.words, np.array(list(r), U64))
+            self.word_rank[at, j] = list(r.values())
 
     def grams(self, cps: np.ndarray, unit: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each order, (codes, unit) of the n-grams; a boundary (code 0) stands on each side of a word, once."""
@@ -108,42 +121,62 @@ class Profiles:
         return out
 
     def distances(self, cps: np.ndarray, unit: np.ndarray, units: int) -> np.ndarray:
-        """units x languages: the mean out-of-place distance, 0 to 1, or 1 where a unit has no known n-gram."""
-        parts = self.grams(cps, unit)
-        best = np.ones((units, len(self.languages)))
-        if not parts:
-            return best
-        size = len(self.rank)
-        kind = np.int32 if units * size < 1 << 31 else np.int64
+        """units x languages: the mean out-of-place distance of n-grams and of whole words, or 1 where nothing is known."""
         keys = []
-        for codes, u in parts:
+        for codes, u in self.grams(cps, unit):
             g = self.index[codes]
             hit = g >= 0
-            keys.append(u[hit].astype(kind) * kind(size) + g[hit].astype(kind))
-        key = np.concatenate(keys)
-        if not len(key):
-            return best
-        key.sort()
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        count = np.minimum(np.diff(np.concatenate([first, [len(key)]])), COUNTS - 1)
-        u, g = np.divmod(key[first], kind(size))
-        # The rank in the sentence is the number of its n-grams that occur more often; equal counts share a rank.
-        hist = np.bincount(u.astype(np.int64) * COUNTS + count, minlength=units * COUNTS).reshape(units, COUNTS)
-        above = hist[:, ::-1].cumsum(axis=1)[:, ::-1] - hist
-        mine = above[u, count].astype(np.int16)
-        gap = self.rank[g]
-        gap -= mine[:, None]
-        np.abs(gap, out=gap)
-        np.minimum(gap, np.int16(TOP), out=gap)
-        at = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
-        total = np.diff(np.concatenate([at, [len(u)]]))
-        sums = np.add.reduceat(gap, at, axis=0, dtype=np.int32) / (total[:, None] * float(TOP))
-        who = u[at]
+            keys.append((u[hit], g[hit]))
+        chars = _out_of_place(keys, units, self.rank, TOP)
+        start, end = _runs(self.code[cps] > 0, unit)
+        h = cp.run_hashes(cps, start, end)
+        at = np.searchsorted(self.words, h)
+        at[at == len(self.words)] = 0
+        hit = self.words[at] == h if len(self.words) else np.zeros(len(h), bool)
+        words = _out_of_place([(unit[start[hit]], at[hit])], units, self.word_rank, TOP_WORDS)
+        both = np.where(chars == 1, 1.0, (chars + WORD_WEIGHT * words) / (1 + WORD_WEIGHT))
+        best = np.ones((units, len(self.languages)))
         for j, lang in enumerate(self.of.tolist()):
-            best[who, lang] = np.minimum(best[who, lang], sums[:, j])
+            best[:, lang] = np.minimum(best[:, lang], both[:, j])
         return best
 
 
+def _number(cps: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return (cps[start] >= 0x30) & (cps[start] <= 0x39)
+
+
+def _runs(on: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    same = unit[1:] == unit[:-1]
+    start = on & ~np.concatenate([[False], on[:-1] & same])
+    stop = on & ~np.concatenate([on[1:] & same, [False]])
+    return np.flatnonzero(start), np.flatnonzero(stop) + 1
+
+
+def _out_of_place(parts: list[tuple[np.ndarray, np.ndarray]], units: int, rank: np.ndarray, top: int) -> np.ndarray:
+    """units x profiles: the mean over a unit's features of |rank in the unit - rank in the profile|, at most top, over top."""
+    out = np.ones((units, rank.shape[1]))
+    size = max(1, len(rank))
+    kind = np.int32 if units * size < 1 << 31 else np.int64
+    key = np.concatenate([u.astype(kind) * kind(size) + g.astype(kind) for u, g in parts]) if parts else np.empty(0, kind)
+    if not len(key):
+        return out
+    key.sort()
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    count = np.minimum(np.diff(np.concatenate([first, [len(key)]])), COUNTS - 1)
+    u, g = np.divmod(key[first], kind(size))
+    # The rank in the unit is the number of its features that occur more often; equal counts share a rank.
+    hist = np.bincount(u.astype(np.int64) * COUNTS + count, minlength=units * COUNTS).reshape(units, COUNTS)
+    above = hist[:, ::-1].cumsum(axis=1)[:, ::-1] - hist
+    gap = rank[g]
+    gap -= above[u, count].astype(np.int16)[:, None]
+    np.abs(gap, out=gap)
+    np.minimum(gap, np.int16(top), out=gap)
+    at = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
+    total = np.diff(np.concatenate([at, [len(u)]]))
+    out[u[at]] = np.add.reduceat(gap, at, axis=0, dtype=np.int32) / (total[:, None] * float(top))
+    return out
+
+
 def sentences(cps: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sentence of each code point, row of each sentence, words of each sentence)."""
     n = len(cps)
