@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -149,3 +150,17 @@ def run_hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     with np.errstate(over="ignore"):
         terms = _CACHE["mixed"][codes[idx]] * power[pos]
         return mix64(np.add.reduceat(terms, first) + lens.astype(U64))
+
+
+def pieces(batches: Iterable[pa.RecordBatch], name: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about `limit` bytes of the text column (one row at least), so that arrays stay small."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        col = b.column(b.schema.get_field_index(name)).cast(pa.large_string())
+        offs = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(offs, offs[at] + limit, side="right")) - 1)
+            yield b.slice(at, to - at)
+            at = to

@@ -289,7 +289,7 @@ def _segment_batches(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
         names = np.array(p.languages, dtype=object)
-        for b in batches:
+        for b in cp.pieces(batches):
             label = None
             if "named" in b.schema.names:
                 at = {x: i for i, x in enumerate(p.languages)}

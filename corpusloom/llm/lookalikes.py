@@ -322,7 +322,7 @@ def normalise_column(col: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def _normalise_batches(batches):
-    for b in batches:
+    for b in cp.pieces(batches):
         text, changed = normalise_column(b.column("text"))
         cols = [b.column(n) for n in b.schema.names if n != "text"]
         yield pa.RecordBatch.from_arrays([*cols, text, pa.array(changed)], names=[*(n for n in b.schema.names if n != "text"), "text", "changed"])

@@ -88,7 +88,7 @@ def unpack(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _bags(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in cp.pieces(batches):
             words, offs = bag_arrays(b.column("text"))
             n = np.diff(offs)
             keep = np.flatnonzero(n >= least)

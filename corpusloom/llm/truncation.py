@@ -101,7 +101,7 @@ def is_cut(text: str | None) -> bool:
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in cp.pieces(batches):
         text, _ = lookalikes.normalise_column(b.column("text"))
         cut = pa.array([is_cut(x) for x in text.to_pylist()], pa.bool_())
         names = [n for n in b.schema.names if n != "text"]
