@@ -177,7 +177,7 @@ def _out_of_place(parts: list[tuple[np.ndarray, np.ndarray]], units: int, rank:
     return out
 
 
-def sentences(cps: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sentences(cps: np.ndarray, offs: np.ndarray, most: int = STEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sentence of each code point, row of each sentence, words of each sentence)."""
     n = len(cps)
     row = cp.row_ids(offs)
@@ -193,10 +193,10 @@ def sentences(cps: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     word_space = space & np.concatenate([[True], ~space[:-1]])
     begin = np.concatenate([[True], (row[1:] != row[:-1])]) | np.concatenate([[False], stop[:-1]])
     sent = np.cumsum(begin) - 1
-    # Sentences of more than STEP words are cut: marks may be missing.
+    # Sentences of more than `most` words are cut: marks may be missing.
     wcount = np.cumsum(word_space)
     base = wcount[np.flatnonzero(begin)][sent] if n else wcount
-    step = (wcount - base) // STEP
+    step = (wcount - base) // most
     cut = np.concatenate([[False], (step[1:] != step[:-1]) & (sent[1:] == sent[:-1])])
     begin |= cut
     sent = np.cumsum(begin) - 1

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import materialise
 from ..sources.tables import table
-from . import bpe, groupsplit, languages, lookalikes, mixing, neardup, overlap, packing, truncation
+from . import abuse, bpe, groupsplit, languages, lookalikes, mixing, neardup, overlap, packing, truncation
 from .neardup import corpus_texts
 
 
@@ -109,7 +109,28 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(p9_containers(spark, d))
 
 
+def _abuse(spark: SparkSession, d: str, *keys: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    model = abuse.fit(docs, table(spark, d, "labels"), _profiles(spark, d))
+    return abuse.score(docs, model, *keys)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _abuse(spark, d, "doc_id").where("flagged").select("doc_id").distinct()
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _abuse(spark, d, "doc_id")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    """(source, documents, flagged, rate)."""
+    rows = _abuse(spark, d, "source").withColumn("source", truncation.source_name(F.col("source")))
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count_if("flagged").alias("flagged"), F.round(F.avg(F.col("flagged").cast("double")), 6).alias("rate"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """All queries of this module: the functions named after a problem."""
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
 
