@@ -162,7 +162,7 @@ def padded(rows: np.ndarray, sent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     width = MOST_WORDS
     line = pos // width
     base = np.concatenate([[0], np.cumsum(np.maximum.reduceat(line, at) + 1)])
-    m = np.zeros((int(base[-1]), width + 6), np.int64)
+    m = np.zeros((int(base[-1]), width + 6), np.int32)
     m[base[which] + line, 3 + pos % width] = rows
     owner = np.repeat(sent[at], np.diff(base))
     return m, owner
@@ -253,7 +253,7 @@ def _first_guess(m: np.ndarray, doc: np.ndarray, label: np.ndarray) -> np.ndarra
     """For each sentence the log odds of its most telling word or word pair, from counts of documents."""
     n = len(m)
     a = m[:, 3:-3]
-    pair = a[:, :-1] * 100_003 + a[:, 1:]
+    pair = a[:, :-1].astype(np.int64) * 100_003 + a[:, 1:]
     feats = [(np.repeat(np.arange(n), a.shape[1]), a.reshape(-1), a.reshape(-1) > 1 + SHAPES)]
     feats.append((np.repeat(np.arange(n), pair.shape[1]), pair.reshape(-1) + (1 << 40), ((a[:, :-1] > SHAPES) & (a[:, 1:] > SHAPES)).reshape(-1)))
     best = np.full(n, -9.0)
@@ -325,7 +325,14 @@ def _fit(m: np.ndarray, doc: np.ndarray, label: np.ndarray, seed: int) -> tuple[
 def train(texts: list[str], labels: list[int], profiles: languages.Profiles, seed: int = SEED) -> Model:
     """The classifier of labelled texts."""
     label = np.array(labels, np.int64)
-    h, shape, sent, of = read_words(pa.array(texts, pa.string()))
+    found, rows, sentences, lang = [], 0, 0, []
+    column = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    for piece in cp.pieces([column]):  # a slice at a time: the arrays of a slice are many times its text
+        h, shape, sent, of = read_words(piece.column("text"))
+        found.append((h, shape, sent + sentences, of + rows))
+        lang += _languages(piece.column("text"), profiles)
+        rows, sentences = rows + piece.num_rows, sentences + len(of)
+    h, shape, sent, of = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, U64), *(np.empty(0, np.int64),) * 3)
     if not len(h) or label.sum() < 2 or label.sum() == len(label):
         return Model(np.empty(0, U64), profiles=profiles)
     doc_of_word = of[sent]
@@ -334,7 +341,6 @@ def train(texts: list[str], labels: list[int], profiles: languages.Profiles, see
     model = Model(word[df >= min(RARE, max(2, int(label.sum()) // 8))], profiles=profiles)
     m, owner = padded(model.rows(h, shape), sent)
     doc = of[owner]
-    lang = _languages(pa.array(texts, pa.string()), profiles)
     net, held = _fit(m, doc, label, seed)
     model = net.freeze(model)
     model.thresholds = {"": _threshold(held, label)}
