@@ -296,6 +296,26 @@ def pairs(texts: DataFrame, similarity: float = SIMILARITY, least: int = MIN_WOR
     return out.select("tab", F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
 
 
+def groups(texts: DataFrame, similarity: float = SIMILARITY, least: int = MIN_WORDS) -> DataFrame:
+    """(tab, record_key, class_id, links, copies): one row for each row of text with at least `least` words.
+
+    class_id is equal for all texts that links join, directly or through others; links counts the different texts that a text is
+    linked to, copies the rows with the same text.
+    """
+    from .groupsplit import propagate
+
+    keyed, found = similar_classes(text_bags(texts, least), similarity)
+    found = materialise(found.select("a", "b"), "links")
+    link = F.concat_ws("-", "a", "b").alias("record_id")
+    edges = found.select(link, F.col("a").cast("string").alias("document")).union(found.select(link, F.col("b").cast("string").alias("document")))
+    labels = propagate(materialise(edges, "edges")).select(F.col("document").cast("long").alias("node"), "label")
+    degree = found.select("a").union(found.select("b")).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("links"))
+    copies = keyed.groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
+    per = copies.join(labels, "node", "left").join(degree, "node", "left")
+    out = keyed.select("tab", "record_key", "node").join(per, "node")
+    return out.select("tab", "record_key", F.coalesce("label", F.col("node").cast("string")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), "copies")
+
+
 def corpus_texts(spark: SparkSession, folder: str, *tabs: str) -> DataFrame:
     """(tab, record_key, text, ...) of the named tables, keys as strings."""
     keys = {"raw_records": "record_id", "documents": "doc_id", "wikipedia": "article_id"}

@@ -17,6 +17,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.pairs(corpus_texts(spark, d, "raw_records", "documents"))
 
 
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.groups(corpus_texts(spark, d, "raw_records", "documents"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     texts = corpus_texts(spark, d, "raw_records", "documents")
     return truncation.flag(texts, "tab", "record_key").where("cut").select("tab", "record_key").distinct()
