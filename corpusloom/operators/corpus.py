@@ -118,7 +118,8 @@ def training_spans(costs: list[int], article: str, seed: int = SEED, budget: int
         draw = int.from_bytes(hashlib.md5(f"{seed}:{article}:{len(out)}".encode()).digest()[:8], "big")
         target = low + draw % (high - low + 1)
         if out and n - start < least:
-            start = max(0, n - max(least, min(target, n - start + overlap)))
+            back = max(0, n - max(least, min(target, n - start + overlap)))
+            start = min(start, max(back, out[-1][0] + 1))  # words too long for the budget must not send it back for ever
         end = _fit_end(cum, start, min(start + target, n), budget)
         if 0 < n - end < tiny:
             end = max(end, _fit_end(cum, start, n, budget))
