@@ -15,7 +15,7 @@ from .operators import corpus, curation, leakage, metrics, restoration, selectio
 from .plans.curation import curate
 from .plans.storage import materialise, shared_dir
 from .sources import readers, sinks
-from .sources.tables import table
+from .sources import tables
 from .streaming import dedup as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,15 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+TEXTS = {"documents", "raw_records", "wikipedia", "accepted_records", "window_samples"}
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table of the folder; one with texts is spread over all cores if it is in few files."""
+    df = tables.table(spark, d, name)
+    return tables.spread(df) if name in TEXTS else df
+
+
 # SQL pieces. Patterns are the same text as in the expressions.
 def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
