@@ -78,4 +78,4 @@ def containers(sizes: DataFrame, key: str, capacity: int = CAPACITY, most_open:
 def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(containers, items, tokens, fill): how much of the containers is used."""
     per = packed.groupBy("container").agg(F.count(F.lit(1)).alias("items"), F.sum("tokens").alias("tokens"))
-    return per.agg(F.count(F.lit(1)).alias("containers"), F.coalesce(F.sum("items"), F.lit(0)).alias("items"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.max("tokens").alias("fullest")).withColumn("fill", F.round(F.col("tokens") / (F.col("containers") * capacity), 6))
+    return per.agg(F.count(F.lit(1)).alias("containers"), F.coalesce(F.sum("items"), F.lit(0)).alias("items"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.max("tokens").alias("fullest")).withColumn("fill", F.round(F.try_divide("tokens", F.col("containers") * capacity), 6))

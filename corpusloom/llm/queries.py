@@ -138,5 +138,53 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
 
+# SQL versions. Look-alike letters are folded wherever they stand, which is enough to compare words, and to find
+# texts that aren't in their usual form.
+_LIKE = "".join([*lookalikes.CYRILLIC, *lookalikes.GREEK])
+_AS = "".join([*lookalikes.CYRILLIC.values(), *lookalikes.GREEK.values()])
+_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+_SMALL = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''")
+_HIDDEN = r"[\x{ad}\x{200b}-\x{200d}\x{2060}\x{feff}]"
+
+
+def _folded(x: str) -> str:
+    plain = f"translate(translate(regexp_replace({x}, '{_HIDDEN}', '', 'g'), '{_WIDE}', '{_SMALL}'), '{_LIKE}ȘșȚț', '{_AS}ŞşŢţ')"
+    # A dotless i under a circumflex is the dotted one's letter; the dotted capital I is one character in lower case.
+    return f"lower(translate(nfc_normalize(replace({plain}, 'ı' || chr(770), 'î')), 'İ', 'i'))"
+
+
+def _sql_words(x: str) -> str:
+    return f"regexp_extract_all({_folded(x)}, '([\\p{{L}}\\p{{Nd}}]+)', 1)"
+
+
+def _sql_pairs(texts: str, rule: str, out: str, least: int) -> str:
+    """Pairs of rows (tab, k, side, text) by brute force: all that share a word, by the words that both hold."""
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, tab, k, side, {_sql_words('text')} AS w FROM ({texts}) WHERE text IS NOT NULL AND k IS NOT NULL),
+w AS (SELECT r, x, row_number() OVER (PARTITION BY r, x) AS i FROM (SELECT r, unnest(w) AS x FROM d WHERE len(w) >= {least})),
+s AS (SELECT a.r AS ra, b.r AS rb, count(*) AS n FROM w a JOIN w b ON a.x = b.x AND a.i = b.i AND a.r < b.r GROUP BY ALL)
+SELECT DISTINCT {out} FROM s JOIN d a ON a.r = ra JOIN d b ON b.r = rb WHERE a.tab = b.tab AND a.k <> b.k AND {rule} AND n >= 0.8 * greatest(len(a.w), len(b.w))"""
+
+
+_CHANGED = "|".join([
+    r"[\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}\x{ad}\x{200b}\x{2060}\x{feff}\x{ff01}-\x{ff5e}\x{fb50}-\x{fdcf}\x{fe70}-\x{fefc}ȘșȚț]|ı\x{302}",
+    rf"[A-Za-zÀ-ɏ][{_LIKE}]|[{_LIKE}][A-Za-zÀ-ɏ]", r"[A-Za-zÀ-ɏ ][\x{200c}\x{200d}]|[\x{200c}\x{200d}][A-Za-zÀ-ɏ ]",
+])
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Brute force over whole tables for pairs, and the signs of an unusual form."""
+    texts = "SELECT 'raw_records' AS tab, record_id AS k, '' AS side, text FROM raw_records UNION ALL SELECT 'documents', doc_id::VARCHAR, '', text FROM documents"
+    windows = "SELECT 'w' AS tab, id AS k, CASE WHEN split = 'train' THEN 'train' ELSE 'eval' END AS side, array_to_string(tokens, ' ') AS text FROM window_samples WHERE split IS NOT NULL"
+    forms = "SELECT 'wikipedia' AS tab, article_id AS record_key, text FROM wikipedia UNION ALL SELECT 'raw_records', record_id, text FROM raw_records UNION ALL SELECT 'documents', doc_id::VARCHAR, text FROM documents"
+    tracking = "^(utm_.*|fbclid|gclid|ref|source)$"
+    parts = [f"regexp_extract(regexp_replace(nfc_normalize(url_decode(t)), '#.*$', ''), '^https?://([^/?]+)([^?]*)[?]?(.*)$', {i})" for i in (1, 2, 3)]
+    page = f"""'page ' || regexp_replace(lower({parts[0]}), '^((www|m)[.])+', '') || rtrim({parts[1]}, '/') || '?' || array_to_string(list_sort(list_filter(string_split({parts[2]}, '&'), lambda x: x <> '' AND NOT regexp_matches(string_split(x, '=')[1], '{tracking}'))), '&')"""
+    named = f"""SELECT record_id AS k, CASE WHEN regexp_matches(t, '^https?://') THEN {page} ELSE 'place ' || s || ' ' || CASE WHEN regexp_matches(t, '^[0-9]+$') THEN (t::HUGEINT)::VARCHAR ELSE t END END AS doc
+FROM (SELECT record_id, trim(source_document_id) AS t, regexp_replace(lower(trim(coalesce(source, 'unknown'))), '[ -]+', '_', 'g') AS s FROM accepted_records) WHERE t <> '' AND record_id IS NOT NULL"""
+    return {
+        "p5_found": f"""WITH RECURSIVE d AS (SELECT DISTINCT * FROM ({named})), e AS (SELECT DISTINCT x.k AS a, y.k AS b FROM d x JOIN d y ON x.doc = y.doc AND x.k <> y.k),
+c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT a AS article_id_a, b AS article_id_b FROM c WHERE a < b""",
+        "p1_found": _sql_pairs(texts, "true", "a.tab, least(a.k, b.k) AS key_a, greatest(a.k, b.k) AS key_b", 30),
+        "p3_found": f"SELECT DISTINCT tab, record_key FROM ({forms}) WHERE text <> nfc_normalize(text) OR regexp_matches(text, '{_CHANGED}')",
+        "p7_found": _sql_pairs(windows, "a.side <> b.side", "least(a.k, b.k) AS id_a, greatest(a.k, b.k) AS id_b", 1),
+    }
