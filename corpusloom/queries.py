@@ -813,9 +813,8 @@ def event_windows(spark, d):
 
 
 def _stream(spark, d, name: str) -> DataFrame:
-    path = f"{d}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path if path.startswith("/") and __import__("os").path.isdir(path) else f"{d}/{name}*.parquet")
+    schema = tables.table(spark, d, name).schema
+    return spark.readStream.schema(schema).parquet(f"{d}/{name}*.parquet")
 
 
 @query()
