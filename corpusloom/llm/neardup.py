@@ -1,16 +1,13 @@
 """Problem 1: records whose texts share most of their words, found without comparing all pairs.
 
-Method: one-permutation hashing with optimal densification, banded buckets, star-shaped candidate edges.
+Method: prefix filter over words in order of their frequency (prefixes), exact check.
 
 1. Each text in its consistent form (problem 3) becomes a bag of word hashes, lower case. Equal bags are one class; only
    classes go on, so exact copies, however many, cost one row.
-2. Words in more than `frequent` of all texts (a count over all texts) say nothing about likeness; the sketch leaves them
-   out, the exact check doesn't. A text that keeps fewer than MIN_FEATURES words has a second sketch, of all its words.
-3. The sketch hashes each (word, how often so far) once; the top of the hash names one of BINS bins, which keep their
-   minimum; an empty bin borrows from a bin drawn by a hash of the bin and the try (optimal densification).
-4. Bands of ROWS bins are buckets. In a bucket, edges lead from one hub to each other member, so a bucket of m gives m-1
-   pairs; the hub differs by band. Edges are checked exactly; members of one family that met only through a hub are
-   completed over the checked edges (LOOSE and above) and checked as well.
+2. Words are counted over all texts. Two texts that share `similarity` of the words of the longer share one of their rarest
+   (1 - similarity) n + 1 words; classes meet in a bucket for each of these. Frequent words are only last in the order, so
+   nothing depends on how many texts hold a word, and families of near copies over any part of the table meet.
+3. All pairs of a bucket that bounds on length, rest and differing words don't exclude are checked exactly: no pair is lost.
 """
 
 from __future__ import annotations
@@ -19,23 +16,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.storage import materialise
 from ..sources.tables import table
 from . import codepoints as cp
-from . import lookalikes
+from . import lookalikes, prefixes
 
-BANDS, ROWS = 20, 4
-ROWS_ALL = 6
-BINS = 128
-LOOSE = 0.64
-MIN_FEATURES = 8
 MIN_WORDS = 30
 SIMILARITY = 0.8
-FREQUENT = 0.01
-FREQUENT_AT_LEAST = 50
 U64 = np.uint64
 
 BAG_SCHEMA = "tab string, record_key string, n int, bag long, words binary"
@@ -132,83 +123,14 @@ def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield out()
 
 
-def rare_words(words: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    if not len(frequent):
-        return np.ones(len(words), bool)
-    at = np.searchsorted(frequent, words)
-    at[at == len(frequent)] = 0
-    return frequent[at] != words
-
-
-def sketch(words: np.ndarray, offs: np.ndarray, use: np.ndarray, bins: int = BINS) -> np.ndarray:
-    """One-permutation sketch with optimal densification of the words in use: rows x bins of 64-bit values.
-
-    A row without a word in use comes out as zeros.
-    """
-    n = len(offs) - 1
-    row = cp.row_ids(offs)
-    new = np.concatenate([[True], (words[1:] != words[:-1]) | (row[1:] != row[:-1])]) if len(words) else np.empty(0, bool)
-    idx = np.arange(len(words))
-    occ = idx - np.maximum.accumulate(np.where(new, idx, 0)) if len(words) else idx
-    row, feat = row[use], cp.mix64((words[use].astype(U64) << U64(20)) + occ[use].astype(U64) + U64(0x2545F491))
-    shift = U64(64 - int(bins).bit_length() + 1)
-    cell = row.astype(np.int64) * bins + (feat >> shift).astype(np.int64)
-    o = np.lexsort((feat, cell))
-    cell, feat = cell[o], feat[o]
-    first = np.concatenate([[True], cell[1:] != cell[:-1]]) if len(cell) else np.empty(0, bool)
-    sig = np.zeros(n * bins, U64)
-    have = np.zeros(n * bins, bool)
-    sig[cell[first]], have[cell[first]] = feat[first], True
-    sig, have = sig.reshape(n, bins), have.reshape(n, bins)
-    todo = ~have
-    some = have.any(axis=1)
-    todo[~some] = False
-    out = sig.copy()
-    cols = np.arange(bins, dtype=U64)
-    attempt = 0
-    while todo.any():
-        attempt += 1
-        src = (cp.mix64(cols * U64(0x9E3779B97F4A7C15) + U64(attempt)) % U64(bins)).astype(np.int64)
-        r, c = np.nonzero(todo & have[:, src])
-        out[r, c] = sig[r, src[c]]
-        todo[r, c] = False
-    return out
-
-
-def band_hashes(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS, seed: int = 0) -> np.ndarray:
-    n = len(sig)
-    out = np.empty((n, bands), U64)
-    for b in range(bands):
-        h = np.full(n, seed + b + 1, U64)
-        for k in range(rows):
-            h = cp.mix64(h + sig[:, b * rows + k])
-        out[:, b] = h
-    return out
-
-
-def _buckets(frequent: np.ndarray):
+def _signed(order: tuple[np.ndarray, np.ndarray], similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words, offs = unpack(b.column("words"))
-            n = len(offs) - 1
-            if not n:
-                continue
-            row, rare = cp.row_ids(offs), rare_words(words, frequent)
-            left = np.bincount(row[rare], minlength=n)
-            group = b.column("grp").to_numpy(zero_copy_only=False).astype(np.int64).view(U64)
-            bag = b.column("bag").to_numpy(zero_copy_only=False)
-            some, few = left > 0, left < MIN_FEATURES
-            h = [band_hashes(sketch(words, offs, rare))[some]]
-            who = [np.flatnonzero(some)]
-            if few.any():
-                take = np.flatnonzero(few)
-                o = np.concatenate([[0], np.cumsum(np.diff(offs)[take])])
-                w = words[few[row]]
-                h.append(band_hashes(sketch(w, o, np.ones(len(w), bool)), rows=ROWS_ALL, seed=1000))
-                who.append(take)
-            who, h = np.concatenate(who), np.concatenate(h)
-            h = cp.mix64(h + group[who][:, None])
-            yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(np.repeat(bag[who], BANDS))], names=["bucket", "node"])
+            if len(offs) > 1:
+                group = b.column("grp").to_numpy(zero_copy_only=False).astype(np.int64).view(U64)
+                side = pa.array(np.zeros(len(offs) - 1, np.int32))
+                yield pa.RecordBatch.from_arrays([b.column("node"), side, *prefixes.signed(words, offs, group, order, similarity)], names=["node", "side", "n", "bits", "keys"])
 
     return run
 
@@ -228,8 +150,19 @@ def overlaps(wa: np.ndarray, oa: np.ndarray, wb: np.ndarray, ob: np.ndarray) ->
     return hit / np.maximum(1, np.maximum(np.diff(oa), np.diff(ob)))
 
 
-def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], *names: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the named columns hold about `most` bytes or one row."""
     for b in batches:
+        size = np.cumsum(sum(pc.binary_length(b.column(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in names))
+        at = 0
+        while at < len(b):
+            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, side="right")))
+            yield b.slice(at, to - at)
+            at = to
+
+
+def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches, "wa", "wb"):
         wa, oa = unpack(b.column("wa"))
         wb, ob = unpack(b.column("wb"))
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(overlaps(wa, oa, wb, ob))], names=["a", "b", "sim"])
@@ -242,13 +175,6 @@ def checked(edges: DataFrame, bags: DataFrame) -> DataFrame:
     return edges.join(wa, "a").join(wb, "b").select("a", "b", "wa", "wb").mapInArrow(_check, "a long, b long, sim double")
 
 
-def star_edges(buckets: DataFrame) -> DataFrame:
-    """Distinct pairs hub-member of each bucket. Counts are taken before the join, so a bucket of one never joins, and a
-    hot bucket is the side that Spark's skew join splits."""
-    hubs = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min_by("node", F.xxhash64("bucket", "node")).alias("hub")).where("size > 1").select("bucket", "hub")
-    return buckets.join(hubs, "bucket").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-
-
 def text_bags(texts: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """(tab, record_key, n, bag, words) of texts (tab, record_key, text) with at least `least` words, written once."""
     plain = texts.where("text is not null and record_key is not null").select("tab", "record_key", "text")
@@ -257,24 +183,15 @@ def text_bags(texts: DataFrame, least: int = MIN_WORDS) -> DataFrame:
 
 def similar_classes(bags: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(classes (node, tab), links (a, b, sim)) of written bags; a node is an id of (tab, bag)."""
-    spark = bags.sparkSession
     keyed = bags.withColumn("node", F.xxhash64("tab", "bag"))
     classes = keyed.groupBy("node").agg(F.first("words").alias("words"), F.first(F.xxhash64("tab")).alias("grp"))
-    total = bags.count()
-    least = max(FREQUENT_AT_LEAST, int(FREQUENT * total))
     counts = bags.select("words").mapInArrow(_distinct_words, "word long, df long").groupBy("word").agg(F.sum("df").alias("df"))
-    # At most (mean words of a text) / FREQUENT words are in more than FREQUENT of all texts: that bounds what is collected.
-    frequent = np.sort(np.array([r[0] for r in counts.where(F.col("df") > least).select("word").collect()], dtype=np.int64)).astype(np.uint32)
-    buckets = classes.select(F.col("node").alias("bag"), "grp", "words").mapInArrow(_buckets(frequent), "bucket long, node long")
-    edges = star_edges(materialise(buckets, "buckets"))
-    edges = materialise(edges, "edges")
+    order = prefixes.order_of(counts, bags.count())
+    signed = materialise(classes.select("node", "grp", "words").mapInArrow(_signed(order, similarity), prefixes.SIGNED), "signed")
+    edges = materialise(prefixes.candidates(signed, similarity), "edges")
     near = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     held = materialise(keyed.select("node", "words").join(near, "node", "left_semi").groupBy("node").agg(F.first("words").alias("words")), "held")
-    loose = materialise(checked(edges, held).where(F.col("sim") >= min(LOOSE, similarity)), "loose")
-    both = loose.select("a", "b").union(loose.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    left, right = both.select(F.col("a").alias("hub"), F.col("b").alias("a")), both.select(F.col("a").alias("hub"), "b")
-    more = left.join(right, "hub").where("a < b").select("a", "b").distinct().join(loose.select("a", "b"), ["a", "b"], "left_anti")
-    return keyed, loose.where(F.col("sim") >= similarity).union(checked(more, held).where(F.col("sim") >= similarity))
+    return keyed, checked(edges, held).where(F.col("sim") >= similarity)
 
 
 def pairs(texts: DataFrame, similarity: float = SIMILARITY, least: int = MIN_WORDS) -> DataFrame:

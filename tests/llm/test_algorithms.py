@@ -157,3 +157,25 @@ def test_packing(rows):
     f = packing.fill(got).head()
     assert f["fullest"] <= 2048 and f["fill"] > 0.9
     assert packing.containers(df.limit(0), "doc_id").count() == 0
+
+
+def _edited(rng, base, k, tag):
+    w = list(base)
+    for i in rng.sample(range(len(w)), k):
+        w[i] = f"own{tag}x{i}"
+    return " ".join(w)
+
+
+def _brute(texts):
+    bags = [bag(x) for x in texts]
+    return {(f"k{i:04d}", f"k{j:04d}") for i in range(len(texts)) for j in range(i + 1, len(texts)) if shared(bags[i], bags[j]) >= 0.8}
+
+
+def test_near_duplicates_of_a_hot_family(rows):
+    rng = random.Random(21)
+    base = [f"base{i}" for i in range(100)]
+    texts = [" ".join(base)] + [_edited(rng, base, 10, t) for t in range(80)]
+    texts += [" ".join(f"w{rng.randrange(3000)}" for _ in range(60)) for _ in range(150)]
+    got = {(r["key_a"], r["key_b"]) for r in neardup.pairs(rows("tab string, record_key string, text string", *[("t", f"k{i:04d}", x) for i, x in enumerate(texts)])).collect()}
+    want = _brute(texts)
+    assert len(want) >= 80 * 81 // 2 and got == want
