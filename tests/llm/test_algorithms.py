@@ -179,3 +179,26 @@ def test_near_duplicates_of_a_hot_family(rows):
     got = {(r["key_a"], r["key_b"]) for r in neardup.pairs(rows("tab string, record_key string, text string", *[("t", f"k{i:04d}", x) for i, x in enumerate(texts)])).collect()}
     want = _brute(texts)
     assert len(want) >= 80 * 81 // 2 and got == want
+
+
+def test_near_duplicates_with_many_replaced_words(rows):
+    rng = random.Random(22)
+    texts = []
+    for f in range(60):
+        n = rng.randrange(30, 61)
+        base = [f"common{rng.randrange(40)}" if i % 3 else f"rare{f}x{i}" for i in range(n)]
+        texts += [" ".join(base), *(_edited(rng, base, int(n * part), f"{f}y{k}") for k, part in enumerate((0.10, 0.14, 0.18, 0.2)))]
+    got = {(r["key_a"], r["key_b"]) for r in neardup.pairs(rows("tab string, record_key string, text string", *[("t", f"k{i:04d}", x) for i, x in enumerate(texts)])).collect()}
+    want = _brute(texts)
+    assert len(want) >= 240 and got == want
+
+
+def test_hot_buckets_are_cut_without_loss(rows, monkeypatch):
+    from corpusloom.llm import prefixes
+
+    monkeypatch.setattr(prefixes, "BLOCK", 7)
+    rng = random.Random(23)
+    base = [f"base{i}" for i in range(40)]
+    texts = [_edited(rng, base, rng.randrange(3, 7), t) for t in range(60)]
+    got = {(r["key_a"], r["key_b"]) for r in neardup.pairs(rows("tab string, record_key string, text string", *[("t", f"k{i:04d}", x) for i, x in enumerate(texts)])).collect()}
+    assert got == _brute(texts)
