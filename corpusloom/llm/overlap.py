@@ -1,13 +1,10 @@
 """Problem 7: records of evaluation splits that occur, exactly or almost, in the training split.
 
-Method: word n-gram hashes of the evaluation records, training scanned for hits, containment of each evaluation record in
-each training record it hits; then an exact check by words.
-
-* The hashes of the evaluation records set the bits of a filter of fixed size (FILTER_BITS); it is the only thing that every
-  task gets, and it bounds nothing but what training sends on: a full filter sends everything and the result is the same.
-* Grams in more than HOT of all records would pair everything with everything. They are left out as probes unless a record
-  would keep under a quarter of its grams; the hot grams of such records are kept on both sides. There are at most
-  (mean grams of a record) / HOT hot grams, whatever the size of the table.
+Method: prefix filter over words in order of their frequency (prefixes) between evaluation and training, exact check by words.
+
+* Two records that share `similarity` of the words of the longer share one of their rarest (1 - similarity) n + 1 words;
+  classes of both sides meet in a bucket for each of these. Frequent words are only last in the order, so families of near
+  copies of any size meet, and records with the same words in another order as well: no pair is lost.
 * Records of equal word sequence are one class, so copies cost one row each.
 """
 
@@ -22,17 +19,10 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import materialise
 from . import codepoints as cp
-from . import lookalikes
-from .neardup import _binary, overlaps, unpack
+from . import lookalikes, prefixes
+from .neardup import _binary, _distinct_words, overlaps, slices, unpack
 
-GRAM = 5
 SIMILARITY = 0.8
-CONTAINMENT = 0.05
-HOT = 0.0002
-HOT_AT_LEAST = 30
-FILTER_BITS = 1 << 26
-PROBES = 2
-SLICES = 64
 U64 = np.uint64
 
 
@@ -62,23 +52,6 @@ def sequence_ids(words: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return cp.mix64(out + np.diff(offs).astype(U64)).view(np.int64)
 
 
-def grams(words: np.ndarray, offs: np.ndarray, size: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of the word n-grams of each row, in order; a row shorter than `size` words is one gram."""
-    if not len(words):
-        return np.empty(0, U64), np.empty(0, np.int64)
-    lens = np.diff(offs)
-    left = np.repeat(offs[1:], lens) - np.arange(len(words))
-    m = cp.mix64(words.astype(U64) + U64(size))
-    h = m.copy()
-    with np.errstate(over="ignore"):
-        for k in range(1, size):
-            h *= U64(0x9E3779B97F4A7C15)
-            h[:-k] += np.where(left[:-k] > k, m[k:], U64(0))
-    use = left >= size
-    use[offs[:-1][lens > 0]] = True
-    return cp.mix64(h[use]), cp.row_ids(offs)[use]
-
-
 class _Seen:
     """Classes that a task has already sent on: copies leave a task once, so a hot group of copies is one row a task."""
 
@@ -96,148 +69,67 @@ class _Seen:
         return out
 
 
-def _bits(h: np.ndarray) -> list[np.ndarray]:
-    m = U64(FILTER_BITS - 1)
-    return [(h & m).astype(np.int64), ((h >> U64(32)) & m).astype(np.int64)][:PROBES]
-
+def _sorted(words: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    key = (cp.row_ids(offs).astype(U64) << U64(32)) | words.astype(U64)
+    key.sort()
+    return (key & U64(0xFFFFFFFF)).astype(np.uint32)
 
-def passes(filt: np.ndarray, h: np.ndarray) -> np.ndarray:
-    ok = np.ones(len(h), bool)
-    for bit in _bits(h):
-        ok &= (filt[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-    return ok
 
-
-def _filter_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    filt = np.zeros(FILTER_BITS, bool)
-    some = False
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        h, _ = grams(*unpack(b.column("words")))
-        for bit in _bits(h):
-            filt[bit] = True
-        some |= len(h) > 0
-    if some:
-        packed = np.packbits(filt, bitorder="little").reshape(SLICES, -1)
-        for k in range(SLICES):
-            if packed[k].any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed[k].tobytes()])], names=["slice", "bits"])
-
-
-def _or(t: pa.Table) -> pa.Table:
-    out = None
-    for x in t.column("bits").to_pylist():
-        a = np.frombuffer(x, np.uint8)
-        out = a.copy() if out is None else out | a
-    return pa.table({"slice": t.column("slice")[:1], "bits": pa.array([out.tobytes()])})
-
-
-def _gram_filter(evals: DataFrame) -> np.ndarray:
-    """The filter of all grams of the evaluation records: FILTER_BITS bits, however many records there are."""
-    parts = evals.select("words").coalesce(max(1, min(32, evals.rdd.getNumPartitions()))).mapInArrow(_filter_slices, "slice int, bits binary")
-    merged = parts.groupBy("slice").applyInArrow(_or, "slice int, bits binary").collect()
-    filt = np.zeros((SLICES, FILTER_BITS // 8 // SLICES), np.uint8)
-    for r in merged:
-        filt[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
-    return filt.reshape(-1)
-
-
-def _counts(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filt, held, size = shared.value, [], 0
+        words, offs = unpack(b.column("words"))
+        if len(offs) > 1:
+            yield pa.RecordBatch.from_arrays([_binary(_sorted(words, offs), offs)], names=["words"])
 
-        def out() -> pa.RecordBatch:
-            u, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c.astype(np.int64))], names=["gram", "df"])
 
-        for b in batches:
-            h, _ = grams(*unpack(b.column("words")))
-            h = h[passes(filt, h)]
-            held.append(h)
-            size += len(h)
-            if size > 4_000_000:
-                yield out()
-                held, size = [], 0
-        if size:
-            yield out()
-
-    return run
-
-
-def _probes(shared, hot: np.ndarray, wanted: np.ndarray | None):
-    """(gram, node, n): the grams a record probes with; with wanted None, the hot grams of records that keep too few."""
-
-    def inside(sorted_set: np.ndarray, h: np.ndarray) -> np.ndarray:
-        if not len(sorted_set):
-            return np.zeros(len(h), bool)
-        at = np.searchsorted(sorted_set, h)
-        at[at == len(sorted_set)] = 0
-        return sorted_set[at] == h
+def _signed(order: tuple[np.ndarray, np.ndarray], similarity: float):
+    """The classes that a task hasn't sent on yet, once for each side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filt, seen = shared.value, _Seen()
+        seen = {True: _Seen(), False: _Seen()}
         for b in batches:
-            b = b.filter(pa.array(seen.fresh(b.column("node").to_numpy(zero_copy_only=False))))
+            node, side = b.column("node").to_numpy(zero_copy_only=False), b.column("eval").to_numpy(zero_copy_only=False).astype(bool)
+            fresh = np.zeros(len(b), bool)
+            for x, s in seen.items():
+                at = np.flatnonzero(side == x)
+                fresh[at] = s.fresh(node[at])
+            b = b.filter(pa.array(fresh))
             words, offs = unpack(b.column("words"))
-            rows = len(offs) - 1
-            if not rows:
-                continue
-            h, row = grams(words, offs)
-            total = np.bincount(row, minlength=rows)
-            is_hot = inside(hot, h)
-            kept = np.bincount(row[~is_hot], minlength=rows)
-            starved = kept * 4 < total
-            if wanted is None:
-                u = np.unique(h[is_hot & starved[row]])
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64))], names=["gram"])
-                continue
-            use = passes(filt, h) & (~is_hot | inside(wanted, h))
-            node = b.column("node").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(h[use].view(np.int64)), pa.array(node[row[use]]), pa.array(total[row[use]].astype(np.int32))], names=["gram", "node", "n"])
+            if len(offs) > 1:
+                got = prefixes.signed(_sorted(words, offs), offs, np.zeros(len(offs) - 1, U64), order, similarity)
+                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(side[fresh].astype(np.int32)), *got], names=["node", "side", "n", "bits", "keys"])
 
     return run
 
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches, "wa", "wb"):
         sides = []
         for name in ("wa", "wb"):
             w, o = unpack(b.column(name))
-            key = (cp.row_ids(o).astype(U64) << U64(32)) | w.astype(U64)
-            key.sort()
-            sides += [(key & U64(0xFFFFFFFF)).astype(np.uint32), o]
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), b.column("containment"), pa.array(overlaps(*sides))], names=["a", "b", "containment", "sim"])
-
-
-def _sorted_u64(df: DataFrame) -> np.ndarray:
-    return np.sort(np.array([r[0] for r in df.collect()], dtype=np.int64).view(U64))
+            sides += [_sorted(w, o), o]
+        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(overlaps(*sides))], names=["a", "b", "sim"])
 
 
 def cross_split(windows: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(records (id, eval, node), links (a, b, containment, sim)): a is an evaluation class, b a training class.
+    """(records (id, eval, node), links (a, b, sim)): a is an evaluation class, b a training class.
 
     windows: id, split, tokens. Null tokens, empty lists and null splits are in no link; rows that come again are one.
     """
-    spark = windows.sparkSession
     texts = windows.where("id is not null and tokens is not null and split in ('train', 'validation', 'test')").select("id", (F.col("split") != "train").alias("eval"), F.array_join("tokens", " ").alias("text"))
     rows = materialise(texts.mapInArrow(_sequences, "id string, eval boolean, node long, words binary"), "windows")
     records = rows.select("id", "eval", "node")
-    shared = spark.sparkContext.broadcast(_gram_filter(rows.where("eval")))
-    least = max(HOT_AT_LEAST, int(HOT * rows.count()))
-    hot = _sorted_u64(rows.select("words").mapInArrow(_counts(shared), "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df")).where(F.col("df") > least).select("gram"))
-    wanted = _sorted_u64(rows.select("node", "words").mapInArrow(_probes(shared, hot, None), "gram long").distinct()) if len(hot) else np.empty(0, U64)
-    form = "gram long, node long, n int"
-    sides = []
-    for side in (F.col("eval"), ~F.col("eval")):
-        got = rows.where(side).select("node", "words").mapInArrow(_probes(shared, hot, wanted), form)
-        sides.append(got)
-    e, t = sides[0].withColumnsRenamed({"node": "a", "n": "na"}), sides[1].select("gram", F.col("node").alias("b"))
-    hits = e.join(t, "gram").groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits"), F.first("na").alias("na"))
-    cand = materialise(hits.select("a", "b", (F.col("hits") / F.col("na")).alias("containment")).where(F.col("containment") >= CONTAINMENT), "candidates")
+    counts = rows.select("words").mapInArrow(_bags, "words binary").mapInArrow(_distinct_words, "word long, df long").groupBy("word").agg(F.sum("df").alias("df"))
+    order = prefixes.order_of(counts, rows.count())
+    # A class that several tasks send on is one row for each side.
+    sent = rows.select("node", "eval", "words").mapInArrow(_signed(order, similarity), prefixes.SIGNED)
+    signed = materialise(sent.groupBy("node", "side").agg(*(F.first(c).alias(c) for c in ("n", "bits", "keys"))), "signed")
+    cand = materialise(prefixes.candidates(signed, similarity, cross=True), "candidates")
     need = cand.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     held = rows.select("node", "words").join(need, "node", "left_semi").groupBy("node").agg(F.first("words").alias("words"))
     held = materialise(held, "held")
     wa, wb = held.select(F.col("node").alias("a"), F.col("words").alias("wa")), held.select(F.col("node").alias("b"), F.col("words").alias("wb"))
-    links = cand.join(wa, "a").join(wb, "b").select("a", "b", "containment", "wa", "wb").mapInArrow(_check, "a long, b long, containment double, sim double")
+    links = cand.join(wa, "a").join(wb, "b").select("a", "b", "wa", "wb").mapInArrow(_check, "a long, b long, sim double")
     return records, links.where(F.col("sim") >= similarity)
 
 

@@ -202,3 +202,28 @@ def test_hot_buckets_are_cut_without_loss(rows, monkeypatch):
     texts = [_edited(rng, base, rng.randrange(3, 7), t) for t in range(60)]
     got = {(r["key_a"], r["key_b"]) for r in neardup.pairs(rows("tab string, record_key string, text string", *[("t", f"k{i:04d}", x) for i, x in enumerate(texts)])).collect()}
     assert got == _brute(texts)
+
+
+def test_cross_split_of_a_hot_family(rows):
+    rng = random.Random(24)
+    base = [f"base{i}" for i in range(90)]
+    texts = [_edited(rng, base, 5, t) if t % 2 else " ".join(rng.sample(base, 90)) for t in range(100)]
+    texts += [" ".join(f"w{rng.randrange(3000)}" for _ in range(60)) for _ in range(50)]
+    data = [(f"k{i:04d}", "test" if i % 5 == 0 else "train", x.split(), "a", "s") for i, x in enumerate(texts)]
+    got = {tuple(r) for r in overlap.found(rows("id string, split string, tokens array<string>, article_id string, source string", *data)).collect()}
+    want = {(a, b) for a, b in _brute(texts) if (int(a[1:]) % 5 == 0) != (int(b[1:]) % 5 == 0)}
+    assert len(want) >= 1500 and got == want
+
+
+def test_cross_split_of_lone_replaced_words(rows):
+    rng = random.Random(25)
+    base = [f"base{i}" for i in range(90)]
+    texts = []
+    for t in range(100):
+        w = list(base)
+        for i in range(t % 6, 90, 18):
+            w[i] = f"own{t}x{i}"
+        texts.append(" ".join(w))
+    data = [(f"k{i:04d}", "test" if i % 5 == 0 else "train", x.split(), "a", "s") for i, x in enumerate(texts)]
+    got = {tuple(r) for r in overlap.found(rows("id string, split string, tokens array<string>, article_id string, source string", *data)).collect()}
+    assert got == {(a, b) for a, b in _brute(texts) if (int(a[1:]) % 5 == 0) != (int(b[1:]) % 5 == 0)}
