@@ -73,14 +73,16 @@ def rounds(rows: DataFrame, by: str, key: str, most: int) -> DataFrame:
 def capped_selection(candidates: DataFrame, target: int = 3000, caps: dict[str, int] | None = None, free: int = 200, share: float = 0.40) -> DataFrame:
     """(record_id, source, type, pick): one of each source in turn by score; after `free` picks a type may not pass `share`.
 
-    The rule looks at all picks so far, so the last step is one pass over candidates (record_id, source, type, score), of
-    which each source gives at most target + its part that the rule can skip; it holds keys and scores only.
+    The rule looks at all picks so far, so the last step is one pass over all candidates (record_id, source, type, score) of
+    the named sources: skipped rows are used up as well, so no rank bounds what the rule reads. It holds keys, types
+    and scores only.
     """
     caps = caps or {"kurmanji_news": 1800, "kurdish_ai_corpus": 1500, "tatoeba": 200}
     names = list(caps)
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pools = {s: pdf[pdf["source"] == s].sort_values(["score", "record_id"], ascending=[False, True]).to_dict("records") for s in names}
+        ordered = {s: pdf[pdf["source"] == s].sort_values(["score", "record_id"], ascending=[False, True]) for s in names}
+        pools = {s: (x["record_id"].to_numpy(), x["type"].to_numpy()) for s, x in ordered.items()}
         at, got, types, out = dict.fromkeys(names, 0), dict.fromkeys(names, 0), {}, []
         moved = True
         while len(out) < target and moved:
@@ -88,24 +90,21 @@ def capped_selection(candidates: DataFrame, target: int = 3000, caps: dict[str,
             for s in names:
                 if len(out) >= target or got[s] >= caps[s]:
                     continue
-                while at[s] < len(pools[s]):
-                    r = pools[s][at[s]]
+                while at[s] < len(pools[s][0]):
+                    key, kind = (x[at[s]] for x in pools[s])
                     at[s] += 1
-                    n = types.get(r["type"], 0) + 1
+                    n = types.get(kind, 0) + 1
                     if len(out) >= free and n / (len(out) + 1) > share:
                         continue
-                    types[r["type"]] = n
+                    types[kind] = n
                     got[s] += 1
-                    out.append({"record_id": r["record_id"], "source": s, "type": r["type"], "pick": len(out) + 1})
+                    out.append({"record_id": key, "source": s, "type": kind, "pick": len(out) + 1})
                     moved = True
                     break
         return pd.DataFrame(out, columns=["record_id", "source", "type", "pick"])
 
     some = candidates.where(F.col("source").isin(names))
-    # Of one source and type no more than the target can ever be picked: the pass is over a bounded set.
-    w = Window.partitionBy("source", "type").orderBy(F.desc("score"), "record_id")
-    bounded = some.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= target).drop("_r")
-    return bounded.select("record_id", "source", "type", "score").groupBy().applyInPandas(choose, "record_id string, source string, type string, pick long")
+    return some.select("record_id", "source", "type", "score").groupBy().applyInPandas(choose, "record_id string, source string, type string, pick long")
 
 
 def with_fillers(short: DataFrame, pool: list[str], key: str, salt: int = 42) -> DataFrame:

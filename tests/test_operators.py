@@ -240,3 +240,16 @@ def test_review_and_statistics(spark):
     w = spark.createDataFrame([("w1", ["Ez", ".", "ew", "Çû"], ["IGNORE", "IGNORE", "IGNORE", "KEEP"]), ("w2", [".", "5", "kes"], ["IGNORE", "IGNORE", "KEEP"])], "id string, tokens array<string>, labels array<string>")
     i = corpus.integrity(w).head()
     assert (i["checked"], i["after_end"], i["after_end_labelled"], i["not_lower"]) == (2, 1, 0, 1)
+
+
+def test_capped_selection_uses_up_skipped_rows(spark):
+    kinds = ["Y" if i % 10 == 9 else "X" for i in range(2000)]
+    cand = spark.createDataFrame([(f"r{i:04d}", "a", k, float(-i)) for i, k in enumerate(kinds)], "record_id string, source string, type string, score double")
+    want, types = [], {}
+    for i, k in enumerate(kinds):
+        n = types.get(k, 0) + 1
+        if len(want) < 100 and not (len(want) >= 10 and n / (len(want) + 1) > 0.6):
+            types[k] = n
+            want.append(f"r{i:04d}")
+    got = selection.capped_selection(cand, 100, {"a": 100}, 10, 0.6).orderBy("pick").collect()
+    assert [r["record_id"] for r in got] == want
