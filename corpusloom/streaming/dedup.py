@@ -1,4 +1,4 @@
-"""Streams: exact duplicates within a watermark, near duplicates against the last accepted ones, counts in event-time windows."""
+"""Streams: exact duplicates within a watermark, near duplicates against all accepted ones, counts in event-time windows."""
 
 from __future__ import annotations
 
@@ -18,26 +18,45 @@ def exact_stream(records: DataFrame, time: str = "landed_at", delay: str = "1 ho
     return keyed.withWatermark(time, delay).dropDuplicatesWithinWatermark(["_key"]).drop("_key")
 
 
-def near_stream(records: DataFrame, least: int = 58, tail: int = 2000) -> DataFrame:
-    """(record_id, source, reject) of a stream (record_id, source, text): near duplicates of the last `tail` accepted rows.
+def near_stream(records: DataFrame, least: int = 58) -> DataFrame:
+    """(record_id, source, reject) of a stream (record_id, source, text): near duplicates of any row accepted before.
 
-    State is kept for each source and twenty of words; rows of a micro-batch are taken in the order of record_id.
+    State is kept for each source and twenty of words: the signatures of all accepted rows, 512 bytes each, as no age makes
+    a row less of a candidate. Rows meet where a band is equal, which loses none (minhash.near_pairs); rows of a
+    micro-batch are taken in the order of record_id.
     """
     keyed = records.select("record_id", F.coalesce("source", F.lit("")).alias("source"), (X.word_count(F.col("text")) / 20).cast("long").alias("bucket"), minhash.signature(X.nopunct_key(F.col("text"))).alias("sig"))
 
+    n = minhash.bands_for(least)
+    width = minhash.HASHES // n * 8
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         import numpy as np
 
-        kept = [np.frombuffer(x, np.int64) for x in (state.get[0] if state.exists else [])]
+        kept = list(state.get[0]) if state.exists else []
+        index: dict[tuple[int, bytes], list[int]] = {}
+
+        def bands(x: bytes) -> list[tuple[int, bytes]]:
+            return [(i, x[i * width : (i + 1) * width]) for i in range(n)]
+
+        def enter(at: int, x: bytes) -> None:
+            for k in bands(x):
+                index.setdefault(k, []).append(at)
+
+        for at, x in enumerate(kept):
+            enter(at, x)
         rows = pd.concat(list(batches)).sort_values("record_id", kind="stable")
         out = []
         for r, sig in zip(rows["record_id"], rows["sig"]):
             s = np.asarray(sig, np.int64)
-            near = bool(kept) and bool(((np.stack(kept) == s).sum(axis=1) >= least).any())
+            x = s.tobytes()
+            met = {at for k in bands(x) for at in index.get(k, ())}
+            near = any(int((np.frombuffer(kept[at], np.int64) == s).sum()) >= least for at in met)
             out.append((r, key[0], near))
             if not near:
-                kept = (kept + [s])[-tail:]
-        state.update(([k.tobytes() for k in kept],))
+                enter(len(kept), x)
+                kept.append(x)
+        state.update((kept,))
         yield pd.DataFrame(out, columns=["record_id", "source", "reject"])
 
     return keyed.where("sig is not null").groupBy("source", "bucket").applyInPandasWithState(step, "record_id string, source string, reject boolean", "sigs array<binary>", "append", "NoTimeout")

@@ -97,3 +97,13 @@ def test_curation_plan(spark):
     got = {r["record_id"]: (r["accepted_id"], r["reject_reason"]) for r in curate(df).collect()}
     assert got == {"r1": ("v2q_000001", None), "r2": (None, "punctuation_only_duplicate"), "r3": (None, "empty"), "r4": ("v2q_000002", None)}
     assert curate(df.limit(0)).count() == 0
+
+
+def test_near_stream_reaches_back_to_the_first_row(spark, tmp_path):
+    texts = [f"{i * 7919 % 10007:05d}{i:05d}{i * 104729 % 99991:05d} kurt e" for i in range(2300)]
+    data = [(f"r{i:05d}", "a", x) for i, x in enumerate(texts)] + [("z", "a", texts[0])]
+    df = spark.createDataFrame(data, "record_id string, source string, text string")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    got = {r["record_id"]: r["reject"] for r in dedup.run_once(dedup.near_stream(stream), str(tmp_path / "o"), str(tmp_path / "c")).collect()}
+    assert sum(not x for x in got.values()) > 2100 and got["z"]
