@@ -20,16 +20,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.storage import materialise
+from ..plans.storage import discard, materialise
 from ..sources.tables import table
 from . import codepoints as cp
 from . import lookalikes, prefixes
 
 MIN_WORDS = 30
 SIMILARITY = 0.8
+PART = 4096
 U64 = np.uint64
 
-BAG_SCHEMA = "tab string, record_key string, n int, bag long, words binary"
+BAG_SCHEMA = "tab string, record_key string, bag long, words binary"
 
 
 def bag_arrays(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -88,8 +89,8 @@ def _bags(least: int):
                 w, o = words[sel], np.concatenate([[0], np.cumsum(n[keep])])
                 take = pa.array(keep)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("tab").take(take), b.column("record_key").take(take), pa.array(n[keep].astype(np.int32)), pa.array(bag_ids(w, o)), _binary(w, o)],
-                    names=["tab", "record_key", "n", "bag", "words"],
+                    [b.column("tab").take(take), b.column("record_key").take(take), pa.array(bag_ids(w, o)), _binary(w, o)],
+                    names=["tab", "record_key", "bag", "words"],
                 )
 
     return run
@@ -123,18 +124,6 @@ def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield out()
 
 
-def _signed(order: tuple[np.ndarray, np.ndarray], similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words, offs = unpack(b.column("words"))
-            if len(offs) > 1:
-                group = b.column("grp").to_numpy(zero_copy_only=False).astype(np.int64).view(U64)
-                side = pa.array(np.zeros(len(offs) - 1, np.int32))
-                yield pa.RecordBatch.from_arrays([b.column("node"), side, *prefixes.signed(words, offs, group, order, similarity)], names=["node", "side", "n", "bits", "keys"])
-
-    return run
-
-
 def overlaps(wa: np.ndarray, oa: np.ndarray, wb: np.ndarray, ob: np.ndarray) -> np.ndarray:
     """For each row the share of the longer bag that both bags hold, words counted as often as they occur in both."""
     n = len(oa) - 1
@@ -176,22 +165,45 @@ def checked(edges: DataFrame, bags: DataFrame) -> DataFrame:
 
 
 def text_bags(texts: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """(tab, record_key, n, bag, words) of texts (tab, record_key, text) with at least `least` words, written once."""
+    """(tab, record_key, node, words) of texts (tab, record_key, text) with at least `least` words, written once.
+
+    A node is an id of (tab, bag): rows of one node have the same words.
+    """
     plain = texts.where("text is not null and record_key is not null").select("tab", "record_key", "text")
-    return materialise(plain.mapInArrow(_bags(least), BAG_SCHEMA), "bags")
+    bags = plain.mapInArrow(_bags(least), BAG_SCHEMA)
+    return materialise(bags.select("tab", "record_key", F.xxhash64("tab", "bag").alias("node"), "words"), "bags")
 
 
-def similar_classes(bags: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(classes (node, tab), links (a, b, sim)) of written bags; a node is an id of (tab, bag)."""
-    keyed = bags.withColumn("node", F.xxhash64("tab", "bag"))
-    classes = keyed.groupBy("node").agg(F.first("words").alias("words"), F.first(F.xxhash64("tab")).alias("grp"))
-    counts = bags.select("words").mapInArrow(_distinct_words, "word long, df long").groupBy("word").agg(F.sum("df").alias("df"))
-    order = prefixes.order_of(counts, bags.count())
-    signed = materialise(classes.select("node", "grp", "words").mapInArrow(_signed(order, similarity), prefixes.SIGNED), "signed")
-    edges = materialise(prefixes.candidates(signed, similarity), "edges")
+def word_counts(bags: DataFrame) -> DataFrame:
+    """(word, df): the number of rows that hold each word."""
+    return bags.select("words").mapInArrow(_distinct_words, "word long, df long").groupBy("word").agg(F.sum("df").alias("df"))
+
+
+def verified(edges: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, sim) of the written edges whose bags share at least `similarity` of the longer one's words, written."""
     near = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    held = materialise(keyed.select("node", "words").join(near, "node", "left_semi").groupBy("node").agg(F.first("words").alias("words")), "held")
-    return keyed, checked(edges, held).where(F.col("sim") >= similarity)
+    held = materialise(bags.select("node", "words").join(near, "node", "left_semi").groupBy("node").agg(F.first("words").alias("words")), "held")
+    links = materialise(checked(edges, held).where(F.col("sim") >= similarity), "links")
+    discard(held)
+    return links
+
+
+def similar_classes(bags: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b, sim): the links between the nodes of written bags, written."""
+    order = prefixes.order_of(word_counts(bags), bags.count())
+    edges = prefixes.candidates(bags.select("node", F.lit(0).alias("side"), F.xxhash64("tab").alias("grp"), "words"), unpack, order, similarity)
+    links = verified(edges, bags, similarity)
+    discard(edges)
+    return links
+
+
+def pairs_within(members: DataFrame, group: str, key: str) -> DataFrame:
+    """(group, x, y): all pairs x < y of keys of one group. A large group is cut into parts of PART, and each part is a task's own."""
+    sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("size")).where("size > 1").select(group, F.ceil(F.col("size") / PART).cast("int").alias("parts"))
+    many = members.select(group, key).join(sizes, group)
+    left = many.select(group, F.col(key).alias("x"), F.pmod(F.xxhash64(key), F.col("parts")).cast("int").alias("part"))
+    right = many.select(group, F.col(key).alias("y"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return left.join(right, [group, "part"]).where("x < y").select(group, "x", "y")
 
 
 def pairs(texts: DataFrame, similarity: float = SIMILARITY, least: int = MIN_WORDS) -> DataFrame:
@@ -200,15 +212,14 @@ def pairs(texts: DataFrame, similarity: float = SIMILARITY, least: int = MIN_WOR
     Null and empty texts and texts under `least` words are in no pair. Rows that come again give no pair of their own;
     copies under several keys give every pair of keys, which is what the result's form asks for.
     """
-    keyed, links = similar_classes(text_bags(texts, least), similarity)
-    keys = keyed.select("tab", "record_key", "node")
-    links = materialise(links.select("a", "b"), "links")
+    bags = text_bags(texts, least)
+    links = similar_classes(bags, similarity)
+    keys = bags.select("tab", "record_key", "node").distinct()
     x = keys.select("tab", F.col("record_key").alias("x"), F.col("node").alias("a"))
     y = keys.select(F.col("record_key").alias("y"), F.col("node").alias("b"))
     near = links.join(x, "a").join(y, "b").select("tab", "x", "y")
-    again = keys.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("node")
-    many = keys.join(again, "node", "left_semi")
-    same = many.select("tab", F.col("record_key").alias("x"), "node").join(many.select(F.col("record_key").alias("y"), "node"), "node").where("x < y").select("tab", "x", "y")
+    named = materialise(keys.select("node", F.struct("tab", "record_key").alias("k")), "keys")
+    same = pairs_within(named, "node", "k").select("x.tab", F.col("x.record_key").alias("x"), F.col("y.record_key").alias("y"))
     out = near.where("x <> y").unionByName(same)
     return out.select("tab", F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
 
@@ -221,8 +232,8 @@ def groups(texts: DataFrame, similarity: float = SIMILARITY, least: int = MIN_WO
     """
     from .groupsplit import propagate
 
-    keyed, found = similar_classes(text_bags(texts, least), similarity)
-    found = materialise(found.select("a", "b"), "links")
+    keyed = text_bags(texts, least)
+    found = similar_classes(keyed, similarity)
     link = F.concat_ws("-", "a", "b").alias("record_id")
     edges = found.select(link, F.col("a").cast("string").alias("document")).union(found.select(link, F.col("b").cast("string").alias("document")))
     labels = propagate(materialise(edges, "edges")).select(F.col("document").cast("long").alias("node"), "label")

@@ -5,7 +5,7 @@ Method: prefix filter over words in order of their frequency (prefixes) between
 * Two records that share `similarity` of the words of the longer share one of their rarest (1 - similarity) n + 1 words;
   classes of both sides meet in a bucket for each of these. Frequent words are only last in the order, so families of near
   copies of any size meet, and records with the same words in another order as well: no pair is lost.
-* Records of equal word sequence are one class, so copies cost one row each.
+* Records of the same words are one class, so copies cost one row each.
 """
 
 from __future__ import annotations
@@ -17,120 +17,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import materialise
+from ..plans.storage import discard, materialise
 from . import codepoints as cp
-from . import lookalikes, prefixes
-from .neardup import _binary, _distinct_words, overlaps, slices, unpack
+from . import prefixes
+from .neardup import _binary, bag_arrays, bag_ids, unpack, verified, word_counts
 
 SIMILARITY = 0.8
-U64 = np.uint64
 
 
-def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in cp.pieces(batches):
-        cps, offs = cp.decode(b.column("text"))
-        cps, offs, _ = lookalikes.canonical(cps, offs)
-        low = cp.tables()[0][cps]
-        start, end, row = cp.word_runs(low, offs)
-        words = (cp.run_hashes(low, start, end) >> U64(32)).astype(np.uint32)
-        n = np.bincount(row, minlength=len(offs) - 1)
-        woffs = np.concatenate([[0], np.cumsum(n)])
-        node = sequence_ids(words, woffs)
-        keep = pa.array(np.flatnonzero(n > 0))
-        out = pa.RecordBatch.from_arrays([b.column("id"), b.column("eval"), pa.array(node), _binary(words, woffs)], names=["id", "eval", "node", "words"])
+        words, offs = bag_arrays(b.column("text"))
+        keep = pa.array(np.flatnonzero(np.diff(offs) > 0))
+        out = pa.RecordBatch.from_arrays([b.column("id"), b.column("eval"), pa.array(bag_ids(words, offs)), _binary(words, offs)], names=["id", "eval", "node", "words"])
         yield out.take(keep)
 
 
-def sequence_ids(words: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    n = len(offs) - 1
-    out = np.zeros(n, U64)
-    full = np.flatnonzero(np.diff(offs) > 0)
-    if len(full):
-        pos = np.arange(len(words)) - np.repeat(offs[:-1], np.diff(offs))
-        with np.errstate(over="ignore"):
-            out[full] = np.add.reduceat(cp.mix64(words.astype(U64) + (pos.astype(U64) << U64(32))), offs[:-1][full])
-    return cp.mix64(out + np.diff(offs).astype(U64)).view(np.int64)
-
-
-class _Seen:
-    """Classes that a task has already sent on: copies leave a task once, so a hot group of copies is one row a task."""
-
-    def __init__(self, most: int = 1 << 20) -> None:
-        self.most, self.seen = most, set()
-
-    def fresh(self, nodes: np.ndarray) -> np.ndarray:
-        if len(self.seen) > self.most:
-            self.seen.clear()
-        out = np.zeros(len(nodes), bool)
-        for i, x in enumerate(nodes.tolist()):
-            if x not in self.seen:
-                self.seen.add(x)
-                out[i] = True
-        return out
-
-
-def _sorted(words: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    key = (cp.row_ids(offs).astype(U64) << U64(32)) | words.astype(U64)
-    key.sort()
-    return (key & U64(0xFFFFFFFF)).astype(np.uint32)
-
-
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        words, offs = unpack(b.column("words"))
-        if len(offs) > 1:
-            yield pa.RecordBatch.from_arrays([_binary(_sorted(words, offs), offs)], names=["words"])
-
-
-def _signed(order: tuple[np.ndarray, np.ndarray], similarity: float):
-    """The classes that a task hasn't sent on yet, once for each side."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = {True: _Seen(), False: _Seen()}
-        for b in batches:
-            node, side = b.column("node").to_numpy(zero_copy_only=False), b.column("eval").to_numpy(zero_copy_only=False).astype(bool)
-            fresh = np.zeros(len(b), bool)
-            for x, s in seen.items():
-                at = np.flatnonzero(side == x)
-                fresh[at] = s.fresh(node[at])
-            b = b.filter(pa.array(fresh))
-            words, offs = unpack(b.column("words"))
-            if len(offs) > 1:
-                got = prefixes.signed(_sorted(words, offs), offs, np.zeros(len(offs) - 1, U64), order, similarity)
-                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(side[fresh].astype(np.int32)), *got], names=["node", "side", "n", "bits", "keys"])
-
-    return run
-
-
-def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, "wa", "wb"):
-        sides = []
-        for name in ("wa", "wb"):
-            w, o = unpack(b.column(name))
-            sides += [_sorted(w, o), o]
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(overlaps(*sides))], names=["a", "b", "sim"])
-
-
 def cross_split(windows: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(records (id, eval, node), links (a, b, sim)): a is an evaluation class, b a training class.
 
     windows: id, split, tokens. Null tokens, empty lists and null splits are in no link; rows that come again are one.
     """
     texts = windows.where("id is not null and tokens is not null and split in ('train', 'validation', 'test')").select("id", (F.col("split") != "train").alias("eval"), F.array_join("tokens", " ").alias("text"))
-    rows = materialise(texts.mapInArrow(_sequences, "id string, eval boolean, node long, words binary"), "windows")
-    records = rows.select("id", "eval", "node")
-    counts = rows.select("words").mapInArrow(_bags, "words binary").mapInArrow(_distinct_words, "word long, df long").groupBy("word").agg(F.sum("df").alias("df"))
-    order = prefixes.order_of(counts, rows.count())
-    # A class that several tasks send on is one row for each side.
-    sent = rows.select("node", "eval", "words").mapInArrow(_signed(order, similarity), prefixes.SIGNED)
-    signed = materialise(sent.groupBy("node", "side").agg(*(F.first(c).alias(c) for c in ("n", "bits", "keys"))), "signed")
-    cand = materialise(prefixes.candidates(signed, similarity, cross=True), "candidates")
-    need = cand.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    held = rows.select("node", "words").join(need, "node", "left_semi").groupBy("node").agg(F.first("words").alias("words"))
-    held = materialise(held, "held")
-    wa, wb = held.select(F.col("node").alias("a"), F.col("words").alias("wa")), held.select(F.col("node").alias("b"), F.col("words").alias("wb"))
-    links = cand.join(wa, "a").join(wb, "b").select("a", "b", "wa", "wb").mapInArrow(_check, "a long, b long, sim double")
-    return records, links.where(F.col("sim") >= similarity)
+    rows = materialise(texts.mapInArrow(_bags, "id string, eval boolean, node long, words binary"), "windows")
+    order = prefixes.order_of(word_counts(rows), rows.count())
+    bags = rows.select("node", F.col("eval").cast("int").alias("side"), F.lit(0).cast("long").alias("grp"), "words")
+    edges = prefixes.candidates(bags, unpack, order, similarity, cross=True)
+    links = verified(edges, rows, similarity)
+    discard(edges)
+    return rows.select("id", "eval", "node"), links
 
 
 def found(windows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -148,7 +63,7 @@ def report(windows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     Windows are counted once for each id; a null source counts as unknown.
     """
     records, links = cross_split(windows, similarity)
-    links = materialise(links.select("a", "b"), "links")
+    links = links.select("a", "b")
     meta = windows.where("split in ('train', 'validation', 'test')").select("id", "split", "article_id", F.coalesce("source", F.lit("unknown")).alias("source"))
     evals = meta.where("split <> 'train'").groupBy("id", "split").agg(F.min("source").alias("source"), F.min("article_id").alias("article_id"))
     ids = records.select("id", "eval", "node").distinct()

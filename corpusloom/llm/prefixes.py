@@ -2,34 +2,41 @@
 
 Method: prefix filter. The words of each bag stand in one order for all bags, rare ones first; the k-th occurrence of a word
 is a word of its own. Of n words a pair at the threshold shares at least least_shared(n), so both bags hold their first
-common word among their first n - least_shared(n) + 1; bags meet in a bucket for each of these. All pairs of a bucket are
-looked at, by bounds that can't reject a pair at the threshold: lengths, words left after the common one, and the parities of
-word counts in PARITIES cells, whose differing cells are no more than the words that only one of both bags has.
+common word among their first n - least_shared(n) + 1; bags meet in a cell for each of these. The pairs of a cell that lengths
+allow are looked at, by bounds that can't reject a pair at the threshold: the words left after the common one, and the
+parities of word counts in a row of bits, whose differing bits are no more than the words that only one of both bags has. The
+bits are about as many as the words; of two bags the finer row is folded to the coarser by exclusive or.
 
-A bucket of more than BLOCK bags is cut into parts, and each two parts meet in a task's rows of their own, so no task holds more
-than two parts. The pairs looked at grow with the square of a word's bags; where words don't get rarer as a table grows, so
-does that part of the work.
+A cell of more than BLOCK bags is cut into parts, and each two parts meet in rows of their own, so no task holds more than two
+parts. Which cells are cut is estimated from one bag in SAMPLE; it decides who works where and never what comes out. The cells
+are worked in ROUNDS parts of the key space, each written before the next begins, so that less lies on disk at once. The pairs
+looked at grow with the square of a word's bags; where words don't get rarer as a table grows, so does that part of the work.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import materialise
+from ..plans.storage import discard, materialise
 from . import codepoints as cp
 
-PARITIES = 256
 BLOCK = 4096
+SAMPLE = 16
+ROUNDS = 2
 PAIRS_AT_ONCE = 400_000
 FREQUENT = 0.0001
+MOST_FREQUENT = 1_000_000
+LEAST_BITS, MOST_BITS = 64, 1024
+SIDE, LENGTH = 1 << 3, 32
 U64 = np.uint64
 
-SIGNED = "node long, side int, n int, bits binary, keys array<long>"
+POSTED = "cell long, node long, meta long, bits binary"
 
 
 def least_shared(n: np.ndarray, similarity: float) -> np.ndarray:
@@ -37,106 +44,240 @@ def least_shared(n: np.ndarray, similarity: float) -> np.ndarray:
 
 
 def order_of(counts: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """(words, counts), sorted by word, of the words (word, df) in more than FREQUENT of all rows: at most mean words / FREQUENT."""
-    got = counts.where(F.col("df") > int(FREQUENT * total)).toArrow()
+    """(words, counts), sorted by word, of the words (word, df) in more than FREQUENT of all rows: at most mean words / FREQUENT.
+
+    Texts so long that these were more than MOST_FREQUENT words get the most frequent of them; all other words come first,
+    in the order of their hashes, which is an order for all bags as well.
+    """
+    frequent = counts.where(F.col("df") > int(FREQUENT * total)).select("word", "df")
+    got = frequent.orderBy(F.desc("df"), "word").limit(MOST_FREQUENT).toArrow()
     words, df = got.column("word").to_numpy().astype(np.uint32), got.column("df").to_numpy().astype(np.int64)
     o = np.argsort(words)
-    return words[o], df[o]
+    return words[o], np.minimum(df[o], (1 << 31) - 1)
 
 
-def signed(words: np.ndarray, offs: np.ndarray, group: np.ndarray, order: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[pa.Array, pa.Array, pa.Array]:
-    """(n, bits, keys) of bags, words sorted within rows; keys are those of the prefix in order and differ by group."""
-    n, row = np.diff(offs), cp.row_ids(offs)
-    new = np.concatenate([[True], (words[1:] != words[:-1]) | (row[1:] != row[:-1])]) if len(words) else np.empty(0, bool)
+def _tokens(words: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, token) of each word of bags, words sorted within rows."""
+    row = cp.row_ids(offs)
+    if not len(words):
+        return row, np.empty(0, U64)
+    new = np.concatenate([[True], (words[1:] != words[:-1]) | (row[1:] != row[:-1])])
     idx = np.arange(len(words))
-    occ = idx - np.maximum.accumulate(np.where(new, idx, 0)) if len(words) else idx
-    token = cp.mix64((words.astype(U64) << U64(20)) + occ.astype(U64) + U64(0x2545F491))
+    occ = idx - np.maximum.accumulate(np.where(new, idx, 0))
+    return row, cp.mix64((words.astype(U64) << U64(20)) + occ.astype(U64) + U64(0x2545F491))
+
+
+def _prefix(words: np.ndarray, offs: np.ndarray, row: np.ndarray, order: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the prefix words, position of each in its bag's order). The order is (count, word, occurrence)."""
     known, df = order
     count = np.zeros(len(words), np.int64)
-    if len(known) and len(words):
+    if len(known):
         at = np.minimum(np.searchsorted(known, words), len(known) - 1)
         count = np.where(known[at] == words, df[at], 0)
-    odd = (np.bincount(row * PARITIES + (token % U64(PARITIES)).astype(np.int64), minlength=len(n) * PARITIES) & 1).astype(np.uint8)
-    bits = np.packbits(odd).tobytes()
-    o = np.lexsort((token, count, row))
-    take = n - least_shared(n, similarity) + 1
-    take[n == 0] = 0
-    first = idx - np.repeat(offs[:-1], n) < np.repeat(take, n)
-    keys = cp.mix64(token[o][first] + group[row[first]])
-    width = PARITIES // 8
-    held = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((np.arange(len(n) + 1) * width).astype(np.int32).tobytes()), pa.py_buffer(bits)])
-    return pa.array(n.astype(np.int32)), held, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]).astype(np.int32)), pa.array(keys.view(np.int64)))
+    o = np.argsort((row << 32) | count, kind="stable")
+    n = np.diff(offs)
+    take = np.where(n > 0, n - least_shared(n, similarity) + 1, 0)
+    pos = np.arange(len(words)) - np.repeat(offs[:-1], n)
+    first = pos < np.repeat(take, n)
+    return o[first], pos[first]
+
+
+def _parities(row: np.ndarray, token: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit words of all rows, where each row's begin): bit t % width is odd where the row holds an odd number of tokens t."""
+    width = np.clip(1 << np.ceil(np.log2(np.maximum(n, 1) * 1.25)).astype(np.int64), LEAST_BITS, MOST_BITS)
+    base = np.concatenate([[0], np.cumsum(width)])
+    at = base[row] + (token & (width[row] - 1).astype(U64)).astype(np.int64)
+    odd = (np.bincount(at, minlength=int(base[-1])) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<u8"), base // 64
+
+
+def _flat(words: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches words[begin : begin + size], one after the other."""
+    ends = np.cumsum(size)
+    return words[np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - size, size) + np.repeat(begin, size)]
+
+
+def keys_of(words: np.ndarray, offs: np.ndarray, group: np.ndarray, order: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    row, token = _tokens(words, offs)
+    at, _ = _prefix(words, offs, row, order, similarity)
+    return cp.mix64(token[at] + group[row[at]]).view(np.int64)
+
+
+def posted(words: np.ndarray, offs: np.ndarray, node: np.ndarray, side: np.ndarray, group: np.ndarray, order: tuple[np.ndarray, np.ndarray], similarity: float, rounds: int, turn: int) -> pa.RecordBatch:
+    """A row for each prefix word whose key belongs to this turn; keys differ by group."""
+    n = np.diff(offs)
+    row, token = _tokens(words, offs)
+    at, pos = _prefix(words, offs, row, order, similarity)
+    keys = cp.mix64(token[at] + group[row[at]])
+    mine = keys % U64(rounds) == U64(turn)
+    at, pos, keys = at[mine], pos[mine], keys[mine]
+    bits, begin = _parities(row, token, n)
+    r = row[at]
+    size = np.diff(begin)[r]
+    flat = _flat(bits, begin[:-1][r], size)
+    ends = np.concatenate([[0], np.cumsum(size)]) * 8
+    held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(r), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(flat.tobytes())]).cast(pa.binary())
+    meta = (n[r] << LENGTH) | (pos << 4) | np.where(side[r] > 0, SIDE, 0)
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(node[r]), pa.array(meta), held], names=["cell", "node", "meta", "bits"])
+
+
+def _apart(bits: np.ndarray, begin: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The differing bits of rows i and j, the finer folded to the coarser."""
+    out = np.zeros(len(i), np.int64)
+    kind = size[i] * 64 + size[j]
+    for k in np.unique(kind):
+        sel = np.flatnonzero(kind == k)
+        si, sj = int(k) // 64, int(k) % 64
+        w = min(si, sj)
+        for c in range(w):
+            x = bits[begin[i[sel]] + c]
+            for d in range(c + w, si, w):
+                x = x ^ bits[begin[i[sel]] + d]
+            for d in range(c, sj, w):
+                x = x ^ bits[begin[j[sel]] + d]
+            out[sel] += np.bitwise_count(x)
+    return out
 
 
 def _met(similarity: float, cross: bool):
-    def pairs(cell, node, side, part, n, pos, bits) -> Iterator[pa.RecordBatch]:
-        o = np.lexsort((n, cell))
-        cell, node, side, part, n, pos, bits = (x[o] for x in (cell, node, side, part, n, pos, bits))
+    def pairs(cell, node, meta, bits, size) -> Iterator[pa.RecordBatch]:
+        begin = np.cumsum(size) - size
+        n, part = meta >> LENGTH, meta & 7
+        o = np.lexsort((node, meta & 15, n, cell))
+        again = np.concatenate([[False], (cell[o][1:] == cell[o][:-1]) & (node[o][1:] == node[o][:-1]) & ((meta[o][1:] & 15) == (meta[o][:-1] & 15))])
+        o = o[~again]  # a class that several tasks sent on
+        cell, node, meta, n, part, begin, size = (x[o] for x in (cell, node, meta, n, part, begin, size))
+        pos, side = (meta & ((1 << LENGTH) - 1)) >> 4, (meta & SIDE) > 0
         group = np.cumsum(np.concatenate([[True], cell[1:] != cell[:-1]])).astype(np.int64) << 32
         # Of two lengths the longer is at most the shorter / similarity.
-        most = np.searchsorted(group + n, group + np.floor(n / similarity + 1e-6).astype(np.int64), side="right")
-        count = np.maximum(0, most - np.arange(len(n)) - 1)
+        longest = group + np.floor(n / similarity + 1e-6).astype(np.int64)
+        if cross:
+            left, right = np.flatnonzero(side), np.flatnonzero(~side)
+            at = (group + n)[right]
+            lo = np.searchsorted(at, (group + np.ceil(n * similarity - 1e-6).astype(np.int64))[left], side="left")
+            hi = np.searchsorted(at, longest[left], side="right")
+        else:
+            left = right = np.arange(len(n))
+            lo, hi = left + 1, np.searchsorted(group + n, longest, side="right")
+        count = np.maximum(0, hi - lo)
         ends = np.cumsum(count)
         at = 0
-        while at < len(n):
+        while at < len(left):
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, side="right")))
             c = count[at:to]
-            i = np.repeat(np.arange(at, to), c)
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
+            i = np.repeat(left[at:to], c)
+            j = right[np.repeat(lo[at:to], c) + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)]
             at = to
-            need = least_shared(n[j], similarity)
-            ok = (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need) & (n[i] >= need) & ((part[i] == 0) | (part[i] != part[j]))
-            ok &= (side[i] != side[j]) if cross else (node[i] != node[j])
+            need = least_shared(np.maximum(n[i], n[j]), similarity)
+            ok = (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need) & ((part[i] == 0) | (part[i] != part[j]))
+            if not cross:
+                ok &= node[i] != node[j]
             i, j, need = i[ok], j[ok], need[ok]
-            apart = np.zeros(len(i), np.int64)
-            for k in range(bits.shape[1]):
-                apart += np.bitwise_count(bits[i, k] ^ bits[j, k])
-            ok = apart <= n[i] + n[j] - 2 * need
+            ok = _apart(bits, begin, size, i, j) <= n[i] + n[j] - 2 * need
             a, b = node[i[ok]], node[j[ok]]
-            if cross:
-                a, b = np.where(side[i[ok]] == 1, a, b), np.where(side[i[ok]] == 1, b, a)
-            else:
+            if not cross:
                 a, b = np.minimum(a, b), np.maximum(a, b)
             if len(a):
                 one = np.unique(np.stack([a, b]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(one[0]), pa.array(one[1])], names=["a", "b"])
 
+    def arrays(b: pa.RecordBatch) -> list[np.ndarray]:
+        cell, node, meta = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("cell", "node", "meta"))
+        held = b.column("bits").cast(pa.large_binary())
+        offs = np.frombuffer(held.buffers()[1], np.int64)[held.offset : held.offset + len(held) + 1]
+        return [cell, node, meta, np.frombuffer(held.buffers()[2], np.uint8)[offs[0] : offs[-1]].view("<u8"), np.diff(offs) // 8]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, rows = [], 0
         for b in batches:
             if not len(b):
                 continue
-            now = [b.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "node", "side", "part", "n", "pos")]
-            now = [x.astype(np.int64) for x in now]
-            flat = np.frombuffer(b"".join(b.column("bits").to_pylist()), "<u8").reshape(len(b), -1)
-            held.append([*now, flat])
-            size += len(b)
-            if size < 50_000 or held[0][0][0] == now[0][-1]:
+            now = arrays(b)
+            held.append(now)
+            rows += len(b)
+            if rows < 50_000 or held[0][0][0] == now[0][-1]:
                 continue
-            rows = [np.concatenate(x) for x in zip(*held)]
-            cut = int(np.flatnonzero(rows[0] != rows[0][-1])[-1]) + 1
-            yield from pairs(*[x[:cut] for x in rows])
-            held, size = [[x[cut:] for x in rows]], len(rows[0]) - cut
+            x = [np.concatenate(y) for y in zip(*held)]
+            cut = int(np.flatnonzero(x[0] != x[0][-1])[-1]) + 1
+            bit = int(x[4][:cut].sum())
+            yield from pairs(*(y[:cut] for y in x[:3]), x[3][:bit], x[4][:cut])
+            held, rows = [[*(y[cut:] for y in x[:3]), x[3][bit:], x[4][cut:]]], len(x[0]) - cut
         if held:
             yield from pairs(*[np.concatenate(x) for x in zip(*held)])
 
     return run
 
 
-def candidates(bags: DataFrame, similarity: float, cross: bool = False) -> DataFrame:
-    """Distinct pairs (a, b) of nodes of written bags (SIGNED) that pass the bounds; with cross, a of side 1 and b of side 0."""
-    each = bags.select("node", "side", "n", "bits", F.posexplode("keys").alias("pos", "key"))
-    hot = bags.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BLOCK)
-    hot = materialise(hot.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts")), "hot")
-    if hot.isEmpty():
-        cells = each.select(F.col("key").alias("cell"), "node", "side", F.lit(0).alias("part"), "n", "pos", "bits")
-    else:
-        own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
-        each = each.join(hot, "key", "left").withColumn("own", own)
-        other = F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))).alias("other")
-        each = each.select("*", other)
-        cell = F.when(F.col("other") < 0, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
-        part = F.when((F.col("other") < 0) | (F.col("own") == F.col("other")), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-        cells = each.select(cell.alias("cell"), "node", "side", part.alias("part"), "n", "pos", "bits")
-    met = cells.repartition("cell").sortWithinPartitions("cell")
-    return met.mapInArrow(_met(similarity, cross), "a long, b long").distinct()
+def candidates(bags: DataFrame, unpack, order: tuple[np.ndarray, np.ndarray], similarity: float, cross: bool = False) -> DataFrame:
+    """Distinct pairs (a, b) of nodes of a written table of bags (node, side, grp, words) that pass the bounds, written.
+
+    Bags of one node and side are the same; unpack gives (words, offsets) of a column. With cross, a is of side 1, b of side 0.
+    """
+
+    def arrays(b: pa.RecordBatch, seen: Seen) -> tuple:
+        node, side = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("node", "side"))
+        fresh = seen.fresh(node ^ (side * 0x5851F42D4C957F2D))
+        b = b.filter(pa.array(fresh))
+        return *unpack(b.column("words")), node[fresh], side[fresh], b.column("grp").to_numpy(zero_copy_only=False).astype(np.int64).view(U64)
+
+    def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
+        for b in batches:
+            words, offs, _, _, group = arrays(b, seen)
+            yield pa.RecordBatch.from_arrays([pa.array(keys_of(words, offs, group, order, similarity))], names=["cell"])
+
+    def post_rows(turn: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = Seen()
+            for b in batches:
+                words, offs, node, side, group = arrays(b, seen)
+                if len(node):
+                    yield posted(words, offs, node, side, group, order, similarity, ROUNDS, turn)
+
+        return run
+
+    rows = bags.select("node", "side", "grp", "words")
+    some = rows.where(F.pmod("node", F.lit(SAMPLE)) == 0).mapInArrow(key_rows, "cell long").groupBy("cell").agg(F.count(F.lit(1)).alias("size"))
+    hot = some.where(F.col("size") * SAMPLE > BLOCK).select("cell", F.ceil(F.col("size") * SAMPLE / BLOCK).cast("int").alias("parts"))
+    hot = materialise(hot, "hot")
+    none, parts = hot.isEmpty(), []
+    for turn in range(ROUNDS):
+        cells = rows.mapInArrow(post_rows(turn), POSTED)
+        if not none:
+            cells = cells.join(hot, "cell", "left").withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int"))
+            other = F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))).alias("other")
+            cells = cells.select("*", other)
+            cell = F.when(F.col("other") < 0, F.col("cell")).otherwise(F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")))
+            part = F.when((F.col("other") < 0) | (F.col("own") == F.col("other")), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+            cells = cells.select(cell.alias("cell"), "node", F.col("meta").bitwiseOR(part.cast("long")).alias("meta"), "bits")
+        met = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_met(similarity, cross), "a long, b long").distinct()
+        met = materialise(met, "met")
+        parts.append(met)
+        discard(spark=bags.sparkSession)
+    edges = materialise(reduce(DataFrame.union, parts).distinct(), "edges")
+    discard(hot, *parts)
+    return edges
+
+
+class Seen:
+    """Nodes that a task has already sent on: copies leave a task once, so a hot group of copies is one row a task."""
+
+    def __init__(self, most: int = 1 << 21) -> None:
+        self.most, self.parts, self.size = most, [], 0
+
+    def fresh(self, nodes: np.ndarray) -> np.ndarray:
+        first = np.zeros(len(nodes), bool)
+        first[np.unique(nodes, return_index=True)[1]] = True
+        for known in self.parts:
+            at = np.minimum(np.searchsorted(known, nodes), len(known) - 1)
+            first &= known[at] != nodes
+        new = np.sort(nodes[first])
+        if self.size + len(new) > self.most:
+            self.parts, self.size = [], 0
+        if len(new):
+            # Sorted runs, merged when a run is no longer than the one behind it.
+            self.size += len(new)
+            while self.parts and len(self.parts[-1]) <= 2 * len(new):
+                new = np.sort(np.concatenate([self.parts.pop(), new]))
+            self.parts.append(new)
+        return first
