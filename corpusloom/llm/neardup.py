@@ -125,7 +125,10 @@ def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def overlaps(wa: np.ndarray, oa: np.ndarray, wb: np.ndarray, ob: np.ndarray) -> np.ndarray:
-    """For each row the share of the longer bag that both bags hold, words counted as often as they occur in both."""
+    """For each row the share of the longer bag that both bags hold, words counted as often as they occur in both.
+
+    Words are sorted within rows, so that the keys (row, word, occurrence) are sorted and the sides are merged by search.
+    """
     n = len(oa) - 1
     keys = []
     for w, o in ((wa, oa), (wb, ob)):
@@ -133,9 +136,15 @@ def overlaps(wa: np.ndarray, oa: np.ndarray, wb: np.ndarray, ob: np.ndarray) ->
         new = np.concatenate([[True], (w[1:] != w[:-1]) | (row[1:] != row[:-1])]) if len(w) else np.empty(0, bool)
         idx = np.arange(len(w))
         occ = idx - np.maximum.accumulate(np.where(new, idx, 0)) if len(w) else idx
-        keys.append(cp.mix64(cp.mix64((row.astype(U64) << U64(32)) | w.astype(U64)) + occ.astype(U64)))
-    both = np.isin(keys[0], keys[1], assume_unique=True)
-    hit = np.bincount(cp.row_ids(oa)[both], minlength=n)
+        keys.append(((row << 32) | w.astype(np.int64), occ))
+    (a, i), (b, _) = keys
+    if not len(a) or not len(b):
+        return np.zeros(n)
+    # The k-th occurrence in a is shared if b holds the word more than k times: b's run of the word begins at its first place.
+    first = np.searchsorted(b, a, side="left")
+    at = first + i
+    both = (at < len(b)) & (b[np.minimum(at, len(b) - 1)] == a)
+    hit = np.bincount((a >> 32)[both], minlength=n)
     return hit / np.maximum(1, np.maximum(np.diff(oa), np.diff(ob)))
 
 

@@ -42,7 +42,7 @@ def cross_split(windows: DataFrame, similarity: float = SIMILARITY) -> tuple[Dat
     rows = materialise(texts.mapInArrow(_bags, "id string, eval boolean, node long, words binary"), "windows")
     order = prefixes.order_of(word_counts(rows), rows.count())
     bags = rows.select("node", F.col("eval").cast("int").alias("side"), F.lit(0).cast("long").alias("grp"), "words")
-    edges = prefixes.candidates(bags, unpack, order, similarity, cross=True)
+    edges = prefixes.candidates(bags, unpack, order, similarity, cross=True, fine=1.25)
     links = verified(edges, rows, similarity)
     discard(edges)
     return rows.select("id", "eval", "node"), links

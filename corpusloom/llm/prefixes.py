@@ -5,7 +5,7 @@ is a word of its own. Of n words a pair at the threshold shares at least least_s
 common word among their first n - least_shared(n) + 1; bags meet in a cell for each of these. The pairs of a cell that lengths
 allow are looked at, by bounds that can't reject a pair at the threshold: the words left after the common one, and the
 parities of word counts in a row of bits, whose differing bits are no more than the words that only one of both bags has. The
-bits are about as many as the words; of two bags the finer row is folded to the coarser by exclusive or.
+bits are a few times as many as the words; of two bags the finer row is folded to the coarser by exclusive or.
 
 A cell of more than BLOCK bags is cut into parts, and each two parts meet in rows of their own, so no task holds more than two
 parts. Which cells are cut is estimated from one bag in SAMPLE; it decides who works where and never what comes out. The cells
@@ -28,7 +28,7 @@ from . import codepoints as cp
 
 BLOCK = 4096
 SAMPLE = 16
-ROUNDS = 2
+ROUNDS = 3
 PAIRS_AT_ONCE = 400_000
 FREQUENT = 0.0001
 MOST_FREQUENT = 1_000_000
@@ -82,9 +82,9 @@ def _prefix(words: np.ndarray, offs: np.ndarray, row: np.ndarray, order: tuple[n
     return o[first], pos[first]
 
 
-def _parities(row: np.ndarray, token: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _parities(row: np.ndarray, token: np.ndarray, n: np.ndarray, fine: float) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit words of all rows, where each row's begin): bit t % width is odd where the row holds an odd number of tokens t."""
-    width = np.clip(1 << np.ceil(np.log2(np.maximum(n, 1) * 1.25)).astype(np.int64), LEAST_BITS, MOST_BITS)
+    width = np.clip(1 << np.ceil(np.log2(np.maximum(n, 1) * fine)).astype(np.int64), LEAST_BITS, MOST_BITS)
     base = np.concatenate([[0], np.cumsum(width)])
     at = base[row] + (token & (width[row] - 1).astype(U64)).astype(np.int64)
     odd = (np.bincount(at, minlength=int(base[-1])) & 1).astype(np.uint8)
@@ -103,15 +103,15 @@ def keys_of(words: np.ndarray, offs: np.ndarray, group: np.ndarray, order: tuple
     return cp.mix64(token[at] + group[row[at]]).view(np.int64)
 
 
-def posted(words: np.ndarray, offs: np.ndarray, node: np.ndarray, side: np.ndarray, group: np.ndarray, order: tuple[np.ndarray, np.ndarray], similarity: float, rounds: int, turn: int) -> pa.RecordBatch:
-    """A row for each prefix word whose key belongs to this turn; keys differ by group."""
+def posted(words: np.ndarray, offs: np.ndarray, node: np.ndarray, side: np.ndarray, group: np.ndarray, order: tuple[np.ndarray, np.ndarray], similarity: float, rounds: int, turn: int, fine: float) -> pa.RecordBatch:
+    """A row for each prefix word whose key belongs to this turn; keys differ by group. fine: least bits for each word."""
     n = np.diff(offs)
     row, token = _tokens(words, offs)
     at, pos = _prefix(words, offs, row, order, similarity)
     keys = cp.mix64(token[at] + group[row[at]])
     mine = keys % U64(rounds) == U64(turn)
     at, pos, keys = at[mine], pos[mine], keys[mine]
-    bits, begin = _parities(row, token, n)
+    bits, begin = _parities(row, token, n, fine)
     r = row[at]
     size = np.diff(begin)[r]
     flat = _flat(bits, begin[:-1][r], size)
@@ -208,10 +208,11 @@ def _met(similarity: float, cross: bool):
     return run
 
 
-def candidates(bags: DataFrame, unpack, order: tuple[np.ndarray, np.ndarray], similarity: float, cross: bool = False) -> DataFrame:
+def candidates(bags: DataFrame, unpack, order: tuple[np.ndarray, np.ndarray], similarity: float, cross: bool = False, fine: float = 2.0) -> DataFrame:
     """Distinct pairs (a, b) of nodes of a written table of bags (node, side, grp, words) that pass the bounds, written.
 
     Bags of one node and side are the same; unpack gives (words, offsets) of a column. With cross, a is of side 1, b of side 0.
+    Finer bits let fewer pairs pass that aren't at the threshold, and are more bytes to move.
     """
 
     def arrays(b: pa.RecordBatch, seen: Seen) -> tuple:
@@ -232,7 +233,7 @@ def candidates(bags: DataFrame, unpack, order: tuple[np.ndarray, np.ndarray], si
             for b in batches:
                 words, offs, node, side, group = arrays(b, seen)
                 if len(node):
-                    yield posted(words, offs, node, side, group, order, similarity, ROUNDS, turn)
+                    yield posted(words, offs, node, side, group, order, similarity, ROUNDS, turn, fine)
 
         return run
 
