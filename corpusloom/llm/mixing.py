@@ -1,10 +1,11 @@
 """Problem 6: a mixture in which each source has its target share of all words.
 
 Method: entropy balancing. The rates r of the records stay as near as possible (in relative entropy) to one copy each,
-subject to each source's words being its target and its mean record length staying what it is; the solution is a rate
-exponentially tilted by the record's words, min(max_repeats, exp(a + b * words)). Newton iterations solve the convex dual;
-each is one distributed aggregate over the histogram (source, words), which holds all records, and returns a row a source.
-Rates become whole copies by a running sum over each source, so a source's copies are right to one record.
+subject to each source's words being its target; the solution is a rate exponentially tilted by the record's words,
+min(max_repeats, exp(tilt * words)): a source that must shrink gives up its long records first, one that must grow repeats
+them first, because they meet the constraint at the least change of rates. Newton iterations solve the convex dual; each is
+one distributed aggregate over the histogram (source, words), which holds all records, and returns a row a source. Rates
+become whole copies by a running sum over each source in the order of words, so a source's words are right to one record.
 
 The total is the largest at which every source with records can reach its share within max_repeats. Shares of targets
 without records can't be reached; the others keep their proportions.
@@ -17,14 +18,13 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.storage import materialise
 from .truncation import source_name
 
-BUCKETS = 64
+BUCKETS, BUCKET_ROWS = 64, 200_000
 # Fixed value: white space of the Unicode standard.
 SPACE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -42,46 +42,43 @@ def countable(records: DataFrame) -> DataFrame:
     return newest.select("record_id", "r.source", words.cast("long").alias("words"))
 
 
-def _newton(hist: DataFrame, want: dict[str, tuple[float, float, float, float]], tolerance: float = 1e-9, most: int = 60) -> dict[str, tuple[float, float]]:
-    """source -> (a, b) of the rate min(cap, exp(a + b * words / mean)); want: source -> (words, records, cap, mean)."""
-    at = {s: np.array([math.log(x[2]) - 1e-3, 0.0]) for s, x in want.items()}  # just under the caps, from where steps don't overshoot
-    best: dict[str, float] = {}
-    step_of: dict[str, np.ndarray] = {}
+def _newton(hist: DataFrame, want: dict[str, tuple[float, float, float]], tolerance: float = 1e-9, most: int = 80) -> dict[str, float]:
+    """source -> tilt of the rate min(cap, exp(tilt * words / mean)); want: source -> (words, cap, mean).
+
+    The dual of a source is convex in its one multiplier; its slope is the words at the tilt less the words wanted, which
+    grows with the tilt. A step that would leave the interval in which the slope changes sign halves the interval instead.
+    """
+    at = dict.fromkeys(want, -0.01)
+    low: dict[str, float] = {}
+    high: dict[str, float] = {}
+    open_ = set(want)
     spark = hist.sparkSession
     for _ in range(most):
-        par = spark.createDataFrame([(s, float(x[0]), float(x[1]), *map(float, want[s][2:])) for s, x in at.items()], "source string, a double, b double, cap double, mean double")
+        if not open_:
+            break
+        par = spark.createDataFrame([(s, at[s], float(want[s][1]), float(want[s][2])) for s in sorted(open_)], "source string, tilt double, cap double, mean double")
         z = F.col("words") / F.col("mean")
-        eta = F.least(F.lit(500.0), F.col("a") + F.col("b") * z)
-        full = eta >= F.log("cap")
-        rate = F.when(full, F.col("cap")).otherwise(F.exp(eta))
-        free = F.when(full, F.lit(0.0)).otherwise(rate) * F.col("n")
-        dual = F.when(full, F.col("cap") * (F.lit(1.0) + eta - F.log("cap"))).otherwise(rate) * F.col("n")
-        rows = hist.join(F.broadcast(par), "source").groupBy("source").agg(
-            F.sum(rate * F.col("n") * z).alias("gw"), F.sum(rate * F.col("n")).alias("gn"), F.sum(free * z * z).alias("hww"), F.sum(free * z).alias("hwn"), F.sum(free).alias("hnn"), F.sum(dual).alias("dual")
-        ).collect()
-        worst = 0.0
+        free = F.col("tilt") * z < F.log("cap")
+        rate = F.when(free, F.exp(F.col("tilt") * z)).otherwise(F.col("cap"))
+        rows = hist.join(F.broadcast(par), "source").groupBy("source").agg(F.sum(rate * F.col("n") * z).alias("value"), F.sum(F.when(free, rate * F.col("n") * z * z).otherwise(0.0)).alias("slope")).collect()
         for r in rows:
             s = r["source"]
-            goal = np.array([want[s][1], want[s][0] / want[s][3]])
-            value = r["dual"] - float(goal @ at[s])
-            grad = np.array([r["gn"], r["gw"]]) - goal
-            if s in best and not value <= best[s] + 1e-9 * abs(best[s]):  # too far: halve the last step
-                step_of[s] = step_of[s] / 2
-                at[s] = at[s] + step_of[s]
-                worst = 1.0
+            goal = want[s][0] / want[s][2]
+            gap = r["value"] - goal
+            if abs(gap) <= tolerance * goal:
+                open_.discard(s)
                 continue
-            gap = float(np.max(np.abs(grad) / np.maximum(goal, 1e-12)))
-            worst = max(worst, gap)
-            best[s] = value
-            h = np.array([[r["hnn"], r["hwn"]], [r["hwn"], r["hww"]]])
-            step = np.linalg.lstsq(h + 1e-12 * np.trace(h) * np.eye(2), grad, rcond=1e-10)[0]
-            step *= min(1.0, 4.0 / max(1e-12, float(np.abs(step).max())))
-            step_of[s] = step
-            if gap > tolerance:
-                at[s] = at[s] - step
-        if worst <= tolerance:
-            break
-    return {s: (float(x[0]), float(x[1])) for s, x in at.items()}
+            (high if gap > 0 else low)[s] = at[s]
+            step = at[s] - gap / r["slope"] if r["slope"] > 0 else None
+            inside = step is not None and low.get(s, -math.inf) < step < high.get(s, math.inf)
+            if not inside and s in low and s in high:
+                step = (low[s] + high[s]) / 2
+            elif not inside:  # no end of the interval on that side yet
+                step = at[s] - max(1.0, 2 * abs(at[s])) * (1 if gap > 0 else -1)
+            if step == at[s] or (s in low and s in high and high[s] - low[s] <= 1e-14 * max(1.0, abs(step))):
+                open_.discard(s)
+            at[s] = step
+    return at
 
 
 def mixture(records: DataFrame, targets: DataFrame, total_words: float | None = None) -> DataFrame:
@@ -104,15 +101,16 @@ def mixture(records: DataFrame, targets: DataFrame, total_words: float | None =
     total = min(goal[s][1] * have[s][0] / (goal[s][0] / whole) for s in have)
     if total_words is not None:
         total = min(total, float(total_words))
-    want = {s: (w := goal[s][0] / whole * total, w / have[s][0] * have[s][1], float(goal[s][1]), have[s][0] / have[s][1]) for s in have}
-    # A source that must be used to its cap has no inner solution: its rate is the cap.
-    inner = {s: x for s, x in want.items() if x[0] < x[2] * have[s][0] * (1 - 1e-12)}
-    par = _newton(hist, inner) if inner else {}
-    par |= {s: (math.log(want[s][2]), 0.0) for s in want if s not in inner}
-    rates = spark.createDataFrame([(s, *ab, want[s][2], want[s][3]) for s, ab in par.items()], "source string, a double, b double, cap double, mean double")
-    rate = F.least(F.col("cap"), F.exp(F.least(F.lit(500.0), F.col("a") + F.col("b") * F.col("words") / F.col("mean"))))
+    want = {s: (goal[s][0] / whole * total, float(goal[s][1]), have[s][0] / have[s][1]) for s in have}
+    # A source that must be used to its cap has no inner solution: its rate is the cap, which any large tilt gives.
+    inner = {s: x for s, x in want.items() if x[0] < x[1] * have[s][0] * (1 - 1e-12)}
+    tilt = dict.fromkeys(want, 1e9) | _newton(hist, inner)
+    rates = spark.createDataFrame([(s, tilt[s], *want[s][1:]) for s in want], "source string, tilt double, cap double, mean double")
+    lift = F.col("tilt") * F.col("words") / F.col("mean")
+    rate = F.when(lift < F.log("cap"), F.exp(lift)).otherwise(F.col("cap"))
     # The running sum of rates in the order (words, bucket, hash): cells by a sum over counts, records by a rank in their cell.
-    placed = words.withColumn("h", F.xxhash64("record_id")).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
+    buckets = max(BUCKETS, sum(n for _, n in have.values()) // BUCKET_ROWS)
+    placed = words.withColumn("h", F.xxhash64("record_id")).withColumn("bucket", F.pmod("h", F.lit(buckets)))
     cells = placed.groupBy("source", "words", "bucket").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(rates), "source").withColumn("rate", rate)
     order = Window.partitionBy("source").orderBy("words", "bucket").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("source", "words", "bucket", "rate", F.coalesce(F.sum(F.col("n") * F.col("rate")).over(order), F.lit(0.0)).alias("before"))

@@ -21,20 +21,24 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.groups(corpus_texts(spark, d, "raw_records", "documents"))
 
 
+def _sourced(spark: SparkSession, d: str) -> DataFrame:
+    """(tab, record_key, source, text) of raw_records and documents."""
+    out = None
+    for t, key in (("raw_records", "record_id"), ("documents", "doc_id")):
+        rows = table(spark, d, t).select(F.lit(t).alias("tab"), F.col(key).cast("string").alias("record_key"), truncation.source_name(F.col("source")).alias("source"), "text")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    texts = corpus_texts(spark, d, "raw_records", "documents")
-    return truncation.flag(texts, "tab", "record_key").where("cut").select("tab", "record_key").distinct()
+    return truncation.flag(_sourced(spark, d), "source", "tab", "record_key").where("cut").select("tab", "record_key").distinct()
 
 
 def p2_rates(spark: SparkSession, d: str) -> DataFrame:
-    """(tab, source, texts, cut, rate, marked): marked is the share of texts with any sentence end, the source's baseline."""
-    out = None
-    for t, key in (("raw_records", "record_id"), ("documents", "doc_id")):
-        rows = table(spark, d, t).where("text is not null").select(F.lit(t).alias("tab"), truncation.source_name(F.col("source")).alias("source"), F.col("text").rlike(r"[.!?؟]").alias("has_mark"), "text")
-        out = rows if out is None else out.unionByName(rows)
-    flags = truncation.flag(out, "tab", "source", "has_mark")
+    """(tab, source, texts, cut, rate, marked): marked is the share of texts with a complete sentence, the source's baseline."""
+    flags = truncation.flag(_sourced(spark, d).where("text is not null"), "source", "tab")
     return flags.groupBy("tab", "source").agg(
-        F.count(F.lit(1)).alias("texts"), F.count_if("cut").alias("cut"), F.round(F.avg(F.col("cut").cast("double")), 6).alias("rate"), F.round(F.avg(F.col("has_mark").cast("double")), 6).alias("marked")
+        F.count(F.lit(1)).alias("texts"), F.count_if("cut").alias("cut"), F.round(F.avg(F.col("cut").cast("double")), 6).alias("rate"), F.round(F.avg(F.col("marked").cast("double")), 6).alias("marked")
     )
 
 
@@ -81,7 +85,9 @@ def p5_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_shares(spark: SparkSession, d: str) -> DataFrame:
-    return groupsplit.reached(p5_split(spark, d), table(spark, d, "split_targets"))
+    """(split, target, records, windows, share, source_deviation, question_deviation, label_deviation)."""
+    rows = groupsplit.assigned(table(spark, d, "accepted_records"), table(spark, d, "window_samples"), table(spark, d, "split_targets"))
+    return groupsplit.reached(materialise(rows, "assigned"), table(spark, d, "split_targets"))
 
 
 def p6_mixture(spark: SparkSession, d: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Problems 1, 5, 6, 7 and 9 against brute force on small fixtures with nulls, copies, ties and hot groups."""
 
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -69,13 +70,25 @@ def test_cross_split(rows):
     assert overlap.found(df.limit(0)).count() == 0
 
 
-def test_addresses():
-    same = ["https://www.ciya.example/nuce.php?id=5", "http://m.CIYA.example:80/nuce.php?utm_source=rss&id=5#top", "https://ciya.example/nuce.php?id=5&fbclid=x", " https://ciya.example//nuce.php?id=5".replace("//nuce", "/nuce")]
-    assert len({groupsplit.document_name("a", x) for x in same} | {groupsplit.document_name("b", x) for x in same}) == 1
-    assert groupsplit.document_name("a", "https://x.example/%C3%A7a/") == groupsplit.document_name("a", "https://x.example/ça")
-    assert groupsplit.document_name("a", "https://x.example/a?id=1") != groupsplit.document_name("a", "https://x.example/a?id=2")
-    assert groupsplit.document_name("a", "007 ") == groupsplit.document_name("a", "7") != groupsplit.document_name("b", "7")
-    assert groupsplit.document_name("a", None) is groupsplit.document_name("a", " ") is None
+def named(spark, *pairs):
+    """The documents of (source, text) pairs."""
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, s string, t string")
+    return [r[1] for r in sorted(rows.select("i", groupsplit.document_name(F.col("s"), F.col("t"))).collect())]
+
+
+def test_addresses(spark):
+    same = ["https://www.ciya.example/nuce.php?id=5", "http://m.CIYA.example:80/nuce.php?utm_source=rss&id=5#top", "https://ciya.example/nuce.php?id=5&fbclid=x", " //ciya.example/nuce.php?id=5&ref=rss", "ciya.example/nuce.php?id=%35", "https://u:p@ciya.example./nuce.php?id=5"]
+    assert len(set(named(spark, *[(s, x) for s in "ab" for x in same]))) == 1
+    pairs = [("https://x.example/%C3%A7a/", "https://x.example/ça"), ("https://x.example/a?b=1&a=%C3%A7", "https://x.example/a?a=c%CC%A7&b=1"), ("007 ", "7"), ("+7", "7.0"), ("https://x.example/a%zz", "https://x.example/a%25zz"), ("٣٤", "34"), ("HTTPS://X.example:443", "http://x.example/")]
+    for a, b in pairs:
+        x, y = named(spark, ("a", a), ("a", b))
+        assert x == y, (a, b)
+    other = [("https://x.example/a?id=1", "https://x.example/a?id=2"), ("https://x.example/a?ref=1", "https://x.example/a?ref=2"), ("https://x.example/a", "https://x.example/A"), ("https://x.example:8080/a", "https://x.example/a"), ("shard-3/17", "shard-3/18"), ("https://x.example/a?b=1%26c", "https://x.example/a?b=1&c")]
+    for a, b in other:
+        x, y = named(spark, ("a", a), ("a", b))
+        assert x != y, (a, b)
+    assert named(spark, ("a", "7"), ("b", "7"))[0] != named(spark, ("b", "7"))[0]
+    assert named(spark, ("a", None), ("a", " "), ("a", "")) == [None] * 3
 
 
 def _accepted(rng, n):
@@ -91,6 +104,7 @@ def test_groups(rows):
     data = _accepted(rng, 60)
     df = rows("record_id string, source string, source_document_id string, has_question boolean", *data)
     parent = {}
+    docs = dict(zip([(s, d) for _, s, d, _ in data], named(df.sparkSession, *[(s.strip().lower(), d) for _, s, d, _ in data])))
 
     def find(x):
         parent.setdefault(x, x)
@@ -101,7 +115,7 @@ def test_groups(rows):
     for r, s, d, _ in data:
         if r:
             find(("r", r))
-            if (name := groupsplit.document_name(s.strip().lower(), d)) is not None:
+            if (name := docs[s, d]) is not None:
                 parent[find(("r", r))] = find(("d", name))
     comp = defaultdict(set)
     for r, *_ in data:
@@ -109,7 +123,7 @@ def test_groups(rows):
             comp[find(("r", r))].add(r)
     want = {(a, b) for m in comp.values() for a in m for b in m if a < b}
     assert {tuple(r) for r in groupsplit.found(df).collect()} == want
-    windows = rows("id string, article_id string, source string, has_question boolean", *[(f"w{i}", f"r{i % 60:03d}" if i % 3 else "wiki0", "wikipedia", bool(i % 2)) for i in range(300)], ("n", None, None, None))
+    windows = rows("id string, article_id string, source string, has_question boolean, labels array<string>", *[(f"w{i}", f"r{i % 60:03d}" if i % 3 else "wiki0", "wikipedia", bool(i % 2), ["O"] * (i % 9)) for i in range(300)], ("n", None, None, None, None))
     targets = rows("split string, share double", ("train", 0.8), ("validation", 0.1), ("test", 0.1))
     got = groupsplit.split(df, windows, targets).collect()
     assert len(got) == len({r["article_id"] for r in got}) == len({r for r, *_ in data if r} | {"wiki0"})
@@ -118,6 +132,21 @@ def test_groups(rows):
         by[r["grp"]].add(r["split"])
     assert all(len(v) == 1 and None not in v for v in by.values())
     assert groupsplit.found(df.limit(0)).count() == 0
+    assert groupsplit.split(df.limit(0), windows.limit(0), targets).count() == 0 and groupsplit.split(df, windows, targets.limit(0)).where("split is null").count() == len(got)
+
+
+def test_split_keeps_distributions(rows):
+    rng = random.Random(31)
+    data = [(f"r{i:04d}", rng.choice("abc"), str(rng.randrange(700))) for i in range(900)]
+    df = rows("record_id string, source string, source_document_id string", *data)
+    kinds = [*groupsplit.LABELS, "COLON"]
+    win = [(f"w{i}", f"r{rng.randrange(900):04d}" if i % 6 else "wiki0", rng.choice("abc"), rng.random() < 0.3, [rng.choice(kinds) for _ in range(rng.randrange(5, 30))]) for i in range(2500)]
+    windows = rows("id string, article_id string, source string, has_question boolean, labels array<string>", *win, win[0], ("n", "r0001", None, None, None))
+    targets = rows("split string, share double", ("train", 0.8), ("validation", 0.1), ("test", 0.1))
+    got = {r["split"]: r for r in groupsplit.reached(groupsplit.assigned(df, windows, targets), targets).collect()}
+    for r in got.values():
+        assert abs(r["share"] - r["target"]) < 0.01 and r["label_deviation"] < 0.02 and r["question_deviation"] < 0.02 and r["source_deviation"] < 0.12
+    assert sum(r["windows"] for r in got.values()) == 2501
 
 
 def test_mixture(rows):
@@ -138,6 +167,34 @@ def test_mixture(rows):
     assert mixing.mixture(df.limit(0), targets).count() == 0
 
 
+def test_mixture_tilts_by_length(rows):
+    rng = random.Random(14)
+    data = [(f"{s}{i}", s, " ".join(["w"] * (1 + rng.randrange(200))), None, 1) for s, n in (("a", 800), ("b", 400)) for i in range(n)]
+    df = rows("record_id string, source string, text string, word_count long, t int", *data).withColumn("landed_at", F.timestamp_seconds("t"))
+    targets = rows("source string, target_share double, max_repeats int", ("a", 0.25, 1), ("b", 0.75, 3))
+    total = 45_000
+    got = mixing.mixture(df, targets, total).collect()
+    words = {r: len(t.split()) for r, _, t, *_ in data}
+    rate = {s: defaultdict(list) for s in "ab"}
+    copies = {r["record_id"]: r["copies"] for r in got}
+    for r, w in words.items():
+        rate[r[0]][w > 100].append(copies.get(r, 0))
+    mean = {k: sum(v) / len(v) for k, v in ((f"{s}{long}", x) for s in "ab" for long, x in rate[s].items())}
+    # a shrinks to an eighth, so its long records are given up first; b just about keeps its size at another tilt.
+    assert mean["aFalse"] > 3 * mean["aTrue"]
+    for s, share in (("a", 0.25), ("b", 0.75)):
+        assert abs(sum(words[r] * c for r, c in copies.items() if r[0] == s) / total - share) < 0.01
+    # The rates are those of the dual's solution, found here by bisection.
+    lo, hi = -1.0, 0.0
+    own = [w for r, w in words.items() if r[0] == "a"]
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (lo, mid) if sum(w * math.exp(mid * w) for w in own) > 0.25 * total else (mid, hi)
+    for long in (False, True):
+        right = [math.exp(lo * w) for w in own if (w > 100) == long]
+        assert abs(mean[f"a{long}"] - sum(right) / len(right)) < 0.02
+
+
 def test_packing(rows):
     rng = random.Random(13)
     sizes = [rng.randrange(1, 400) for _ in range(3000)]

@@ -56,16 +56,36 @@ CUT = ["Ez hatim malê. Ew çû bo", "Ez hatim malê. Ew çû …", "Ez hatim ma
 WHOLE = ["Ez hatim malê.", "Ez hatim malê. — Pesu", "Ez hatim malê. #nûçe #x", "Ez hatim malê. (Şeqok)", "Ez hatim malê. https://x.example/a", "Ez hatim malê. 👨‍👩‍👧", "Ew got: “ez çûm.” – „книга“", "Ez hatim malê. Maram / 9172", "Ez hatim malê. [9906]", "bê nîşan heta dawiyê", "", "  ", None, "Navê wî https://x.example/a.html", "Ez 2.5 kîlo"]
 
 
+CUT += ["Baş e. Ew got: \"ez çûm.", "Ew li vir e. Ez (li malê bûm.", "Baş e. <b>Ez çûm.", "Baş e. Ew <a href"]
+WHOLE += ["Ew got: \"ez çûm.\" Baş e.", "Yek. „Du. Sê.“ Çar (pênc).", "\"Yek. Du.\" Sê.", "<p>Baş e. Ez <b>çûm</b>.</p>", "Baş e. Ez çûm. <br>", "Nivîs: a@b.example. Baş e.", "Baş e. Ez li www.x.example/( bûm.", "Ev 5.5 ne. Baş e"]
+
+
+def cut_states(*texts):
+    out, _ = lookalikes.normalise_column(pa.array(texts, pa.string()))
+    return truncation.states(out)[0].tolist()
+
+
 def test_truncation():
-    assert [truncation.is_cut(x) for x in CUT] == [True] * len(CUT)
-    assert [truncation.is_cut(x) for x in WHOLE] == [False] * len(WHOLE)
-    assert truncation.is_cut("Ev e. " * 20_000 + "Ew çû bo")
+    assert cut_states(*CUT) == [truncation.CUT] * len(CUT)
+    assert [x == truncation.CUT for x in cut_states(*WHOLE[:-1])] == [False] * (len(WHOLE) - 1)
+    assert cut_states("Ev e. " * 20_000 + "Ew çû bo", "(" * 3000 + ". Ev e." + ")" * 3000) == [truncation.CUT, truncation.WHOLE]
+    assert cut_states("Ez hatim malê. Ew", "Ez hatim malê. 1923", "Ez hatim malê. ew") == [truncation.ONE_WORD, truncation.ONE_WORD, truncation.CUT]
+    assert cut_states() == []
+
+
+def test_truncation_is_the_same_in_any_batch():
+    texts = [*CUT, *WHOLE] * 3
+    assert cut_states(*texts) == [cut_states(x)[0] for x in texts]
 
 
 def test_truncation_rows(rows):
-    df = rows("k int, text string, cut int", (1, CUT[0], 5), (2, None, 5), (3, "", 5))
-    assert {r["k"]: r["cut"] for r in truncation.flag(df, "k").collect()} == {1: True, 2: False, 3: False}
-    assert truncation.flag(df.limit(0), "k").count() == 0
+    cuts = [("a", f"k{i}", "Ez hatim malê. Ew çû bo", 5) for i in range(40)] + [("a", "w", "Ez hatim malê. Ew", 5)]
+    names = [("b", f"k{i}", "Ez hatim malê. Rojda", 5) for i in range(5)] + [("b", "c", "Ez hatim malê. Ew çû bo", 5)]
+    df = rows("source string, k string, text string, cut int", *cuts, *names, (None, "n", None, 5), (None, "e", "", 5), (None, "w", "Ez hatim malê. Rojda", 5))
+    got = {(r["source"], r["k"]): r["cut"] for r in truncation.flag(df, "source", "k").collect()}
+    assert len(got) == df.count() and all(got[s, k] for s, k, *_ in cuts) and got["b", "c"]
+    assert not any(got[s, k] for s, k, *_ in names[:5]) and not any(got[None, k] for k in "new")
+    assert truncation.flag(df.limit(0), "source", "k").count() == 0
 
 
 SAMPLES = {
