@@ -10,13 +10,15 @@ of a sentence, max pooling, one output; thresholds calibrated by language. A doc
   an offending one the sentence that scores worst is the positive, first by counts, then by nets that were trained on
   the other half of the documents. Reviewers err: offending documents without a sentence that such a net finds bad are left out. The same
   scores of documents not trained on calibrate the thresholds.
-* The training sample is at most SAMPLE labelled documents, in the order of a hash of the id.
+* The training sample is at most SAMPLE labelled documents, the first by a hash of the id.
 
 Defined results: null, empty and wordless texts score 0; without any positive label every score is 0.
 """
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -37,6 +39,7 @@ RARE = 3
 DIM, FILTERS = 24, 32
 WIDTHS = (1, 2, 3, 4)
 MOST_WORDS = 24
+UNBROKEN = 1 << 40  # words after which a sentence without a mark ends: none
 BATCH = 128
 STEPS = (500, 500, 1200)
 NEGATIVES = 12_000
@@ -77,7 +80,7 @@ def read_words(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     z = np.empty(0, np.int64)
     if not len(cps):
         return np.empty(0, U64), z, z, z
-    sent, of, _ = languages.sentences(cps, offs, MOST_WORDS)
+    sent, of, _ = languages.sentences(cps, offs, UNBROKEN)
     upper = cp.tables()[2][cps]
     c = t["plain"][cps]
     same_l = np.concatenate([[False], sent[1:] == sent[:-1]])
@@ -152,20 +155,25 @@ class Model:
 
 
 def padded(rows: np.ndarray, sent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(matrix of word rows with a margin of padding, sentence of each matrix row)."""
+    """(matrix of word rows with a margin of padding, sentence of each matrix row).
+
+    A sentence of more than MOST_WORDS words, or a stretch without any marks, goes on in rows that share half their words, so
+    that no passage is seen in halves only.
+    """
     if not len(rows):
         return np.zeros((0, MOST_WORDS + 6), np.int64), np.empty(0, np.int64)
     at = np.flatnonzero(np.concatenate([[True], sent[1:] != sent[:-1]]))
     pos = np.arange(len(rows)) - np.repeat(at, np.diff(np.concatenate([at, [len(rows)]])))
     which = np.repeat(np.arange(len(at)), np.diff(np.concatenate([at, [len(rows)]])))
-    # A stretch without blanks may hold more words than a row takes: it goes on in rows of its own.
-    width = MOST_WORDS
-    line = pos // width
-    base = np.concatenate([[0], np.cumsum(np.maximum.reduceat(line, at) + 1)])
-    m = np.zeros((int(base[-1]), width + 6), np.int32)
-    m[base[which] + line, 3 + pos % width] = rows
-    owner = np.repeat(sent[at], np.diff(base))
-    return m, owner
+    half = MOST_WORDS // 2
+    lines = np.maximum(1, -(-(np.diff(np.concatenate([at, [len(rows)]])) - MOST_WORDS) // half) + 1)
+    base = np.concatenate([[0], np.cumsum(lines)])
+    m = np.zeros((int(base[-1]), MOST_WORDS + 6), np.int32)
+    for back in (0, 1):
+        line = pos // half - back
+        ok = (line >= 0) & (line < lines[which])
+        m[base[which[ok]] + line[ok], 3 + pos[ok] - half * line[ok]] = rows[ok]
+    return m, np.repeat(sent[at], lines)
 
 
 class _Net:
@@ -401,11 +409,23 @@ def _batches(shared):
     return run
 
 
+_TRAINED: dict[bytes, Model] = {}
+
+
 def fit(documents: DataFrame, labels: DataFrame, profiles: languages.Profiles, sample: int = SAMPLE) -> Model:
-    """Train on at most `sample` labelled documents (doc_id, text; doc_id, toxic), taken in the order of a hash of the id."""
+    """Train on at most `sample` labelled documents (doc_id, text; doc_id, toxic), taken in the order of a hash of the id.
+
+    The ids are taken first, so only their texts move. The last model is kept and given again for the same sample.
+    """
     marked = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = marked.join(documents.where("text is not null").select("doc_id", "text"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
-    return train([r["text"] for r in rows], [int(r["toxic"]) for r in rows], profiles)
+    taken = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(taken), "doc_id").collect()
+    rows = sorted((r["doc_id"], r["text"], int(r["toxic"])) for r in rows)
+    key = hashlib.sha256(pickle.dumps((rows, profiles))).digest()
+    if key not in _TRAINED:
+        _TRAINED.clear()
+        _TRAINED[key] = train([x for _, x, _ in rows], [y for _, _, y in rows], profiles)
+    return _TRAINED[key]
 
 
 def score(texts: DataFrame, model: Model, *keys: str) -> DataFrame:

@@ -1,14 +1,18 @@
 """Problem 8: the whole corpus as token ids of a public byte-level BPE vocabulary.
 
 Method: texts are cut into words by the vocabulary's own pattern; each distinct word is encoded once, by Spark
-higher-order functions that fold the ranked merges over the word's bytes, with the ranks in a literal map; the ids are
-joined back. A byte is held as the character of the same number (ISO 8859-1), so that pieces are strings and a merge is a
-concatenation. The literal is an array of small maps, the piece's hash naming the map, because a map is searched in line.
+higher-order functions that fold the ranked merges over the word's bytes, with the ranks in a literal map. A byte is held as
+the character of the same number (ISO 8859-1), so that pieces are strings and a merge is a concatenation. The literal is an
+array of small maps, the piece's hash naming the map, because a map is searched in line. Decoding concatenates binary pieces.
+
+No row a word is moved: words are counted with partial sums, the MOST_KNOWN most frequent ones of at most LONG bytes are sent
+to all tasks with their ids (at most MOST_KNOWN * LONG * 5 bytes), and texts get the ids by a lookup over arrays. Words that
+aren't among these, if any, are rows of their own, joined with the dictionary; frequent words are never among them.
 
 Words of more than LONG bytes would cost a fold of quadratic length; they are merged with a heap, to the same ids.
 
 Defined results: null and empty texts have an empty list; blank texts are encoded as they are; special tokens are ordinary
-text. The vocabulary file is read from a folder given by the caller (default: the installed public_tokenizers).
+text; keys may repeat and be null. The vocabulary file is read on the driver (default: the installed public_tokenizers).
 """
 
 from __future__ import annotations
@@ -19,15 +23,19 @@ import json
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.storage import materialise
 
 DEFAULT_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MAPS = 4096
-LONG = 48
+LONG = 128
+MOST_KNOWN = 200_000
 NONE = 1 << 30
 # The white space of the Unicode standard, and the vocabulary's word pattern written with it.
 SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -40,7 +48,6 @@ def read_ranks(path: str = DEFAULT_FILE) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-
 def rank_literal(ranks: dict[bytes, int]) -> Column:
     """array<map<string,int>>: the map number crc32(piece) % MAPS holds the piece; Catalyst folds it to a literal."""
     maps: list[dict[str, int]] = [{} for _ in range(MAPS)]
@@ -99,12 +106,11 @@ def heap_encode(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in piece if p]
 
 
-def _long_words(path: str):
+def _long_words(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = read_ranks(path)
         for b in batches:
-            ids = [heap_encode(w.encode("utf-8"), ranks) for w in b.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+            ids = [heap_encode(w.encode("utf-8"), shared.value) for w in b.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("n"), pa.array(ids, pa.list_(pa.int32()))], names=["word", "n", "ids"])
 
     return run
 
@@ -115,32 +121,78 @@ def words_of(text: Column) -> Column:
 
 
 def dictionary(words: DataFrame, path: str = DEFAULT_FILE) -> DataFrame:
-    """(word, ids) of distinct words."""
-    ranks = rank_literal(read_ranks(path))
+    """(word, n, ids) of distinct words (word, n)."""
+    ranks = read_ranks(path)
     latin = F.decode(F.col("word").cast("binary"), "ISO-8859-1")
     pieces = F.transform(F.sequence(F.lit(1), F.length("latin")), lambda i: F.substring(F.col("latin"), i, F.lit(1)))
-    short = words.where(F.octet_length("word") <= LONG).select("word", latin.alias("latin")).select("word", pieces.alias("pieces")).select("word", encode_word(F.col("pieces"), ranks).alias("ids"))
-    long = words.where(F.octet_length("word") > LONG).mapInArrow(_long_words(path), "word string, ids array<int>")
+    short = words.where(F.octet_length("word") <= LONG).select("word", "n", latin.alias("latin")).select("word", "n", pieces.alias("pieces"))
+    short = short.select("word", "n", encode_word(F.col("pieces"), rank_literal(ranks)).alias("ids"))
+    shared = words.sparkSession.sparkContext.broadcast(ranks)
+    long = words.where(F.octet_length("word") > LONG).mapInArrow(_long_words(shared), "word string, n long, ids array<int>")
     return short.unionByName(long)
 
 
-def encoded_words(texts: DataFrame, key: str, path: str = DEFAULT_FILE) -> DataFrame:
-    """(key, pos, ids): one row for each word of each text."""
-    words = texts.where("text is not null").select(key, F.posexplode(words_of(F.col("text"))).alias("pos", "word"))
-    known = materialise(dictionary(materialise(words.select("word").distinct(), "words"), path), "dictionary")
-    return words.join(known, "word").select(key, "pos", "ids")
+def _lookup(shared):
+    """(keys..., ids, rest) of (keys..., words): a word that isn't known has -1 - its place in `rest` instead of ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.ipc.open_stream(shared.value).read_all().combine_chunks()
+        words, ids = known.column("word").combine_chunks(), known.column("ids").combine_chunks()
+        begin = ids.offsets.to_numpy().astype(np.int64)
+        flat_ids = ids.values.to_numpy(zero_copy_only=False)
+        size = np.concatenate([np.diff(begin), [1]])  # the last is for words that aren't known
+        begin = np.concatenate([begin[:-1], [0]])
+        for b in batches:
+            col = b.column("words")
+            offs = col.offsets.to_numpy().astype(np.int64)
+            flat = col.values.slice(offs[0], offs[-1] - offs[0])
+            offs = offs - offs[0]
+            at = pc.fill_null(pc.index_in(flat, value_set=words), len(words)).to_numpy(zero_copy_only=False).astype(np.int64)
+            n = size[at]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            out = np.empty(int(ends[-1]), np.int32)
+            place = np.arange(len(out)) - np.repeat(ends[:-1], n) + np.repeat(begin[at], n)
+            missing = np.flatnonzero(at == len(words))
+            place[ends[missing]] = 0
+            out = flat_ids[place].astype(np.int32) if len(flat_ids) else np.zeros(len(out), np.int32)
+            row = np.searchsorted(offs, missing, side="right") - 1
+            first = np.searchsorted(row, np.arange(len(b) + 1))
+            out[ends[missing]] = -1 - (np.arange(len(missing)) - first[row])
+            rest = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), flat.take(pa.array(missing)))
+            keys = [c for c in b.schema.names if c != "words"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keys), pa.ListArray.from_arrays(pa.array(ends[offs].astype(np.int32)), pa.array(out)), rest], names=[*keys, "ids", "rest"])
+
+    return run
 
 
 def encode(texts: DataFrame, key: str, path: str = DEFAULT_FILE) -> DataFrame:
-    """(key, ids array<int>) of each row of (key, text); keys are unique."""
-    ids = encoded_words(texts, key, path).groupBy(key).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return texts.select(key).join(ids, key, "left").select(key, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    """(key, ids array<int>) of each row of (key, text)."""
+    none = F.array().cast("array<string>")
+    split = texts.select(F.col(key), F.coalesce(words_of(F.col("text")), none).alias("words"))
+    counted = split.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    known = materialise(dictionary(materialise(counted, "words"), path), "dictionary")
+    short = known.where(F.octet_length("word") <= LONG)
+    all_known = known.count() <= MOST_KNOWN and short.count() == known.count()
+    sent = known if all_known else short.orderBy(F.desc("n"), "word").limit(MOST_KNOWN)
+    sink = pa.BufferOutputStream()
+    table = sent.select("word", "ids").toArrow()
+    with pa.ipc.new_stream(sink, table.schema) as w:
+        w.write_table(table)
+    shared = texts.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+    schema = T.StructType([texts.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("rest", T.ArrayType(T.StringType()))])
+    found = split.mapInArrow(_lookup(shared), schema)
+    if all_known:
+        return found.select(key, "ids")
+    found = materialise(found.withColumn("_row", F.monotonically_increasing_id()), "found")
+    rest = found.select("_row", F.posexplode("rest").alias("k", "word")).join(known.select("word", F.col("ids").alias("of")), "word")
+    rest = rest.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "of"))), lambda x: x["of"]).alias("more"))
+    put = F.flatten(F.transform("ids", lambda i: F.when(i >= 0, F.array(i)).otherwise(F.get(F.col("more"), -1 - i))))
+    return found.join(rest, "_row", "left").select(key, F.when(F.col("more").isNull(), F.col("ids")).otherwise(put).alias("ids"))
 
 
 def token_counts(texts: DataFrame, key: str, path: str = DEFAULT_FILE) -> DataFrame:
     """(key, tokens): the number of ids of each text."""
-    n = encoded_words(texts, key, path).groupBy(key).agg(F.sum(F.size("ids")).alias("tokens"))
-    return texts.select(key).join(n, key, "left").select(key, F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"))
+    return encode(texts, key, path).select(key, F.size("ids").cast("long").alias("tokens"))
 
 
 def decode_ids(ids: Column, path: str = DEFAULT_FILE) -> Column:

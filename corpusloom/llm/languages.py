@@ -340,13 +340,14 @@ def unlabelled(texts: DataFrame, p: Profiles, *keys: str, label: str = "label")
     return seg.where(~F.col("language").eqNullSafe(F.col("named"))).select(*keys, "language").distinct()
 
 
-def documents(texts: DataFrame, p: Profiles, *keys: str) -> DataFrame:
-    """(keys, language, confidence, segments, mixed): the language with most words of each row, keys being unique.
+def documents(texts: DataFrame, p: Profiles, *keys: str, every: DataFrame | None = None) -> DataFrame:
+    """(keys, language, confidence, segments, mixed): the language with most words of each key.
 
-    Texts without a segment have a null language and confidence 0.
+    Keys without a segment have a null language and confidence 0. `every` has the keys, once each; without it the rows of
+    texts have unique keys.
     """
     seg = segment_table(texts, p, *keys)
     per = seg.groupBy(*keys, "language").agg(F.sum("words").alias("w"), F.sum(F.col("words") * F.col("confidence")).alias("c"), F.count(F.lit(1)).alias("n"))
     doc = per.groupBy(*keys).agg(F.max(F.struct("w", "language", "c")).alias("top"), F.sum("w").alias("all"), F.sum("n").cast("int").alias("segments"), F.count(F.lit(1)).alias("languages"))
     doc = doc.select(*keys, F.col("top.language").alias("language"), F.round(F.coalesce(F.try_divide("top.c", "all"), F.lit(0.0)), 6).alias("confidence"), "segments", (F.col("languages") > 1).alias("mixed"))
-    return texts.select(*keys).join(doc, list(keys), "left").select(*keys, "language", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("segments", F.lit(0)).alias("segments"), F.coalesce("mixed", F.lit(False)).alias("mixed"))
+    return (texts if every is None else every).select(*keys).join(doc, list(keys), "left").select(*keys, "language", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("segments", F.lit(0)).alias("segments"), F.coalesce("mixed", F.lit(False)).alias("mixed"))

@@ -101,6 +101,13 @@ class _Tables:
         for c, to in self.expand.items():
             self.grow[c] = len(to)
         self.grow[self.drop] = 0
+        # Expansions and splits as arrays: a code point's expansion begins at expand_at.
+        self.expand_at = np.zeros(n, np.int32)
+        self.expanded = np.array([x for to in self.expand.values() for x in to], np.uint32)
+        self.expand_at[list(self.expand)] = np.cumsum([0, *(len(to) for to in self.expand.values())])[:-1]
+        self.split_at = np.zeros(n, np.int32)
+        self.split_at[list(self.split)] = np.arange(len(self.split))
+        self.halves = np.array(list(self.split.values()), np.uint32)
         self.like = np.zeros(n, np.uint32)
         self.script = np.zeros(n, np.uint8)  # 1 Latin, 2 Cyrillic, 3 Greek, 4 Arabic, 5 other letters
         _, word, _ = cp.tables()
@@ -197,7 +204,7 @@ def _compose(t: _Tables, c: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np
         rep = np.ones(len(c), np.int64)
         rep[at] = 2
         first = np.cumsum(rep) - rep
-        pairs = np.array([t.split[x] for x in c[at].tolist()], dtype=np.uint32).reshape(-1, 2)
+        pairs = t.halves[t.split_at[c[at]]]
         row, c = np.repeat(row, rep), np.repeat(c, rep)
         c[first[at]], c[first[at] + 1] = pairs[:, 0], pairs[:, 1]
     ccc = t.ccc[c]
@@ -217,8 +224,11 @@ def _compose(t: _Tables, c: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np
     out = c.copy()
     cur, last = c[head].copy(), np.zeros(len(head), np.int16)  # last: class of the last mark left standing, -1 after a left starter
     where = head.copy()
-    for k in range(1, int(pos.max()) + 1):
-        at = np.flatnonzero(pos == k)
+    marks = np.flatnonzero(pos > 0)
+    marks = marks[np.argsort(pos[marks], kind="stable")]
+    upto = np.searchsorted(pos[marks], np.arange(1, int(pos.max()) + 2))
+    for k in range(1, int(pos.max()) + 1):  # the k-th mark of every run at once
+        at = marks[upto[k - 1] : upto[k]]
         r = run[at]
         key = cur[r].astype(np.int64) << 21 | c[at].astype(np.int64)
         i = np.searchsorted(t.pair_keys, key)
@@ -282,7 +292,7 @@ def canonical(cps: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
         c2 = np.repeat(c, grow)
         for k in range(int(grow.max()) if len(exp) else 0):
             e = exp[grow[exp] > k]
-            c2[first[e] + k] = np.array([t.expand[x][k] for x in c[e].tolist()], dtype=np.uint32)
+            c2[first[e] + k] = t.expanded[t.expand_at[c[e]] + k]
         plain = np.repeat(grow == 1, grow)
         c2[plain] = t.map[c2[plain]]
         c, r = c2, np.repeat(r, grow)

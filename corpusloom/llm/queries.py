@@ -72,8 +72,10 @@ def p4_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_documents(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    return languages.documents(docs, _profiles(spark, d), "doc_id")
+    """(tab, record_key, language, confidence, segments, mixed): one row for each key; a record that came again counts all its texts."""
+    texts = _labelled(spark, d).where("record_key is not null")
+    keys = texts.select("tab", "record_key").distinct().withColumn("text", F.lit(None).cast("string"))
+    return languages.documents(texts.select("tab", "record_key", "text").distinct(), _profiles(spark, d), "tab", "record_key", every=keys)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

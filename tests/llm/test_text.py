@@ -140,6 +140,16 @@ def test_bpe(spark, rows):
     assert bpe.heap_encode("rojbaş".encode(), ranks) == t.encode("rojbaş", add_special_tokens=False).ids
 
 
+def test_bpe_with_rare_words(spark, rows, monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join(f"{rng.choice('abcd')}{rng.randrange(60)}" for _ in range(rng.randrange(30))) for _ in range(60)] + [None, "", "z" * 500, "a1 a1"]
+    df = rows("doc_id long, text string", *[(i if i % 9 else None, x) for i, x in enumerate(texts)])
+    whole = sorted(map(str, bpe.encode(df, "doc_id").collect()))
+    monkeypatch.setattr(bpe, "MOST_KNOWN", 20)
+    assert sorted(map(str, bpe.encode(df, "doc_id").collect())) == whole and len(whole) == len(texts)
+    assert bpe.encode(df.limit(0), "doc_id").count() == 0
+
+
 def test_abuse_words():
     h, _, sent, of = abuse.read_words(pa.array(["tu gemarî yî", "tu GGGEMARİ yi", "tu g e m a r i yî", "tu g.e.m.a.r.î yî", "tu ge-marî yî", "tu g3m4rî yî", None, ""]))
     words = [h[of[sent] == i].tolist() for i in range(6)]
