@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType
 
 from .text import letters, strip, to_nfc
 from .tokens import is_latin_word, is_mark, is_protected, respell, tokenize
@@ -71,24 +75,45 @@ def same_but_case(a: Column, b: Column) -> Column:
 SKIP = list(",\"'«»“”‘’()[]{}<>")
 
 
+def first_letter_is_upper(token: Column) -> Column:
+    """Whether the first letter of a token is upper case; true where it has none."""
+    x = F.substring(letters(token), 1, 1)
+    return (x == "") | (F.upper(_low(x)) == x)
+
+
 def event(token: Column, after: str = ".?!", number_starts: bool = False) -> Column:
     """What a token does to the state "a sentence starts next": SET, CONSUME, CLEAR, or null for nothing."""
     out = F.when(token.isin(*after), "SET").when(token.isin(*SKIP) | is_mark(token), F.lit(None)).when(token.rlike(r"\p{L}"), "CONSUME")
     return out if number_starts else out.when(token.rlike(r"\p{Nd}"), "CLEAR")
 
 
-def starts(tokens: Column, first: bool = True) -> Column:
-    """array<boolean>: whether each token is the first letter-word of a sentence."""
-    zero = F.struct(F.lit(first).alias("next"), F.lit("").alias("out"))
+def start_flags(events: pa.ListArray, first: bool = True) -> pa.ListArray:
+    """list<boolean> of lists of events: a word begins a sentence if the last event before it, or else the text's begin, says so."""
+    size = pc.fill_null(pc.list_value_length(events), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    offs = np.concatenate([[0], np.cumsum(size)])
+    flat = pc.list_flatten(events)
+    places = np.arange(len(flat))
+    text = np.repeat(offs[:-1], size)
+    is_set, consumes = (pc.fill_null(pc.equal(flat, x), False).to_numpy(zero_copy_only=False).astype(bool) for x in ("SET", "CONSUME"))
+    last = np.maximum.accumulate(np.where(np.asarray(flat.is_valid()), places, -1)) if len(flat) else places
+    before = np.concatenate([[-1], last[:-1]]) if len(flat) else places
+    open_ = np.where(before >= text, is_set[np.maximum(before, 0)], first) if len(flat) else is_set
+    return pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(consumes & open_, pa.bool_()))
+
 
-    def step(state: Column, tok: Column) -> Column:
-        e = event(tok)
-        begin = F.when((e == "CONSUME") & state["next"], "1").otherwise("0")
-        nxt = F.when(e == "SET", True).when(e.isin("CONSUME", "CLEAR"), False).otherwise(state["next"])
-        return F.struct(nxt.alias("next"), F.concat(state["out"], begin).alias("out"))
+@F.arrow_udf(ArrayType(BooleanType()))
+def _start_flags(events: pa.Array) -> pa.Array:
+    return start_flags(events)
 
-    flags = F.split(F.aggregate(tokens, zero, step, lambda s: s["out"]), "")
-    return F.transform(F.slice(flags, F.lit(1), F.size(tokens)), lambda x: x == "1")
+
+@F.arrow_udf(ArrayType(BooleanType()))
+def _start_flags_inside(events: pa.Array) -> pa.Array:
+    return start_flags(events, False)
+
+
+def starts(tokens: Column, first: bool = True) -> Column:
+    """array<boolean>: whether each token is the first letter-word of a sentence. Events are expressions, their order arrays of a batch."""
+    return (_start_flags if first else _start_flags_inside)(F.transform(tokens, lambda t: event(t)))
 
 
 def mark_starts(tokens: DataFrame, key: str = "doc_id", pos: str = "pos", tok: str = "tok") -> DataFrame:

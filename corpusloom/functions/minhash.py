@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
@@ -14,34 +15,74 @@ HASHES = 64
 GRAM = 5
 # The family (2k+1) x + k * STEP modulo 2^32.
 STEP = 0x9E3779B9
-_A = np.array([2 * k + 1 for k in range(HASHES)], np.uint64)[:, None]
-_B = np.array([k * STEP for k in range(HASHES)], np.uint64)[:, None]
 
 
-def signature_of(text: str | None, short_as_itself: bool = True) -> list[int] | None:
-    """The signature of one text that is already in the form of its key; empty texts have zeros."""
-    if text is None:
-        return None
-    grams = {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}
-    if not grams and text and short_as_itself:
-        grams = {text}
-    if not grams:
-        return [0] * HASHES
-    x = np.fromiter((int.from_bytes(hashlib.md5(g.encode("utf-8", "surrogatepass")).digest()[:4], "big") for g in grams), np.uint64, len(grams))
-    best = np.full(HASHES, 1 << 32, np.uint64)
-    for i in range(0, len(x), 4096):
-        best = np.minimum(best, ((_A * x[None, i : i + 4096] + _B) & np.uint64(0xFFFFFFFF)).min(axis=1))
-    return best.astype(np.int64).tolist()
+def _grams(codes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each gram, first place of each number) of the grams at all places of all texts; grams of one number are equal.
 
-
-@F.pandas_udf(ArrayType(LongType()))
-def _signature(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: signature_of(x))
-
-
-@F.pandas_udf(ArrayType(LongType()))
-def _signature_long(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: signature_of(x, False))
+    codes: the characters of the texts one after the other; only places with GRAM characters of their text left are asked for.
+    """
+    begin = np.cumsum(size) - size
+    many = np.maximum(size - GRAM + 1, 0)
+    at = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begin, many)
+    letters, small = np.unique(codes, return_inverse=True)
+    number = small[at]
+    for k in range(1, GRAM):
+        number = number * len(letters) + small[at + k]
+        if int(number.max(initial=0)) > (1 << 62) // max(1, len(letters)):
+            number = np.unique(number, return_inverse=True)[1]
+    _, first, number = np.unique(number, return_index=True, return_inverse=True)
+    return number, at[first]
+
+
+def signatures(texts: pa.Array, short_as_itself: bool = True) -> pa.ListArray:
+    """The signature of each text, which is in the form of its key already: null for null, zeros for texts without a gram.
+
+    Each different gram of the batch is hashed once; then each of the HASHES minima is one pass over all grams.
+    """
+    rows = texts.to_pylist()
+    known = ["" if x is None else x for x in rows]
+    size = np.array([len(x) for x in known], np.int64)
+    codes = np.frombuffer("".join(known).encode("utf-32-le", "surrogatepass"), np.uint32)
+    digest = lambda x: int.from_bytes(hashlib.md5(x.encode("utf-8", "surrogatepass")).digest()[:4], "big")
+    out = np.zeros((len(rows), HASHES), np.int64)
+    whole = np.flatnonzero(size >= GRAM)
+    if len(whole):
+        number, first = _grams(codes, size)
+        spelt = codes[first[:, None] + np.arange(GRAM)].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        x = np.array([digest(spelt[i : i + GRAM]) for i in range(0, len(spelt), GRAM)], np.uint32)[number]
+        many = (size - GRAM + 1)[whole]
+        begin = np.cumsum(many) - many
+        for k in range(HASHES):
+            out[whole, k] = np.minimum.reduceat(x * np.uint32(2 * k + 1) + np.uint32(k * STEP & 0xFFFFFFFF), begin)
+    if short_as_itself:
+        for i in np.flatnonzero((size > 0) & (size < GRAM)):
+            x = digest(known[i])
+            out[i] = [((2 * k + 1) * x + k * STEP) & 0xFFFFFFFF for k in range(HASHES)]
+    offs = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * HASHES)
+    mask = pa.array([x is None for x in rows], pa.bool_())
+    return pa.ListArray.from_arrays(offs, pa.array(out.reshape(-1)), mask=mask if len(rows) and mask.true_count else None)
+
+
+def _pieces(texts: pa.Array, short: bool) -> pa.Array:
+    """Batches of long texts are cut, so that the arrays of a piece stay small."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    out, at = [], 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + (1 << 20), side="right")))
+        out.append(signatures(texts.slice(at, to - at), short))
+        at = to
+    return pa.concat_arrays(out) if out else signatures(texts, short)
+
+
+@F.arrow_udf(ArrayType(LongType()))
+def _signature(s: pa.Array) -> pa.Array:
+    return _pieces(s, True)
+
+
+@F.arrow_udf(ArrayType(LongType()))
+def _signature_long(s: pa.Array) -> pa.Array:
+    return _pieces(s, False)
 
 
 def signature(key: Column, short_as_itself: bool = True) -> Column:
@@ -59,22 +100,29 @@ def bands_for(least: int, hashes: int = HASHES) -> int:
     return next(b for b in range(need, hashes + 1) if hashes % b == 0)
 
 
-def near_pairs(left: DataFrame, right: DataFrame, least: int = 58, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(id_a, id_b, equal) of rows (id, sig, extra...) with at least `least` equal positions and equal extra columns.
+def near_classes(left: DataFrame, right: DataFrame, least: int = 58, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(sig_a, sig_b, extra..., equal): signatures of both sides with at least `least` equal positions, each once.
 
-    With d differing positions at most d bands differ, so more bands than d leave one equal: no pair is lost.
-    Rows of equal signature are one row on each side until the end, so a hot group of copies costs one row a band.
+    With d differing positions at most d bands differ, so more bands than d leave one equal: no pair is lost. Rows of equal
+    signature are one class, however many they are.
     """
     n = bands_for(least)
     width = HASHES // n
 
     def classes(df: DataFrame, s: str) -> DataFrame:
-        one = df.groupBy("sig", *extra).agg(F.count(F.lit(1)).alias("n"))
+        one = df.select("sig", *extra).distinct()
         band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(i.alias("no"), F.xxhash64(F.slice(F.col("sig"), i * width + 1, F.lit(width))).alias("h"))))
         return one.select(F.col("sig").alias(f"sig_{s}"), *extra, band.alias("band")).select(f"sig_{s}", *extra, "band.no", "band.h")
 
-    pairs = classes(left, "a").join(classes(right, "b"), ["no", "h", *extra]).select("sig_a", "sig_b", *extra).distinct()
-    pairs = pairs.withColumn("equal", agreement(F.col("sig_a"), F.col("sig_b"))).where(F.col("equal") >= least)
+    pairs = classes(left, "a").join(classes(right, "b"), ["no", "h", *extra]).withColumn("equal", agreement(F.col("sig_a"), F.col("sig_b"))).where(F.col("equal") >= least)
+    return pairs.select("sig_a", "sig_b", *extra, "equal").distinct()
+
+
+def near_pairs(left: DataFrame, right: DataFrame, least: int = 58, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(id_a, id_b, equal) of rows (id, sig, extra...) with at least `least` equal positions and equal extra columns.
+
+    The classes of near_classes with their rows; copies are in every pair, as the form of the result asks for.
+    """
     a = left.select(F.col("id").alias("id_a"), F.col("sig").alias("sig_a"), *extra)
     b = right.select(F.col("id").alias("id_b"), F.col("sig").alias("sig_b"), *extra)
-    return pairs.join(a, ["sig_a", *extra]).join(b, ["sig_b", *extra]).select("id_a", "id_b", "equal")
+    return near_classes(left, right, least, extra).join(a, ["sig_a", *extra]).join(b, ["sig_b", *extra]).select("id_a", "id_b", "equal")

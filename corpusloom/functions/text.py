@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -36,9 +36,9 @@ WORD_CLASSES = {
 UNSTABLE = r"[\p{M}\x{340}-\x{345}\x{374}\x{37e}\x{387}\x{1100}-\x{11ff}\x{1f00}-\x{1fff}\x{2000}\x{2001}\x{2126}\x{212a}\x{212b}\x{2329}\x{232a}\x{f900}-\x{faff}\x{fb1d}-\x{fb4f}\x{2f800}-\x{2fa1f}\x{958}-\x{9df}\x{a33}-\x{a5e}\x{b5c}\x{b5d}\x{f43}-\x{fb9}\x{2adc}]"
 
 
-@F.pandas_udf(StringType())
-def _nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+@F.arrow_udf(StringType())
+def _nfc(s: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else unicodedata.normalize("NFC", x) for x in s.to_pylist()], pa.string())
 
 
 def to_nfc(text: Column) -> Column:
@@ -88,6 +88,12 @@ def preserves_text(before: Column, after: Column) -> Column:
     return side(before).eqNullSafe(side(after))
 
 
+def near_idempotent(a: Column, b: Column) -> Column:
+    """Whether two texts differ in marks and letter case only."""
+    side = lambda x: strip_supported(F.lower(F.translate(to_nfc(x), "İ", "i")))
+    return a.eqNullSafe(b) | side(a).eqNullSafe(side(b))
+
+
 def strip_outer_quotes(text: Column) -> Column:
     t = strip(text)
     quotes = [q for q in OUTER_QUOTES]
@@ -190,6 +196,18 @@ def is_redirect(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, f"^{WS}+", "")).rlike("^#(?:redirect|beralîkirin)")
 
 
+def is_stub(text: Column, least_words: int = 5) -> Column:
+    """Fewer words, parted by white space, than an article needs; null and blank texts are stubs."""
+    t = F.coalesce(collapse(text), F.lit(""))
+    return F.when(t == "", True).otherwise(F.size(F.split(t, " ")) < least_words)
+
+
+def old_plain(text: Column) -> Column:
+    """The input form of the older restoration: marks that don't touch a digit and Arabic marks become blanks, all in lower case."""
+    t = F.regexp_replace(text, r"(?<!\p{Nd})[.,;:!?\-—…](?!\p{Nd})", " ")
+    return F.lower(collapse(F.translate(t, "؟،", "  ")))
+
+
 def latin_text(text: Column, least_letters: int = 20, most_arabic: float = 0.05, least_latin: float = 0.85) -> Column:
     s = script_stats(text)
     return F.coalesce((s["n_letters"] >= least_letters) & (s["arabic_ratio"] <= most_arabic) & (s["latin_ratio"] >= least_latin), F.lit(False))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import MARKS, NWS, strip, to_nfc
+from .text import MARKS, NWS, latin_text, normalize_for_dataset, strip, to_nfc
 
 # Letters of a word, and the patterns of a token in order of preference.
 LETTER = "A-Za-zÀ-ÖØ-öø-ÿĀ-ſÇçÊêÎîŞşÛûİı"
@@ -76,6 +76,47 @@ def old_labelled(text: Column) -> Column:
     return F.when((F.size(words) >= 3) & F.exists(words, lambda x: x["label"] != "0"), words)
 
 
+def old_sentence(text: Column) -> Column:
+    """Whether the older preparation keeps a sentence: no straight or opening angle quotes, Latin letters, 3 to 128 words, a mark."""
+    words = old_labelled(text)
+    return F.coalesce(~text.contains('"') & ~text.contains("«") & latin_text(text, 12) & (F.size(words) <= 128), F.lit(False))
+
+
+def asr_like(text: Column) -> Column:
+    """What speech recognition would write: the older tokens with a letter or digit, lower case, no marks."""
+    return F.array_join(F.transform(F.filter(old_tokens(text), lambda t: t.rlike(r"[\p{L}\p{N}]")), F.lower), " ")
+
+
+def old_joined(words: Column, labels: Column) -> Column:
+    """The older way to write words with their labels: marks attached, capitals at the beginning and after a full or question mark."""
+    before = F.concat(F.array(F.lit(".")), F.slice(labels, F.lit(1), F.greatest(F.size(labels) - 1, F.lit(0))))
+    up = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))
+    spelt = F.zip_with(words, before, lambda w, b: F.when(b.isin(".", "?"), up(w)).otherwise(w))
+    return F.array_join(F.zip_with(spelt, labels, lambda w, x: F.when(x.isin(".", "?", ",", "-", ":"), F.concat(w, x)).otherwise(w)), " ")
+
+
+def plain_words(text: Column) -> Column:
+    """The words of an article as they go into a restoration test: dataset form, bars as blanks, joined by one space, lower case."""
+    words = words_of(tokenize(F.replace(normalize_for_dataset(text), F.lit("|"), F.lit(" "))))
+    return F.lower(F.translate(F.array_join(words, " "), "İ", "i"))
+
+
+def label_ids(labels: Column, names: list[str] | None = None, ignored: int = -100) -> Column:
+    """array<int>: the place of each label among the names; IGNORE and null have the ignored id; an error for any other."""
+    names = names or LABELS
+    table = {x: i for i, x in enumerate(names)} | {"IGNORE": ignored}
+    bad = lambda x: F.raise_error(F.concat(F.lit("unknown label: "), x)).cast("int")
+    number = lambda x: _lookup(x, table, bad(x))
+    return F.transform(labels, lambda x: F.when(x.isNull(), ignored).otherwise(number(x)))
+
+
+def labels_of(ids: Column, names: list[str] | None = None, ignored: int = -100) -> Column:
+    """array<string>: the reverse of label_ids; ignored ids are IGNORE; an error for ids without a label."""
+    table = F.array(*map(F.lit, names or LABELS))
+    bad = lambda i: F.raise_error(F.concat(F.lit("unknown label id: "), i.cast("string"))).cast("string")
+    return F.transform(ids, lambda i: F.when(i == ignored, "IGNORE").otherwise(F.coalesce(F.get(table, i), bad(i))))
+
+
 def join_words(words: Column, marks: Column) -> Column:
     """Words with their marks, one space between; an error where the lengths differ."""
     same = F.size(words) == F.size(marks)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,7 +69,10 @@ def question_type(text: Column) -> Column:
 
 
 def checks(records: DataFrame) -> DataFrame:
-    """The records' seven checks and the reasons of those that fail; columns record_id, source, text, license and ids."""
+    """The records' seven checks, whether all hold, and the reasons of those that fail; columns record_id, source, text, license and ids.
+
+    Thresholds are fixed values. A record of short sentences needs no licence to be accepted.
+    """
     t = F.coalesce(F.col("text"), F.lit(""))
     s, n = X.script_stats(t), X.word_count(t, "review")
     only = X.letters(t)
@@ -84,10 +89,11 @@ def checks(records: DataFrame) -> DataFrame:
     encoding = ~t.rlike(MOJIBAKE)
     some = lambda c: F.coalesce(F.length(c) > 0, F.lit(False))
     licensed = some(F.col("license")) & (some(F.col("source_document_id")) | some(F.col("source_url")))
+    accept = kurmanji & marks & question & context & encoding & (licensed | short) & ~turkish
     why = [("language", ~language), ("kurmanji", ~kurmanji), ("punct", ~marks), ("not_question", ~question), ("context", ~context), ("encoding", ~encoding), ("turkish_heavy", turkish)]
     return records.select(
         "record_id", "source", language.alias("language_ok"), (kurmanji & ~turkish).alias("kurmanji_ok"), marks.alias("punctuation_ok"), question.alias("question_is_real"), context.alias("context_ok"),
-        encoding.alias("encoding_ok"), licensed.alias("license_metadata_ok"), F.concat_ws(",", *(F.when(c, F.lit(name)) for name, c in why)).alias("reasons"),
+        encoding.alias("encoding_ok"), licensed.alias("license_metadata_ok"), accept.alias("accept"), F.concat_ws(",", *(F.when(c, F.lit(name)) for name, c in why)).alias("reasons"),
     )
 
 
@@ -100,40 +106,50 @@ def greedy_dedup(records: DataFrame, least: int = 58) -> DataFrame:
     """(pos, reject): the greedy decision of each record (pos, source, text), in the order of pos, without a loop over rows.
 
     A record is rejected if an earlier accepted one has its exact key, else its key without marks, else (same source, same
-    twenty of words) at least `least` of 64 equal signature positions. Records of one exact key, source and number of words
-    share every edge, so only the first of them can be accepted; the graph is of those. Rounds decide every record whose earlier
-    neighbours are all decided. Null texts are rejected as empty. pos is unique.
+    twenty of words) at least `least` of 64 equal signature positions. Null texts are rejected as empty. pos is unique.
+
+    Records of one key without marks, source and number of words have one signature and share every edge, so only the first
+    of them can be accepted: the graph is of those heads, known by 128-bit hashes. A head is accepted if no earlier accepted
+    head has its key or is near. Heads without an earlier neighbour are accepted at once; rounds decide the others, and carry only
+    the open ones. The reasons follow from what was accepted.
     """
     base = records.select("pos", "source", X.exact_key(F.col("text")).alias("exact"), X.nopunct_key(F.col("text")).alias("nopunct"), (X.word_count(F.col("text")) / 20).cast("long").alias("bucket"), F.col("text").isNull().alias("empty"))
+    base = base.select("pos", F.coalesce("source", F.lit("")).alias("src"), "bucket", F.unhex(F.md5("exact")).alias("e"), F.unhex(F.md5("nopunct")).alias("p"), minhash.signature(F.col("nopunct")).alias("sig"), "empty")
     base = materialise(base, "keys")
     live = base.where("not empty")
-    heads = live.groupBy("exact", F.coalesce("source", F.lit("")).alias("src"), "bucket").agg(F.min("pos").alias("id"), F.first("nopunct").alias("nopunct"))
-    heads = materialise(heads.withColumn("sig", minhash.signature(F.col("nopunct"))), "heads")
-    # A head of equal keys in another bucket or source is a neighbour; a chain of heads stands for the whole group,
-    # because the first accepted of a key rejects all later ones of it.
-    near = minhash.near_pairs(heads.select("id", "sig", "src", "bucket"), heads.select("id", "sig", "src", "bucket"), least, ("src", "bucket")).where("id_a < id_b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    heads = materialise(live.groupBy("p", "src", "bucket").agg(F.min("pos").alias("id"), F.first("sig").alias("sig")), "heads")
+    near = minhash.near_classes(heads, heads, least, ("src", "bucket"))
+    of = heads.select("id", "sig", "src", "bucket")
+    near = near.join(of.withColumnsRenamed({"id": "a", "sig": "sig_a"}), ["sig_a", "src", "bucket"]).join(of.withColumnsRenamed({"id": "b", "sig": "sig_b"}), ["sig_b", "src", "bucket"]).where("a < b").select("a", "b")
+    same = heads.groupBy("p").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     near = materialise(near, "near")
-    state = materialise(heads.select("id", "exact", "nopunct", F.lit(None).cast("string").alias("fate")), "state")
-    while state.where("fate is null").head(1):
-        def by_key(col: str, name: str) -> DataFrame:
-            ok = F.when(F.col("fate") == "accept", F.col("id"))
-            open_ = F.when(F.col("fate").isNull(), F.col("id"))
-            return state.groupBy(col).agg(F.min(ok).alias(f"{name}_ok"), F.min(open_).alias(f"{name}_open"))
-
-        other = state.select(F.col("id").alias("a"), F.col("fate").alias("afate"))
-        nb = near.join(other, "a").groupBy(F.col("b").alias("id")).agg(F.bool_or(F.col("afate") == "accept").alias("near_ok"), F.bool_or(F.col("afate").isNull()).alias("near_open"))
-        at = state.join(by_key("exact", "e"), "exact").join(by_key("nopunct", "p"), "nopunct").join(nb, "id", "left")
-        earlier = lambda c: F.coalesce(F.col(c) < F.col("id"), F.lit(False))
-        wait = earlier("e_open") & ~earlier("e_ok") | earlier("p_open") & ~earlier("p_ok") & ~earlier("e_ok") | F.coalesce("near_open", F.lit(False)) & ~earlier("e_ok") & ~earlier("p_ok")
-        # A reason found early may still be overtaken by a stronger one from an undecided neighbour: then it waits.
-        stronger = (earlier("e_open") & ~earlier("e_ok")) | (earlier("p_open") & ~earlier("p_ok") & ~earlier("e_ok"))
-        fate = F.when(earlier("e_ok"), "exact_duplicate").when(stronger, F.lit(None)).when(earlier("p_ok"), "punctuation_only_duplicate").when(wait, F.lit(None)).when(F.coalesce("near_ok", F.lit(False)), "near_duplicate").otherwise("accept")
-        state = materialise(at.select("id", "exact", "nopunct", F.coalesce("fate", fate).alias("fate")), "state")
-    # Members of a head's class: exact copies if any record of the key was accepted before them, else the head's own fate.
-    ok = state.where("fate = 'accept'").groupBy("exact").agg(F.min("id").alias("ok"))
-    mine = live.withColumn("src", F.coalesce("source", F.lit(""))).join(heads.select("exact", "src", "bucket", "id"), ["exact", "src", "bucket"]).join(state.select("id", "fate"), "id").join(ok, "exact", "left")
-    out = mine.select("pos", F.when(F.col("ok") < F.col("pos"), "exact_duplicate").when(F.col("fate") == "accept", F.lit(None)).otherwise(F.col("fate")).alias("reject"))
-    return out.unionByName(base.where("empty").select("pos", F.lit("empty").alias("reject")))
+    keyed = materialise(heads.join(same, "p").select("id", "p", "first"), "keyed")  # heads whose key other heads have
+    waits = near.select(F.col("b").alias("id")).union(keyed.where("id > first").select("id")).distinct()
+    accepted = [materialise(heads.select("id").join(waits, "id", "left_anti"), "accepted")]
+    open_ = materialise(waits, "open")
+    while open_.head(1):
+        done = reduce(DataFrame.union, accepted)
+        # Earlier neighbours: any accepted one rejects; else any open one makes the head wait.
+        by_near = near.join(open_.select(F.col("id").alias("b")), "b", "left_semi")
+        hit = by_near.join(done.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id"))
+        wait = by_near.join(open_.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id"))
+        mine = keyed.join(open_, "id", "left_semi")
+        for others, name in ((done, "hit"), (open_, "wait")):
+            least_id = keyed.join(others, "id", "left_semi").groupBy("p").agg(F.min("id").alias("least"))
+            found = mine.join(least_id, "p").where("least < id").select("id")
+            hit, wait = (hit.union(found), wait) if name == "hit" else (hit, wait.union(found))
+        state = open_.join(hit.distinct().withColumn("hit", F.lit(True)), "id", "left").join(wait.distinct().withColumn("wait", F.lit(True)), "id", "left")
+        state = materialise(state, "state")
+        accepted.append(state.where("hit is null and wait is null").select("id"))
+        open_ = state.where("hit is null and wait").select("id")
+    done = materialise(reduce(DataFrame.union, accepted), "done")
+    ok = heads.join(done, "id", "left_semi")
+    by_exact = live.join(ok.select(F.col("id").alias("pos")), "pos", "left_semi").groupBy("e").agg(F.min("pos").alias("e_ok"))
+    by_key = ok.groupBy("p").agg(F.min("id").alias("p_ok"))
+    taken = ok.select(F.col("id").alias("pos"), F.lit(True).alias("ok"))
+    judged = live.select("pos", "e", "p").join(taken, "pos", "left").join(by_exact, "e", "left").join(by_key, "p", "left")
+    reason = F.when(F.col("ok"), F.lit(None)).when(F.col("e_ok") < F.col("pos"), "exact_duplicate").when(F.col("p_ok") < F.col("pos"), "punctuation_only_duplicate").otherwise("near_duplicate")
+    return judged.select("pos", reason.alias("reject")).unionByName(base.where("empty").select("pos", F.lit("empty").alias("reject")))
 
 
 def filter_statistics(rows: DataFrame) -> DataFrame:
@@ -144,3 +160,10 @@ def filter_statistics(rows: DataFrame) -> DataFrame:
 def rates(rows: DataFrame, columns: list[str], *by: str) -> DataFrame:
     """(by..., n, rate of each column): shares of true among the known values of each column; null where none is known."""
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *(F.round(F.avg(F.col(c).cast("double")), 6).alias(f"{c}_rate") for c in columns))
+
+
+def gates(rows: DataFrame, by: str, accept: str = "accept", good: float = 0.90, fair: float = 0.80) -> DataFrame:
+    """(by, n, accepted, accept_rate, gate): PASS, REFILTER or REJECT by the share of rows accepted; unknown counts as not accepted."""
+    n = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(F.col(accept), F.lit(False))).alias("accepted"))
+    rate = F.col("accepted") / F.col("n")
+    return n.select(by, "n", "accepted", F.round(rate, 6).alias("accept_rate"), F.when(rate >= good, "PASS").when(rate >= fair, "REFILTER").otherwise("REJECT").alias("gate"))

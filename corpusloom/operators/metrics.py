@@ -59,6 +59,13 @@ def transitions(cube: DataFrame) -> DataFrame:
     return cube.where(F.col("true") != F.col("pred")).groupBy(F.concat_ws(" -> ", "true", "pred").alias("transition")).agg(F.sum("n").alias("n"))
 
 
+def skip_reason(tokens: Column, labels: Column, pred: Column | None = None, least: int = 3) -> Column:
+    """Why an evaluation leaves a text out, or null: no_gold, few_tokens, or length_mismatch of labels or predictions."""
+    n = F.coalesce(F.size(tokens), F.lit(0))
+    other = ~n.eqNullSafe(F.size(labels)) if pred is None else ~n.eqNullSafe(F.size(labels)) | ~n.eqNullSafe(F.size(pred))
+    return F.when((n == 0) | labels.isNull(), "no_gold").when(n < least, "few_tokens").when(other, "length_mismatch")
+
+
 def softmax(logits: Column) -> Column:
     """array<double>: exponentials over their sum, shifted by the largest."""
     e = F.transform(logits, lambda x: F.exp(x.cast("double") - F.array_max(logits).cast("double")))
@@ -116,7 +123,10 @@ def sweep(rows: DataFrame, labels: list[str], grid: list[float], fallback: str)
 
 
 def sweep_pair(rows: DataFrame, title_grid: list[float], upper_grid: list[float]) -> DataFrame:
-    """(title, upper, macro_f1, title_precision, title_recall, title_f1, upper_f1) over a grid of two floors.
+    """(title, upper, macro_f1, title_precision, title_recall, title_f1, upper_f1, best) over a grid of two floors.
+
+    best marks one point: first those with a title precision of 0.90 and recall of 0.85, then by title precision, macro F1, title
+    recall, and the lower floors of equals.
 
     rows: gold, arg, conf, protected, start. Decoding depends on arg, conf and two flags, so a histogram is enough.
     """
@@ -136,4 +146,20 @@ def sweep_pair(rows: DataFrame, title_grid: list[float], upper_grid: list[float]
         aggs += [total(g & p).alias(f"{x}_tp"), total(~g & p).alias(f"{x}_fp"), total(g & ~p).alias(f"{x}_fn")]
     s = both.groupBy("title", "upper").agg(*aggs)
     t, u = (_f1(F.col(f"{x}_tp"), F.col(f"{x}_fp"), F.col(f"{x}_fn")) for x in ("TITLE", "UPPER"))
-    return s.select("title", "upper", F.round((t[2] + u[2]) / 2, 6).alias("macro_f1"), F.round(t[0], 6).alias("title_precision"), F.round(t[1], 6).alias("title_recall"), F.round(t[2], 6).alias("title_f1"), F.round(u[2], 6).alias("upper_f1"))
+    out = s.select("title", "upper", F.round((t[2] + u[2]) / 2, 6).alias("macro_f1"), F.round(t[0], 6).alias("title_precision"), F.round(t[1], 6).alias("title_recall"), F.round(t[2], 6).alias("title_f1"), F.round(u[2], 6).alias("upper_f1"))
+    met = (F.col("title_precision") >= 0.90) & (F.col("title_recall") >= 0.85)
+    order = Window.orderBy(met.desc(), F.desc("title_precision"), F.desc("macro_f1"), F.desc("title_recall"), "title", "upper")  # a row a grid point
+    return out.withColumn("best", F.row_number().over(order) == 1)
+
+
+def error_contexts(rows: DataFrame, label: str = "QUESTION", reach: int = 20) -> DataFrame:
+    """(id, source, token_index, context, gold, predicted, error_type): the errors of a label, with the tokens around each.
+
+    rows: id, source, tokens, labels, pred (arrays). Places beyond the shortest of the three arrays, and nulls, are no errors.
+    """
+    at = F.posexplode(F.arrays_zip("tokens", "labels", "pred")).alias("i", "x")
+    wrong = rows.select("id", "source", "tokens", at).where("x.tokens is not null and x.labels is not null and x.pred is not null and x.labels <> x.pred").where((F.col("x.labels") == label) | (F.col("x.pred") == label))
+    left = F.array_join(F.slice("tokens", F.greatest(F.lit(1), F.col("i") + 1 - reach), F.least(F.lit(reach), F.col("i"))), " ")
+    right = F.array_join(F.slice("tokens", F.col("i") + 2, F.lit(reach)), " ")
+    context = F.concat(left, F.lit(" ["), F.col("x.tokens"), F.lit("] "), right)
+    return wrong.select("id", "source", F.col("i").alias("token_index"), context.alias("context"), F.col("x.labels").alias("gold"), F.col("x.pred").alias("predicted"), F.concat("x.labels", F.lit("_TO_"), "x.pred").alias("error_type"))

@@ -1,100 +1,141 @@
 """Restoring marks and case with a scoring function given by the caller; words are kept or the row says so.
 
-A scorer takes batches (Arrow) of key, win, tokens and gives a list of logits for each token. Everything around it, windows,
-means, decoding, spelling, checks, is expressions.
+A scorer takes a list of windows (lists of tokens) and gives an array of logits, tokens x labels, for each. Windows, means over
+windows and scoring are one Arrow stage, a row in and a row out for each text; all else is expressions over its arrays, so no
+token is ever a row of its own and nothing is shuffled. A scorer that loads a model does so through `subwords.once`.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Callable, Iterator
+import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import casing as C
+from ..functions import subwords
 from ..functions import text as X
 from ..functions import tokens as T
 from ..plans.storage import materialise
 from . import metrics as M
-from .corpus import windows, word_costs
+from .corpus import inference_spans
 
 Scorer = Callable[[list[list[str]]], list[np.ndarray]]
+Cost = Callable[[pa.Array], np.ndarray]
 FLOORS = {"COMMA": 0.55, "PERIOD": 0.55, "QUESTION": 0.60, "EXCLAMATION": 0.70}
+AT_ONCE = 256
 
 
 def stand_in(labels: int) -> Scorer:
-    """A scorer that needs no model: logits from a checksum of the token, the same on every machine."""
+    """A scorer that needs no model: logits from the md5 of the token, five bits a label, the same on every machine."""
 
     def run(windows_: list[list[str]]) -> list[np.ndarray]:
-        return [np.array([[((zlib.crc32(t.encode()) >> (5 * k)) % 32) / 4.0 + (6.0 if k == 0 else 0.0) for k in range(labels)] for t in toks], dtype=float).reshape(len(toks), labels) for toks in windows_]
+        known = {t: int(hashlib.md5(t.encode()).hexdigest()[:8], 16) for w in windows_ for t in w}
+        bits = 5 * np.arange(labels)
+        return [((np.array([known[t] for t in w], np.int64)[:, None] >> bits) % 32) / 4.0 + np.where(bits == 0, 6.0, 0.0) for w in windows_]
 
     return run
 
 
-def _scored(scorer: Scorer):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            logits = [np.asarray(x).tolist() for x in scorer(b.column("items").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("start"), pa.array(logits, pa.list_(pa.list_(pa.float64())))], names=["key", "start", "logits"])
-
-    return run
-
-
-def mean_logits(rows: DataFrame, scorer: Scorer, budget: int = 256, overlap: int = 32) -> DataFrame:
-    """(key, pos, logits): of rows (key, items) the mean logits of each token over the windows that hold it."""
-    spans = windows(rows, "key", word_costs(F.col("items")), training=False, budget=budget, overlap=overlap)
-    kind = dict(rows.dtypes)["key"]
-    got = spans.select("key", "start", "items").mapInArrow(_scored(scorer), f"key {kind}, start int, logits array<array<double>>")
-    flat = got.select("key", "start", F.posexplode("logits").alias("i", "x")).select("key", (F.col("start") + F.col("i")).alias("pos"), F.posexplode("x").alias("k", "v"))
-    mean = flat.groupBy("key", "pos", "k").agg(F.avg("v").alias("v"))
-    return mean.groupBy("key", "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias("logits"))
-
-
-def punctuate(texts: DataFrame, scorer: Scorer, floors: dict[str, float] | None = None) -> DataFrame:
+def mean_logits(items: pa.ListArray, used: pa.ListArray | None, scorer: Scorer, cost: Cost, budget: int = 256, overlap: int = 32) -> pa.ListArray:
+    """list<list<double>>: for each token the mean of its logits over the windows that hold it; null for tokens that aren't used."""
+    size = pc.fill_null(pc.list_value_length(items), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    offs = np.concatenate([[0], np.cumsum(size)])
+    tokens = pc.list_flatten(items)
+    use = np.ones(len(tokens), bool) if used is None else pc.fill_null(pc.list_flatten(used), False).to_numpy(zero_copy_only=False).astype(bool)
+    kept = tokens.filter(pa.array(use))
+    first = np.concatenate([[0], np.cumsum(use)])[offs]
+    costs = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(cost(kept) if len(kept) else np.empty(0, np.int32)))
+    spans = inference_spans(costs, budget, overlap)
+    base = np.repeat(first[:-1], np.diff(spans.offsets.to_numpy()))
+    begin, end = (base + spans.values.field(k).to_numpy(zero_copy_only=False) for k in ("start", "end"))
+    words, total, times = kept.to_pylist(), None, np.zeros(len(kept))
+    for k in range(0, len(begin), AT_ONCE):
+        pairs = list(zip(begin[k : k + AT_ONCE].tolist(), end[k : k + AT_ONCE].tolist()))
+        for (a, b), z in zip(pairs, scorer([words[a:b] for a, b in pairs])):
+            z = np.asarray(z, float)
+            total = np.zeros((len(kept), z.shape[1])) if total is None else total
+            total[a:b] += z
+            times[a:b] += 1
+    width = 0 if total is None else total.shape[1]
+    flat = np.empty(0) if total is None else (total / times[:, None]).reshape(-1)
+    inner = np.concatenate([[0], np.cumsum(use)]) * width
+    each = pa.ListArray.from_arrays(pa.array(inner.astype(np.int32)), pa.array(flat), mask=pa.array(~use) if len(use) and not use.all() else None)
+    return pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), each)
+
+
+def logits_of(items: Column, used: Column | None, scorer: Scorer, cost: Cost = subwords.quarters, budget: int = 256, overlap: int = 32) -> Column:
+    """array<array<double>> of the tokens of an array, see mean_logits; used: array<boolean>, by default all."""
+    kind = "array<array<double>>"
+    if used is None:
+        return F.arrow_udf(lambda x: mean_logits(x, None, scorer, cost, budget, overlap), kind)(items)
+    return F.arrow_udf(lambda x, u: mean_logits(x, u, scorer, cost, budget, overlap), kind)(items, used)
+
+
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once inside a lambda."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def punctuate(texts: DataFrame, scorer: Scorer, floors: dict[str, float] | None = None, cost: Cost = subwords.quarters) -> DataFrame:
     """(key, input, output, preserved, tokens array<struct<token,label,confidence>>) of rows (key, text).
 
-    Marks that are there stay, with confidence 1, and their words are never scored. Empty texts come out empty.
+    Marks that are there stay, with confidence 1, and their words are never scored. Null and empty texts come out empty.
     """
     floors = floors or FLOORS
     base = texts.select("key", X.normalize_for_inference(F.coalesce("text", F.lit(""))).alias("input"))
-    base = materialise(base, "inputs")
-    words = materialise(base.select("key", F.posexplode(T.labelled(T.tokenize(F.col("input")))).alias("pos", "w")).select("key", "pos", "w.tok", "w.label"), "words")
-    bare = words.where("label = 'O'")
-    lists = bare.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("x"))
-    logits = mean_logits(lists.select("key", F.transform("x", lambda s: s["tok"]).alias("items")), scorer)
-    back = lists.select("key", F.posexplode("x").alias("pos", "s")).select("key", "pos", F.col("s.pos").alias("at")).join(logits, ["key", "pos"])
-    decoded = back.select("key", F.col("at").alias("pos"), M.decode_marks(M.softmax(F.col("logits")), floors).alias("d"))
-    rows = words.join(decoded, ["key", "pos"], "left").select("key", F.struct("pos", F.col("tok").alias("token"), F.coalesce("d.label", "label").alias("label"), F.coalesce("d.confidence", F.lit(1.0)).alias("confidence")).alias("t"))
-    done = rows.groupBy("key").agg(F.array_sort(F.collect_list("t")).alias("t"))
-    out = T.join_words(F.transform("t", lambda s: s["token"]), F.transform("t", lambda s: T.mark_of(s["label"])))
-    joined = base.join(done, "key", "left").select("key", "input", F.coalesce(out, F.lit("")).alias("output"), F.col("t").alias("tokens"))
-    return joined.withColumn("preserved", X.preserves_text(F.col("input"), F.col("output")))
-
-
-def capitalise(texts: DataFrame, scorer: Scorer, title: float = 0.8, upper: float = 0.85) -> DataFrame:
+    words = base.select("key", "input", T.labelled(T.tokenize(F.col("input"))).alias("w"))
+    bare = F.transform("w", lambda x: x["label"] == "O")
+    scored = words.select("key", "input", "w", logits_of(F.transform("w", lambda x: x["tok"]), bare, scorer, cost).alias("z"))
+
+    def decided(x: Column, z: Column) -> Column:
+        d = _bound(M.softmax(z), lambda p: M.decode_marks(p, floors))
+        fixed = F.struct(x["tok"].alias("token"), x["label"].alias("label"), F.lit(1.0).alias("confidence"))
+        return F.when(z.isNull(), fixed).otherwise(_bound(d, lambda y: F.struct(x["tok"].alias("token"), y["label"].alias("label"), y["confidence"].alias("confidence"))))
+
+    done = materialise(scored.select("key", "input", F.zip_with("w", "z", decided).alias("tokens")), "tokens")
+    out = T.join_words(F.transform("tokens", lambda s: s["token"]), F.transform("tokens", lambda s: T.mark_of(s["label"])))
+    return done.select("key", "input", out.alias("output"), "tokens").withColumn("preserved", X.preserves_text(F.col("input"), F.col("output")))
+
+
+def capitalise(texts: DataFrame, scorer: Scorer, title: float = 0.8, upper: float = 0.85, cost: Cost = subwords.quarters) -> DataFrame:
     """(key, input, ruled, output, preserved) of rows (key, text): lower case, sentence starts, then labels of the scorer."""
     base = texts.select("key", X.normalize_for_inference(F.coalesce("text", F.lit(""))).alias("input"))
-    low = materialise(base.withColumn("low", C.lower(F.col("input"))), "lower")
-    seen = low.select("key", F.posexplode(T.tokenize(F.col("low"))).alias("pos", "tok"))
-    ruled_tok = C.mark_starts(seen, "key").withColumn("tok", F.when(F.col("start"), C.title(F.col("tok"))).otherwise(F.col("tok")))
-    spelt = ruled_tok.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))), lambda s: s["tok"]).alias("items"))
-    ruled = low.join(spelt, "key", "left").select("key", "input", F.when(F.col("items").isNull(), F.col("low")).otherwise(T.respell(F.col("low"), F.col("items"))).alias("ruled"))
-    ruled = materialise(ruled, "ruled")
+    low = base.select("key", "input", C.lower(F.col("input")).alias("low"))
+    seen = low.select("*", T.tokenize(F.col("low")).alias("toks"))
+    begun = seen.select("*", C.starts(F.col("toks")).alias("begin"))
+    new = F.zip_with("toks", "begin", lambda x, b: F.when(b, C.title(x)).otherwise(x))
+    ruled = begun.select("key", "input", F.when(F.size("toks") == 0, F.col("low")).otherwise(T.respell(F.col("low"), new)).alias("ruled"))
     # Title case can change what a token is (an address that begins a sentence), so the tokens are found again.
-    flat = materialise(C.mark_starts(ruled.select("key", F.posexplode(T.tokenize(F.col("ruled"))).alias("pos", "tok")), "key"), "tokens")
-    listed = flat.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))), lambda s: s["tok"]).alias("items"))
-    listed = materialise(listed, "listed")
-    logits = mean_logits(listed, scorer)
-    kept = T.is_protected(F.col("tok")) | ~F.col("tok").rlike(r"\p{L}")
-    rows = flat.join(logits, ["key", "pos"], "left").select("key", "pos", "tok", "start", kept.alias("kept"), M.decode_case(M.softmax(F.col("logits")), kept, F.col("start"), title, upper).alias("d"))
-    same = F.col("kept") | (F.col("start") & (F.col("d.label") == "KEEP"))
-    new = rows.select("key", F.struct("pos", F.when(same, F.col("tok")).otherwise(C.apply_label(F.col("tok"), F.col("d.label"))).alias("new")).alias("t"))
-    done = new.groupBy("key").agg(F.transform(F.array_sort(F.collect_list("t")), lambda s: s["new"]).alias("new"))
-    out = ruled.join(done, "key", "left").select("key", "input", "ruled", F.when(F.col("new").isNull(), F.col("ruled")).otherwise(T.respell(F.col("ruled"), F.col("new"))).alias("output"))
-    return out.withColumn("preserved", C.same_but_case(F.col("ruled"), F.col("output")))
+    again = materialise(ruled, "ruled").select("*", T.tokenize(F.col("ruled")).alias("toks"))
+    again = again.select("*", C.starts(F.col("toks")).alias("begin"), logits_of(F.col("toks"), None, scorer, cost).alias("z"))
+    rows = F.zip_with(F.arrays_zip("toks", "begin"), "z", lambda x, z: F.struct(x["toks"].alias("tok"), x["begin"].alias("begin"), z.alias("z")))
+
+    def spelt(x: Column) -> Column:
+        kept = T.is_protected(x["tok"]) | ~x["tok"].rlike(r"\p{L}")
+        label = _bound(M.softmax(x["z"]), lambda p: M.decode_case(p, F.lit(False), x["begin"], title, upper))["label"]
+        changed = _bound(label, lambda y: F.when(y == "KEEP", x["tok"]).otherwise(C.apply_label(x["tok"], y)))
+        return F.when(kept, x["tok"]).otherwise(changed)
+
+    out = F.when(F.size("toks") == 0, F.col("ruled")).otherwise(T.respell(F.col("ruled"), F.transform(rows, spelt)))
+    done = materialise(again.select("key", "input", "ruled", out.alias("output")), "cased")
+    return done.withColumn("preserved", C.same_but_case(F.col("ruled"), F.col("output")))
+
+
+def predicted(samples: DataFrame, scorer: Scorer, labels: list[str], cost: Cost = subwords.quarters) -> DataFrame:
+    """samples (tokens, labels, ...) with `pred`: the likeliest label of each token, no floors. Null tokens are scored as empty ones.
+
+    A batch evaluation takes the metrics of the pairs (labels, pred); where their lengths differ `pred` is null.
+    """
+    toks = F.transform("tokens", lambda t: F.coalesce(t, F.lit("")))
+    names = F.array(*map(F.lit, labels))
+    rows = samples.withColumn("_z", logits_of(toks, None, scorer, cost))
+    pred = F.transform("_z", lambda z: F.get(names, M.argmax(z) - 1))
+    return rows.withColumn("pred", F.when(F.size("tokens") == F.size("labels"), pred)).drop("_z")
 
 
 def restore(texts: DataFrame, mode: str = "full", marks: Scorer | None = None, case: Scorer | None = None) -> DataFrame:
@@ -115,6 +156,16 @@ def restore(texts: DataFrame, mode: str = "full", marks: Scorer | None = None, c
     if mode == "punctuation":
         return p.select("key", "input", F.col("output").alias("punctuated"), none.alias("sentence_capitalized"), "output", F.col("preserved").alias("punctuation_only"), true.alias("case_only"))
     p = materialise(p.select("key", "input", "output", "preserved"), "punctuated")
-    c = capitalise(p.select("key", F.col("output").alias("text")), case)
-    both = p.withColumnsRenamed({"output": "punctuated", "preserved": "punctuation_only"}).join(c.select("key", F.col("ruled").alias("sentence_capitalized"), "output", F.col("preserved").alias("case_only")), "key")
-    return both.select("key", "input", "punctuated", "sentence_capitalized", "output", "punctuation_only", "case_only")
+    c = capitalise(p.select(F.struct("key", "input", "output", "preserved").alias("key"), F.col("output").alias("text")), case)
+    return c.select("key.key", "key.input", F.col("key.output").alias("punctuated"), F.col("ruled").alias("sentence_capitalized"), "output", F.col("key.preserved").alias("punctuation_only"), F.col("preserved").alias("case_only"))
+
+
+def idempotency(texts: DataFrame, marks: Scorer, case: Scorer) -> DataFrame:
+    """(key, input, output, again, punctuation_only, case_only, exact, near): restoration of restored texts.
+
+    near: the second pass changed marks and letter case only. Texts without a word are left out.
+    """
+    one = materialise(restore(texts, "full", marks, case).where(F.size(T.words_of(T.tokenize(F.col("input")))) > 0), "restored")
+    carried = one.select(F.struct("key", "input", "output", "punctuation_only", "case_only").alias("key"), F.col("output").alias("text"))
+    two = restore(carried, "full", marks, case).select("key.*", F.col("output").alias("again"))
+    return two.select("*", (F.col("again") == F.col("output")).alias("exact"), X.near_idempotent(F.col("output"), F.col("again")).alias("near"))

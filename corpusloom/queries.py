@@ -13,7 +13,7 @@ from .functions import text as X
 from .functions import tokens as T
 from .operators import corpus, curation, leakage, metrics, restoration, selection
 from .plans.curation import curate
-from .plans.storage import materialise, shared_dir
+from .plans.storage import materialise, new_path
 from .sources import readers, sinks
 from .sources import tables
 from .streaming import dedup as streams
@@ -180,7 +180,13 @@ def sentence_spans(spark, d):
     return rows.select("article_id", F.size("s").cast("long").alias("spans"), F.coalesce(F.array_max(F.transform("s", F.length)), F.lit(0)).cast("long").alias("longest"), F.md5(F.array_join("s", "|")).alias("hash"))
 
 
-@query()
+S_CAPS = "A-ZÇÊÎŞÛ"
+S_PARAS = f"""SELECT article_id, unnest(string_split({rx(rx("text", r"\n{2,}", chr(1)), f"\\n([{S_CAPS}])", chr(1) + r"\1")}, chr(1))) AS p FROM wikipedia WHERE text IS NOT NULL"""
+# A mark, blanks, and what begins a sentence: the place between is marked, as no engine's look-around is at hand.
+S_PIECES = f"""SELECT article_id, p, list_filter(list_transform(string_split({rx("p", rf"([.!?…]){X.WS}+([" + chr(34) + "'«]?[A-ZÇÊÎŞÛÁÉÍÓÚÄËÖÜ])", r"\1" + chr(1) + r"\2")}, chr(1)), lambda x: {s_strip("x")}), lambda x: length(x) >= 8) AS s FROM (SELECT article_id, {s_collapse("p")} AS p FROM ({S_PARAS})) WHERE p <> ''"""
+
+
+@query(f"SELECT article_id, unnest(CASE WHEN len(s) > 0 THEN s WHEN length(p) >= 8 THEN [p] ELSE [] END) AS sentence FROM ({S_PIECES})")
 def soft_sentences(spark, d):
     rows = table(spark, d, "wikipedia").where("text is not null").select("article_id", F.explode(X.paragraphs(F.col("text"))).alias("p"))
     return rows.select("article_id", F.explode(X.soft_sentences(F.col("p"))).alias("sentence"))
@@ -233,13 +239,6 @@ def sentence_starts(spark, d):
     return C.mark_starts(rows, "article_id").groupBy("article_id").agg(F.count(F.lit(1)).alias("tokens"), F.count_if("start").alias("starts"))
 
 
-@query()
-def case_windows(spark, d):
-    flat = C.case_rows(table(spark, d, "wikipedia").select("article_id", X.normalize_for_inference(F.col("text")).alias("text")), "article_id")
-    rows = flat.groupBy("article_id").agg(F.array_sort(F.collect_list(F.struct("pos", "tok", "label"))).alias("items"))
-    return corpus.windows(rows, "article_id", corpus.word_costs(F.transform("items", lambda x: x["tok"]))).select("article_id", "win", "start", "end", F.transform("items", lambda x: x["label"]).alias("labels"))
-
-
 @query(f"SELECT record_id, landed_at, sha256({s_exact('text')}) AS exact, sha256({s_low(s_exact('text', False))}) AS low, sha256({s_nopunct('text')}) AS nopunct FROM raw_records WHERE text IS NOT NULL")
 def hash_keys(spark, d):
     t = F.col("text")
@@ -295,7 +294,7 @@ S_LA = f"coalesce((length({s_letters(S_T)}) - length({rx(s_letters(S_T), '[A-Za-
  {s_count(S_T, '?')} AS qm, {s_count(S_T, '.!')} AS other, {s_words(S_T, 'review')} AS n, NOT contains({S_T}, '???') AS no3, NOT regexp_matches({S_T}, {q(curation.MOJIBAKE)}) AS enc,
  coalesce(length(license) > 0, false) AND (coalesce(length(source_document_id) > 0, false) OR coalesce(length(source_url) > 0, false)) AS lic FROM accepted_records),
 c AS (SELECT *, lang AND (kmr >= 1 OR short) AS kur, qm >= 1 AND no3 AS marks, CASE WHEN short THEN n >= 5 ELSE other + qm >= 2 OR n >= 20 END AS ctx FROM b)
-SELECT record_id, source, lang AS language_ok, kur AND NOT tr AS kurmanji_ok, marks AS punctuation_ok, marks AND n >= 5 AS question_is_real, ctx AS context_ok, enc AS encoding_ok, lic AS license_metadata_ok,
+SELECT record_id, source, lang AS language_ok, kur AND NOT tr AS kurmanji_ok, marks AS punctuation_ok, marks AND n >= 5 AS question_is_real, ctx AS context_ok, enc AS encoding_ok, lic AS license_metadata_ok, kur AND NOT tr AND marks AND n >= 5 AND ctx AND enc AND (lic OR short) AS accept,
  array_to_string(list_filter([CASE WHEN NOT lang THEN 'language' END, CASE WHEN NOT kur THEN 'kurmanji' END, CASE WHEN NOT marks THEN 'punct' END, CASE WHEN NOT (marks AND n >= 5) THEN 'not_question' END, CASE WHEN NOT ctx THEN 'context' END, CASE WHEN NOT enc THEN 'encoding' END, CASE WHEN tr THEN 'turkish_heavy' END], lambda x: x IS NOT NULL), ',') AS reasons FROM c""")
 def record_checks(spark, d):
     return curation.checks(table(spark, d, "accepted_records"))
@@ -368,23 +367,41 @@ def near_pairs_anywhere(spark, d):
     return minhash.near_pairs(s, s).where("id_a < id_b")
 
 
-@query()
+S_CUT = f"CASE WHEN length(t) <= 1200 THEN t WHEN p = 0 THEN substr(t, 1, 1200) ELSE {s_strip('substr(t, greatest(0, p - 601) + 1, 1200)')} END"
+# The sequential rule: the records that pass the tests, in order, each against the list of those accepted before.
+S_CURATED = f"""WITH RECURSIVE c AS (SELECT pos, record_id, source, {S_CUT} AS text FROM (SELECT pos, record_id, source, t, strpos(t, '?') AS p FROM (SELECT row_number() OVER (ORDER BY landed_at NULLS FIRST, record_id NULLS FIRST, source NULLS FIRST, text NULLS FIRST) AS pos, record_id, source, {S_CTX} AS t FROM (SELECT DISTINCT record_id, source, text, landed_at FROM raw_records)))),
+f AS MATERIALIZED (SELECT *, {S_REASON} AS reason FROM c),
+k AS MATERIALIZED (SELECT pos, row_number() OVER (ORDER BY pos) AS r, coalesce(source, '') AS src, {s_words('text', 'filter')} // 20 AS bucket, {s_exact('text')} AS e, {s_nopunct('text')} AS n, text FROM f WHERE reason IS NULL),
+s AS MATERIALIZED (SELECT pos, src, bucket, sig FROM ({s_sig('n', 'pos, src, bucket', 'k')})),
+nb AS MATERIALIZED (SELECT b.pos, a.pos AS other, CASE WHEN a.e = b.e THEN 1 WHEN a.n = b.n THEN 2 ELSE 3 END AS kind FROM k a JOIN k b ON a.pos < b.pos AND a.n = b.n
+ UNION ALL SELECT b.pos, a.pos, 3 FROM s a JOIN s b ON a.src = b.src AND a.bucket = b.bucket AND a.pos < b.pos AND {S_EQUAL} >= 58),
+l AS MATERIALIZED (SELECT r, k.pos, list(DISTINCT other) FILTER (other IS NOT NULL) AS others FROM k LEFT JOIN nb USING (pos) GROUP BY ALL),
+g AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS ok UNION ALL SELECT l.r, CASE WHEN list_has_any(g.ok, coalesce(l.others, []::BIGINT[])) THEN g.ok ELSE list_append(g.ok, l.pos) END FROM g JOIN l ON l.r = g.r + 1),
+a AS MATERIALIZED (SELECT pos, row_number() OVER (ORDER BY pos) AS number FROM (SELECT unnest(ok) AS pos FROM (SELECT ok FROM g ORDER BY r DESC LIMIT 1))),
+d AS MATERIALIZED (SELECT nb.pos, min(kind) AS kind FROM nb JOIN a ON a.pos = nb.other WHERE nb.pos NOT IN (SELECT pos FROM a) GROUP BY nb.pos),
+o AS (SELECT f.*, number, coalesce(reason, CASE d.kind WHEN 1 THEN 'exact_duplicate' WHEN 2 THEN 'punctuation_only_duplicate' WHEN 3 THEN 'near_duplicate' END) AS reject_reason FROM f LEFT JOIN a USING (pos) LEFT JOIN d USING (pos))"""
+S_KIND = f"CASE WHEN {' + '.join(f'({h})::INT' for _, h in S_HITS)} > 1 THEN 'MULTIPLE_QUESTION' {' '.join(f"WHEN {h} THEN '{n}'" for n, h in S_HITS)} WHEN contains(text, '?') THEN 'YES_NO' ELSE 'OTHER' END"
+
+
+@query(f"""{S_CURATED} SELECT CASE WHEN number IS NOT NULL THEN 'v2q_' || lpad(number::VARCHAR, 6, '0') END AS accepted_id, record_id, source, text, reject_reason, {s_count('text', '?')} AS question_count, {s_words('text', 'filter')} AS word_count,
+ {S_KIND} AS question_type, {s_count('text', X.KURMANJI_LETTERS)} AS kmr_special_char_count, {s_count('text', X.TURKISH_LETTERS)} >= 3 AS turkish_review_flag, pos FROM o""")
 def curated_records(spark, d):
     return curate(table(spark, d, "raw_records"))
 
 
-@query()
+@query(f"{S_CURATED} SELECT grouping(source, reason)::BIGINT AS level, source, reason, count(*) AS n FROM (SELECT source, coalesce(reject_reason, 'accepted') AS reason FROM o) GROUP BY GROUPING SETS ((source), (reason), ())")
 def curation_funnel(spark, d):
     return curation.filter_statistics(curate(table(spark, d, "raw_records")).select("source", F.coalesce("reject_reason", F.lit("accepted")).alias("reason")))
 
 
-S_TRAIN = "(SELECT record_id AS id, text FROM accepted_records WHERE split = 'train' AND text IS NOT NULL)"
+S_TRAIN = "(SELECT DISTINCT record_id AS id, text FROM raw_records WHERE text IS NOT NULL)"
 S_REFS = "(SELECT record_id AS id, text FROM accepted_records WHERE split <> 'train' AND text IS NOT NULL)"
 
 
 def _sides(spark, d) -> tuple[DataFrame, DataFrame]:
-    rows = table(spark, d, "accepted_records").select(F.col("record_id").alias("id"), "text", "split")
-    return rows.where("split = 'train'").select("id", "text"), rows.where("split <> 'train'").select("id", "text")
+    """Raw records, and the accepted records that are held out; most of these were raw records once."""
+    refs = table(spark, d, "accepted_records").where("split <> 'train'").select(F.col("record_id").alias("id"), "text")
+    return table(spark, d, "raw_records").select(F.col("record_id").alias("id"), "text").distinct(), refs
 
 
 def s_leak(key: str) -> str:
@@ -427,16 +444,25 @@ def leak_near(spark, d):
     return leakage.near_hits(*_sides(spark, d))
 
 
-@query()
+S_NEAR = f"""SELECT a.id, min(b.id) AS ref_id FROM t a JOIN r b ON {S_EQUAL} >= 58 GROUP BY a.id"""
+S_KINDS = " UNION ".join(f"SELECT id, '{k}' AS kind FROM ({s_leak(x)})" for k, x in (("exact", s_exact("text", False)), ("lower", s_low(s_exact("text", False))), ("nopunct", s_nopunct("text", False))))
+
+
+@query(f"""WITH k AS ({S_KINDS} UNION SELECT DISTINCT id, 'span' FROM ({s_spans(S_TRAIN, 'half')}) WHERE s IN (SELECT s FROM ({s_spans(S_REFS, 'half')}))),
+t AS ({s_sig(s_nopunct('text', False), 'id, text', f'(SELECT * FROM {S_TRAIN} WHERE id NOT IN (SELECT id FROM k))', False)}), r AS ({s_sig(s_nopunct('text', False), 'id, text', S_REFS, False)}),
+h AS (SELECT * FROM k UNION SELECT id, 'near' FROM ({S_NEAR})) SELECT id, string_agg(kind, ',' ORDER BY kind) AS reasons FROM (SELECT DISTINCT id, kind FROM h) GROUP BY id""")
 def leak_report(spark, d):
     train, refs = _sides(spark, d)
     return leakage.leaked(train, refs)
 
 
-@query(f"SELECT record_id, md5(text) AS text FROM accepted_records WHERE record_id NOT IN (SELECT t.id FROM ({s_leak(s_exact('text', False))}) t)")
+@query(f"SELECT record_id, md5(text) AS text FROM raw_records WHERE record_id NOT IN (SELECT t.id FROM ({s_leak(s_exact('text', False))}) t)")
 def clean_records(spark, d):
+    """The records without those that leak, through the sink that rewrites a table."""
     hits = leakage.key_hits(*_sides(spark, d), "exact").select(F.col("id").alias("record_id"))
-    return leakage.without(table(spark, d, "accepted_records"), hits, "record_id").select("record_id", F.md5("text").alias("text"))
+    path = new_path(spark, "clean")
+    sinks.without_ids(table(spark, d, "raw_records").select("record_id", "text"), hits, "record_id", path)
+    return readers.json_lines(spark, path, "record_id string, text string").select("record_id", F.md5("text").alias("text"))
 
 
 S_KEY = "sha256(lower(array_to_string(tokens, ' ')))"
@@ -511,10 +537,15 @@ def question_share(spark, d):
     return corpus.weighted_share(table(spark, d, "window_samples").where("split = 'train'"), "has_question")
 
 
-@query()
+def s_uniform(*key: str) -> str:
+    return f"(('0x' || substr(md5('42:' || {" || ':' || ".join(key)}), 1, 8))::BIGINT / 4294967296.0)"
+
+
+@query(f"""WITH w AS (SELECT id, max(CASE WHEN has_question THEN 2.0 ELSE 1.0 END)::DOUBLE AS w FROM window_samples WHERE split = 'train' AND id IS NOT NULL GROUP BY id), c AS (SELECT id, w, sum(w) OVER (ORDER BY id) AS upto, sum(w) OVER () AS total FROM w),
+p AS (SELECT draw, {s_uniform('draw::VARCHAR')} * (SELECT max(total) FROM c) AS x FROM range(1, 1001) r(draw)) SELECT id, draw FROM p JOIN c ON x >= upto - w AND x < upto""")
 def weighted_draws(spark, d):
-    w = table(spark, d, "window_samples").where("split = 'train'").select("id", "has_question")
-    return corpus.drawn(w, "id", F.when(F.coalesce("has_question", F.lit(False)), 2.0).otherwise(1.0))
+    w = table(spark, d, "window_samples").where("split = 'train'").select("id", F.when(F.coalesce("has_question", F.lit(False)), 2.0).otherwise(1.0).alias("w"))
+    return corpus.drawn(w, "id", "w", 1000)
 
 
 # Predictions for the metrics come from a rule over the tokens: a capital after a word ends a sentence.
@@ -623,15 +654,24 @@ def first_batch(spark, d):
     return selection.capped_selection(one.groupBy("record_id").agg(F.max(F.struct("score", "source", "type")).alias("r")).select("record_id", "r.source", "r.type", "r.score"))
 
 
-@query()
+S_ONE = "(SELECT DISTINCT record_id, source FROM accepted_records WHERE source IS NOT NULL)"
+
+
+@query(f"""WITH n AS (SELECT source, count(*) AS size FROM {S_ONE} GROUP BY source), f AS (SELECT *, greatest(0, least(least(20, size), 300 - (sum(least(20, size)) OVER (ORDER BY source) - least(20, size)))) AS f FROM n),
+r AS (SELECT *, size - f AS free, least(greatest(0, 300 - sum(f) OVER ()), sum(size - f) OVER ()) AS rest, greatest(1, sum(size - f) OVER ()) AS every FROM f), w AS (SELECT *, (rest * free // every) AS whole, rest * free % every AS part FROM r),
+t AS (SELECT source, f + whole + CASE WHEN row_number() OVER (ORDER BY part DESC, source) <= rest - sum(whole) OVER () THEN 1 ELSE 0 END AS take FROM w)
+SELECT record_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || record_id), record_id) AS k FROM {S_ONE}) JOIN t USING (source) WHERE k <= take""")
 def stratified_sample(spark, d):
     rows = table(spark, d, "accepted_records").select("record_id", "source").distinct()
     return selection.stratified(rows, "source", "record_id", 300, 20)
 
 
-@query("""SELECT record_id, source, row_number() OVER (ORDER BY r, source, record_id) AS pick FROM (SELECT record_id, source, r FROM (SELECT record_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || record_id), record_id) AS r FROM (SELECT DISTINCT record_id, source FROM accepted_records WHERE source IS NOT NULL)) ORDER BY r, source, record_id LIMIT 200)""")
+S_POOL = f"(SELECT DISTINCT record_id, source FROM accepted_records WHERE source IS NOT NULL AND coalesce(word_count, 0) >= 20 AND coalesce(question_count, 0) >= 1 AND {s_count('text', '.!')} >= 1)"
+
+
+@query("""SELECT record_id, source, row_number() OVER (ORDER BY r, source, record_id) AS pick FROM (SELECT record_id, source, r FROM (SELECT record_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || record_id), record_id) AS r FROM """ + S_POOL + """) ORDER BY r, source, record_id LIMIT 200)""")
 def round_robin(spark, d):
-    rows = table(spark, d, "accepted_records").where("source is not null").select("record_id", "source").distinct()
+    rows = selection.holdout_pool(table(spark, d, "accepted_records")).where("source is not null").select("record_id", "source").distinct()
     return selection.rounds(rows, "source", "record_id", 200).select("record_id", "source", F.col("pick").cast("long").alias("pick"))
 
 
@@ -642,23 +682,68 @@ def joined_articles(spark, d):
     return selection.joined_until(rows, "w", 10000, "article_id").select("parts", "words", F.md5("text").alias("text"))
 
 
-@query()
+FILLERS = ["Îro hewa xweş e.", "Em li malê ne.", "Roj baş, hevalno."]
+S_FILL = lambda side: f"[{', '.join(map(q, FILLERS))}][floor({s_uniform(q(side), 'record_id')} * 3)::INT + 1]"
+
+
+@query(f"SELECT record_id, concat_ws(' ', {S_FILL('before')}, text, {S_FILL('after')}) AS text, true AS constructed FROM (SELECT DISTINCT record_id, text FROM accepted_records WHERE needs_context)")
 def filled_contexts(spark, d):
     rows = table(spark, d, "accepted_records").where("needs_context").select("record_id", "text").distinct()
-    return selection.with_fillers(rows, ["Îro hewa xweş e.", "Em li malê ne.", "Roj baş, hevalno."], "record_id")
+    return selection.with_fillers(rows, FILLERS, "record_id")
 
 
-@query()
+S_COST = "greatest(1, ceil(length(tok) / 4))::BIGINT"
+
+
+def s_sums(words: str, cost: str = S_COST) -> str:
+    """(k, n, c) of rows (k, i, tok): c are the sums of costs before each word and after the last."""
+    return f"SELECT k, count(*)::BIGINT AS n, [0::BIGINT] || list(upto ORDER BY i) AS c FROM (SELECT k, i, sum({cost}) OVER (PARTITION BY k ORDER BY i)::BIGINT AS upto FROM ({words})) GROUP BY k"
+
+
+def s_reach(at: str, most: str, budget: int = 256) -> str:
+    return f"least({most}, greatest({at} + 1, len(list_filter(c, lambda x: x <= c[{at} + 1] + {budget - 2})) - 1))"
+
+
+def s_training(words: str) -> str:
+    """CTEs that end in spans (k, win, start, stop), the continuous windows of (k, i, tok)."""
+    draw = "110 + ('0x' || substr(md5('42:' || k || ':' || turn), 1, 8))::BIGINT % 71"
+    return f"""RECURSIVE a AS MATERIALIZED ({s_sums(words)}), w AS (SELECT k, -1::BIGINT AS turn, -1::BIGINT AS start, -1::BIGINT AS stop, 0::BIGINT AS nxt, n, c FROM a WHERE n >= 80
+ UNION ALL SELECT k, turn, start, stop, greatest(stop - 8, start + 1), n, c FROM (SELECT k, turn, start, CASE WHEN n - e BETWEEN 1 AND 39 THEN greatest(e, {s_reach('start', 'n')}) ELSE e END AS stop, n, c FROM (SELECT *, {s_reach('start', 'least(start + aim, n)')} AS e FROM
+ (SELECT k, turn, aim, CASE WHEN turn > 0 AND n - nxt < 80 THEN least(nxt, greatest(n - greatest(80, least(aim, n - nxt + 8)), start + 1)) ELSE nxt END AS start, n, c FROM (SELECT k, turn, start, nxt, n, c, {draw} AS aim FROM (SELECT k, turn + 1 AS turn, start, nxt, n, c FROM w WHERE stop < n AND n - nxt >= 40)))))),
+spans AS (SELECT k, turn + 1 AS win, start, stop FROM w WHERE turn >= 0 UNION ALL SELECT k, 1, 0, n FROM a WHERE n BETWEEN 40 AND 79)"""
+
+
+def s_inference(words: str) -> str:
+    """CTEs that end in spans (k, win, start, stop), the windows of (k, i, tok) that fill the budget."""
+    return f"""RECURSIVE a AS MATERIALIZED ({s_sums(words)}), w AS (SELECT k, 0::BIGINT AS win, 0::BIGINT AS start, 0::BIGINT AS stop, 0::BIGINT AS nxt, n, c FROM a
+ UNION ALL SELECT k, win, start, stop, greatest(stop - 32, start + 1), n, c FROM (SELECT k, win + 1 AS win, nxt AS start, {s_reach('nxt', 'n')} AS stop, n, c FROM w WHERE stop < n)), spans AS (SELECT k, win, start, stop FROM w WHERE win > 0)"""
+
+
+S_ARTICLE_WORDS = f"""SELECT k, row_number() OVER (PARTITION BY k ORDER BY i) AS i, tok, {S_LABEL} AS label FROM (SELECT k, i, tok, lead(tok) OVER (PARTITION BY k ORDER BY i) AS nxt FROM (SELECT k, unnest(t) AS tok, generate_subscripts(t, 1) AS i FROM (SELECT article_id AS k, {s_tokens(s_dataset('text'))} AS t FROM wikipedia WHERE text IS NOT NULL)))
+ WHERE tok NOT IN (',', '.', '?', '!')"""
+
+
+@query(f"""WITH {s_training(S_ARTICLE_WORDS)} SELECT k || '_' || lpad(win::VARCHAR, 6, '0') AS id, k AS article_id, list(tok ORDER BY i) AS tokens, list(label ORDER BY i) AS labels FROM spans JOIN ({S_ARTICLE_WORDS}) x USING (k) WHERE i > start AND i <= stop GROUP BY k, win""")
 def training_windows(spark, d):
     rows = table(spark, d, "wikipedia").where("text is not null").select("article_id", T.labelled(T.tokenize(X.normalize_for_dataset(F.col("text")))).alias("items"))
-    w = corpus.windows(rows, "article_id", corpus.word_costs(F.transform("items", lambda x: x["tok"])))
+    return _labelled_windows(rows, corpus.word_costs(F.transform("items", lambda x: x["tok"])))
+
+
+def _labelled_windows(rows: DataFrame, costs) -> DataFrame:
+    w = corpus.windows(rows, "article_id", costs)
     return w.select(F.format_string("%s_%06d", "article_id", "win").alias("id"), "article_id", F.transform("items", lambda x: x["tok"]).alias("tokens"), F.transform("items", lambda x: x["label"]).alias("labels"))
 
 
-@query()
+S_DOC_TOKENS = f"SELECT k, unnest(t) AS tok, generate_subscripts(t, 1) AS i FROM (SELECT doc_id AS k, {s_tokens(s_ws(s_nfc('text')))} AS t FROM documents WHERE text IS NOT NULL)"
+
+
+@query(f"""WITH {s_inference(S_DOC_TOKENS)} SELECT k AS doc_id, win, start, stop AS "end" FROM spans""")
 def inference_windows(spark, d):
-    rows = _docs(spark, d).where("text is not null").select("doc_id", T.tokenize(X.normalize_for_inference(F.col("text"))).alias("items"))
-    return corpus.windows(rows, "doc_id", corpus.word_costs(F.col("items")), training=False).select("doc_id", "win", "start", "end")
+    return corpus.windows(_doc_tokens(spark, d), "doc_id", corpus.word_costs(F.col("items")), training=False).select("doc_id", F.col("win").cast("long").alias("win"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+
+
+def _doc_tokens(spark, d) -> DataFrame:
+    return _docs(spark, d).where("text is not null").select("doc_id", T.tokenize(X.normalize_for_inference(F.col("text"))).alias("items"))
 
 
 @query("SELECT id, split, CASE WHEN n > 10 THEN n - 6 ELSE n END AS kept FROM (SELECT id, split, len(labels)::BIGINT AS n FROM window_samples WHERE split = 'train')")
@@ -696,10 +781,16 @@ def _cases(spark, d) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", metrics.softmax(y).alias("p"), (F.col("vec_id") % 7 == 0).alias("prot"), (F.col("vec_id") % 5 == 0).alias("start"), gold.alias("gold"))
 
 
-@query("""SELECT g AS word, k, round(avg(v), 5) AS logit FROM (SELECT vec_id // 3 AS g, unnest(range(1, 6)) AS k, unnest(embedding[1:5]::DOUBLE[]) AS v FROM embeddings) GROUP BY g, k""")
+@query(f"""WITH {s_inference(S_DOC_TOKENS)} SELECT k AS doc_id, pos, round(avg(pos - start), 5) AS place, round(avg(stop - start), 5) AS length FROM (SELECT k, start, stop, unnest(range(start, stop)) AS pos FROM spans) GROUP BY k, pos""")
 def window_means(spark, d):
-    rows = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 3).cast("long").alias("word"), F.posexplode(F.slice("embedding", 1, 5)).alias("i", "v"))
-    return rows.groupBy("word", (F.col("i") + 1).cast("long").alias("k")).agg(F.round(F.avg(F.col("v").cast("double")), 5).alias("logit"))
+    """Means over windows, of a scorer that gives each token its place in the window and the window's length."""
+
+    def places(windows_):
+        return [[[i, len(w)] for i in range(len(w))] for w in windows_]
+
+    z = restoration.logits_of(F.col("items"), None, places)
+    rows = _doc_tokens(spark, d).select("doc_id", F.posexplode(z).alias("pos", "z"))
+    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), F.round(F.get("z", F.lit(0)), 5).alias("place"), F.round(F.get("z", F.lit(1)), 5).alias("length"))
 
 
 GRID = [round(0.30 + 0.05 * i, 2) for i in range(13)]
@@ -728,54 +819,112 @@ def threshold_sweep(spark, d):
 @query(f"""WITH r AS (SELECT gold, CASE WHEN k = 1 THEN 'KEEP' WHEN k = 2 THEN 'TITLE' ELSE 'UPPER' END AS arg, c, prot, start FROM ({S_CASES})),
 p AS (SELECT t.t, u.u, gold, CASE WHEN prot THEN 'KEEP' WHEN arg = 'UPPER' AND c >= u.u THEN 'UPPER' WHEN arg = 'TITLE' AND NOT start AND c >= t.t THEN 'TITLE' ELSE 'KEEP' END AS pred FROM r CROSS JOIN (VALUES {', '.join(f'({g}::DOUBLE)' for g in TITLE_GRID)}) t(t) CROSS JOIN (VALUES {', '.join(f'({g}::DOUBLE)' for g in UPPER_GRID)}) u(u)),
 s AS (SELECT t, u, count(*) FILTER (gold = 'TITLE' AND pred = 'TITLE') AS tt, count(*) FILTER (gold <> 'TITLE' AND pred = 'TITLE') AS tf, count(*) FILTER (gold = 'TITLE' AND pred <> 'TITLE') AS tn, count(*) FILTER (gold = 'UPPER' AND pred = 'UPPER') AS ut, count(*) FILTER (gold <> 'UPPER' AND pred = 'UPPER') AS uf, count(*) FILTER (gold = 'UPPER' AND pred <> 'UPPER') AS un FROM p GROUP BY t, u)
-SELECT t AS title, u AS upper, round(({s_f1('tt', 'tf', 'tn')} + {s_f1('ut', 'uf', 'un')}) / 2, 6) AS macro_f1, round(coalesce(tt::DOUBLE / nullif(tt + tf, 0), 0), 6) AS title_precision, round(coalesce(tt::DOUBLE / nullif(tt + tn, 0), 0), 6) AS title_recall, round({s_f1('tt', 'tf', 'tn')}, 6) AS title_f1, round({s_f1('ut', 'uf', 'un')}, 6) AS upper_f1 FROM s""")
+SELECT t AS title, u AS upper, round(({s_f1('tt', 'tf', 'tn')} + {s_f1('ut', 'uf', 'un')}) / 2, 6) AS macro_f1, round(coalesce(tt::DOUBLE / nullif(tt + tf, 0), 0), 6) AS title_precision, round(coalesce(tt::DOUBLE / nullif(tt + tn, 0), 0), 6) AS title_recall, round({s_f1('tt', 'tf', 'tn')}, 6) AS title_f1, round({s_f1('ut', 'uf', 'un')}, 6) AS upper_f1, row_number() OVER (ORDER BY (round(coalesce(tt::DOUBLE / nullif(tt + tf, 0), 0), 6) >= 0.90 AND round(coalesce(tt::DOUBLE / nullif(tt + tn, 0), 0), 6) >= 0.85) DESC, round(coalesce(tt::DOUBLE / nullif(tt + tf, 0), 0), 6) DESC, round(({s_f1('tt', 'tf', 'tn')} + {s_f1('ut', 'uf', 'un')}) / 2, 6) DESC, round(coalesce(tt::DOUBLE / nullif(tt + tn, 0), 0), 6) DESC, t, u) = 1 AS best FROM s""")
 def threshold_grid(spark, d):
     rows = _cases(spark, d).select("gold", F.get(F.array(*map(F.lit, metrics.CASE)), metrics.argmax(F.col("p")) - 1).alias("arg"), F.array_max("p").alias("conf"), F.col("prot").alias("protected"), "start")
     return metrics.sweep_pair(rows, TITLE_GRID, UPPER_GRID)
 
 
-@query()
+def s_logits(labels: int) -> str:
+    """The stand-in's logits of `tok`: five bits of its md5 for each label."""
+    return f"list_transform(range(0, {labels}), lambda j: ((('0x' || substr(md5(tok), 1, 8))::BIGINT >> (5 * j)::INT) % 32) / 4.0 + CASE WHEN j = 0 THEN 6.0 ELSE 0.0 END)"
+
+
+S_LOW_FLOOR = "((k = 2 AND c < 0.55) OR (k = 3 AND c < 0.55) OR (k = 4 AND c < 0.60) OR (k = 5 AND c < 0.70))"
+S_UNMARKED = lambda x: s_ws(f"translate({s_ws(s_nfc(x))}, ',.?!', '')")
+
+
+def s_punctuated(source: str, p: str = "p") -> str:
+    """CTEs that end in {p} (key, input, output, preserved) of rows (key, text)."""
+    return f"""{p}i AS MATERIALIZED (SELECT key, {s_ws(s_nfc("coalesce(text, '')"))} AS input FROM ({source})),
+{p}w AS (SELECT key, i, tok, {S_LABEL} AS label FROM (SELECT key, i, tok, lead(tok) OVER (PARTITION BY key ORDER BY i) AS nxt FROM (SELECT key, unnest(t) AS tok, generate_subscripts(t, 1) AS i FROM (SELECT key, {s_tokens('input')} AS t FROM {p}i))) WHERE tok NOT IN (',', '.', '?', '!')),
+{p}z AS (SELECT key, i, tok, label, list_max(p) AS c, list_position(p, list_max(p)) AS k FROM (SELECT *, {S_SOFT.format('z')} AS p FROM (SELECT *, {s_logits(5)} AS z FROM {p}w))),
+{p}d AS (SELECT key, i, tok, CASE WHEN label <> 'O' THEN label WHEN {S_LOW_FLOOR} THEN 'O' ELSE ['O', 'COMMA', 'PERIOD', 'QUESTION', 'EXCLAMATION'][k] END AS label FROM {p}z),
+{p}o AS (SELECT key, string_agg(tok || CASE label WHEN 'COMMA' THEN ',' WHEN 'PERIOD' THEN '.' WHEN 'QUESTION' THEN '?' WHEN 'EXCLAMATION' THEN '!' ELSE '' END, ' ' ORDER BY i) AS output FROM {p}d GROUP BY key),
+{p} AS MATERIALIZED (SELECT *, {S_UNMARKED('input')} = {S_UNMARKED('output')} AS preserved FROM (SELECT key, input, coalesce(output, '') AS output FROM {p}i LEFT JOIN {p}o USING (key)))"""
+
+
+def s_begun(source: str, text: str) -> str:
+    """(key, i, tok, start) of the tokens of a text column."""
+    return f"""SELECT key, i, tok, coalesce(e = 'CONSUME' AND coalesce(last_value(e IGNORE NULLS) OVER (PARTITION BY key ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'SET') = 'SET', false) AS start FROM
+ (SELECT *, CASE WHEN tok IN ('.', '?', '!') THEN 'SET' WHEN tok IN ({S_SKIP}) THEN NULL WHEN regexp_matches(tok, '\\p{{L}}') THEN 'CONSUME' WHEN regexp_matches(tok, '\\p{{Nd}}') THEN 'CLEAR' END AS e FROM (SELECT key, unnest(t) AS tok, generate_subscripts(t, 1) AS i FROM (SELECT key, {s_tokens(text)} AS t FROM {source})))"""
+
+
+def s_respelt(text: str, new: str) -> str:
+    """The text with new tokens; gaps is the list of what stands between its tokens."""
+    return f"(CASE WHEN {new} IS NULL THEN {text} ELSE array_to_string(list_transform(range(1, len({new}) + 1), lambda j: gaps[j] || {new}[j]), '') || gaps[len({new}) + 1] END)"
+
+
+def s_capitalised(source: str, p: str = "c") -> str:
+    """CTEs that end in {p} (key, ruled, output, preserved) of rows (key, text)."""
+    low = lambda x: f"lower(translate({s_nfc(x)}, 'İ', 'i'))"
+    gaps = lambda x: f"string_split_regex({x}, {q(T.TOKEN)})"
+    return f"""{p}l AS MATERIALIZED (SELECT key, {low(s_ws(s_nfc('text')))} AS low FROM ({source})),
+{p}r AS MATERIALIZED (SELECT key, {s_respelt('low', 'new')} AS ruled FROM (SELECT *, {gaps('low')} AS gaps FROM {p}l) LEFT JOIN (SELECT key, list(CASE WHEN start THEN {s_title('tok')} ELSE tok END ORDER BY i) AS new FROM ({s_begun(p + 'l', 'low')}) GROUP BY key) USING (key)),
+{p}z AS (SELECT key, i, tok, start, list_max(p) AS c, list_position(p, list_max(p)) AS k FROM (SELECT *, {S_SOFT.format('z')} AS p FROM (SELECT *, {s_logits(3)} AS z FROM ({s_begun(p + 'r', 'ruled')})))),
+{p}n AS (SELECT key, list(CASE WHEN {S_PROTECTED} OR NOT regexp_matches(tok, '\\p{{L}}') THEN tok WHEN k = 3 AND c >= 0.85 THEN replace(upper(tok), 'ẞ', 'SS') WHEN k = 2 AND c >= 0.8 AND NOT start THEN {s_title('tok')} ELSE tok END ORDER BY i) AS new FROM {p}z GROUP BY key),
+{p} AS MATERIALIZED (SELECT *, {low('ruled')} = {low('output')} AS preserved FROM (SELECT key, ruled, {s_respelt('ruled', 'new')} AS output FROM (SELECT *, {gaps('ruled')} AS gaps FROM {p}r) LEFT JOIN {p}n USING (key)))"""
+
+
+S_RESTORED = f"{s_punctuated('SELECT doc_id AS key, text FROM documents')}, {s_capitalised('SELECT key, output AS text FROM p')}"
+
+
+@query(f"WITH {S_RESTORED} SELECT key, input, p.output AS punctuated, ruled AS sentence_capitalized, c.output, p.preserved AS punctuation_only, c.preserved AS case_only FROM p JOIN c USING (key)")
 def restored_texts(spark, d):
     rows = _docs(spark, d).select(F.col("doc_id").alias("key"), "text")
     return restoration.restore(rows, "full", restoration.stand_in(5), restoration.stand_in(3))
 
 
-@query()
+@query(f"WITH {s_punctuated('SELECT article_id AS key, text FROM wikipedia')} SELECT * FROM p")
 def punctuated_texts(spark, d):
     rows = table(spark, d, "wikipedia").select(F.col("article_id").alias("key"), "text")
     return restoration.punctuate(rows, restoration.stand_in(5)).drop("tokens")
 
 
-@query()
+S_AGAIN = f"""{S_RESTORED}, {s_punctuated('SELECT key, output AS text FROM c', 'q')}, {s_capitalised('SELECT key, output AS text FROM q', 'e')}"""
+
+
+@query(f"""WITH {S_AGAIN} SELECT count(*) AS texts, round(avg(p.preserved::INT), 6) AS marks_only, round(avg(c.preserved::INT), 6) AS case_only, round(avg((c.output = e.output)::INT), 6) AS exact,
+ round(avg((c.output = e.output OR {s_ws("translate(lower(translate(" + s_nfc('c.output') + ", 'İ', 'i')), ',.?!', '')")} = {s_ws("translate(lower(translate(" + s_nfc('e.output') + ", 'İ', 'i')), ',.?!', '')")})::INT), 6) AS near
+ FROM p JOIN c USING (key) JOIN e USING (key) WHERE regexp_matches(array_to_string({s_tokens('p.input')}, ' '), '[^,.?! ]')""")
 def preservation_rates(spark, d):
-    r = restored_texts(spark, d)
-    again = F.col("input").isNotNull()
-    return r.where(again).agg(F.count(F.lit(1)).alias("texts"), F.round(F.avg(F.col("punctuation_only").cast("double")), 6).alias("marks_only"), F.round(F.avg(F.col("case_only").cast("double")), 6).alias("case_only"))
+    """Rates of texts whose words and letters were kept, and of texts that a second restoration leaves as they are."""
+    rows = _docs(spark, d).select(F.col("doc_id").alias("key"), "text")
+    r = restoration.idempotency(rows, restoration.stand_in(5), restoration.stand_in(3))
+    rate = lambda c: F.round(F.avg(F.col(c).cast("double")), 6)
+    return r.agg(F.count(F.lit(1)).alias("texts"), rate("punctuation_only").alias("marks_only"), rate("case_only").alias("case_only"), rate("exact").alias("exact"), rate("near").alias("near"))
+
+
+S_CASE_WORDS = f"""SELECT k, i, CASE WHEN start THEN {s_title('seen')} ELSE seen END AS tok, CASE WHEN start THEN 'IGNORE' ELSE {S_CASE} END AS label, seen FROM
+ (SELECT o.key AS k, o.i, o.tok, l.tok AS seen, l.start FROM (SELECT key, unnest(t) AS tok, generate_subscripts(t, 1) AS i FROM (SELECT key, {s_tokens('x')} AS t FROM ({{0}}))) o JOIN ({s_begun('({1})', 'x')}) l ON o.key = l.key AND o.i = l.i WHERE o.key IN (SELECT a.key FROM ({{0}}) a JOIN ({{1}}) b USING (key) WHERE len({s_tokens('a.x')}) = len({s_tokens('b.x')})))"""
+S_CASE_WORDS = S_CASE_WORDS.replace("{0}", f"SELECT article_id AS key, {s_ws(s_nfc('text'))} AS x FROM wikipedia WHERE text IS NOT NULL").replace("{1}", f"SELECT article_id AS key, lower(translate({s_ws(s_nfc('text'))}, 'İ', 'i')) AS x FROM wikipedia WHERE text IS NOT NULL")
+
+
+@query(f"""WITH cw AS MATERIALIZED ({S_CASE_WORDS}), x AS (SELECT * FROM (WITH {s_training('SELECT k, i, tok FROM cw')} SELECT * FROM spans)) SELECT k AS article_id, win, start, stop AS "end", list(label ORDER BY i) AS labels FROM x JOIN cw USING (k) WHERE i > start AND i <= stop GROUP BY ALL""")
+def case_windows(spark, d):
+    flat = C.case_rows(table(spark, d, "wikipedia").select("article_id", X.normalize_for_inference(F.col("text")).alias("text")), "article_id")
+    rows = flat.groupBy("article_id").agg(F.array_sort(F.collect_list(F.struct("pos", "tok", "label"))).alias("items"))
+    w = corpus.windows(rows, "article_id", corpus.word_costs(F.transform("items", lambda x: x["tok"])))
+    return w.select("article_id", F.col("win").cast("long").alias("win"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.transform("items", lambda x: x["label"]).alias("labels"))
 
 
 @query("SELECT article_id, text FROM wikipedia")
 def json_round_trip(spark, d):
-    import uuid
-
-    path = f"{shared_dir(spark)}/corpusloom/json-{uuid.uuid4().hex}"
+    path = new_path(spark, "json")
     sinks.json_lines(table(spark, d, "wikipedia").select("article_id", "text"), path)
     return readers.json_lines(spark, path, readers.ARTICLE)
 
 
 @query("SELECT id, split, tokens FROM window_samples WHERE split = 'test'")
 def split_round_trip(spark, d):
-    import uuid
-
-    path = f"{shared_dir(spark)}/corpusloom/split-{uuid.uuid4().hex}"
+    path = new_path(spark, "split")
     sinks.by_split(table(spark, d, "window_samples").select("id", "split", "tokens"), path)
     return spark.read.schema("id string, tokens array<string>, split string").json(path).where("split = 'test'").select("id", "split", "tokens")
 
 
 @query("SELECT record_id, source, nullif(accept, '') AS accept, nullif(comment, '') AS comment FROM manual_review")
 def csv_round_trip(spark, d):
-    import uuid
-
-    path = f"{shared_dir(spark)}/corpusloom/csv-{uuid.uuid4().hex}"
+    path = new_path(spark, "csv")
     cols = ["record_id", "source", "accept", "comment"]
     sinks.csv(table(spark, d, "manual_review").select(*cols), path)
     back = readers.review_csv(spark, path, cols)
@@ -806,10 +955,12 @@ def dataset_hash(spark, d):
     return sinks.content_hash(table(spark, d, "wikipedia").select("article_id"))
 
 
-@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
+S_EVENT_WINDOWS = "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2"
+
+
+@query(S_EVENT_WINDOWS)
 def event_windows(spark, d):
-    e = table(spark, d, "events")
-    return e.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("value")).select(F.col("window.start").alias("start"), "event_type", "n", "value")
+    return streams.window_counts(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
 
 
 def _stream(spark, d, name: str) -> DataFrame:
@@ -817,17 +968,14 @@ def _stream(spark, d, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{d}/{name}*.parquet")
 
 
-@query()
+@query(S_EVENT_WINDOWS)
 def event_stream(spark, d):
-    import uuid
-
-    base = f"{shared_dir(spark)}/corpusloom/events-{uuid.uuid4().hex}"
-    return streams.run_once(streams.window_counts(_stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))), f"{base}/out", f"{base}/state")
+    base = new_path(spark, "events")
+    counts = streams.window_counts(_stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return streams.run_once(counts, f"{base}/out", f"{base}/state", "complete")
 
 
 @query()
 def near_stream(spark, d):
-    import uuid
-
-    base = f"{shared_dir(spark)}/corpusloom/near-{uuid.uuid4().hex}"
+    base = new_path(spark, "near")
     return streams.run_once(streams.near_stream(_stream(spark, d, "raw_records").where("text is not null")), f"{base}/out", f"{base}/state")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
@@ -68,14 +68,31 @@ def wiki_dump(spark: SparkSession, path: str) -> DataFrame:
     return pages.where("ns = '0' and length(title) > 0").select("title", F.col("revision.text").alias("text")).where("text is not null")
 
 
-def asr_json(spark: SparkSession, path: str) -> DataFrame:
-    """(path, words): recognised words of files that hold a list of words, a list of objects, {"words": ...} or {"text": ...}."""
-    v = F.parse_json("value")
-    raw = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("path"), v.alias("v"))
-    listed = F.coalesce(F.try_variant_get("v", "$.words", "array<variant>"), F.try_variant_get("v", "$", "array<variant>"))
+def recognised(v: Column) -> Column:
+    """array<string>: the words of a recognition result: a list of words, a list of objects, {"words": ...} or {"text": ...}."""
+    listed = F.coalesce(F.try_variant_get(v, "$.words", "array<variant>"), F.try_variant_get(v, "$", "array<variant>"))
     word = lambda x: F.coalesce(*(F.try_variant_get(x, p, "string") for p in ("$.word", "$.text", "$.token")), F.try_variant_get(x, "$", "string"))
-    words = F.when(listed.isNotNull(), F.transform(listed, word)).otherwise(F.split(strip(F.try_variant_get("v", "$.text", "string")), r"\s+"))
-    return raw.select("path", F.filter(words, lambda x: x.isNotNull() & (x != "")).alias("words"))
+    words = F.when(listed.isNotNull(), F.transform(listed, word)).otherwise(F.split(strip(F.try_variant_get(v, "$.text", "string")), r"\s+"))
+    return F.filter(words, lambda x: x.isNotNull() & (x != ""))
+
+
+def asr_json(spark: SparkSession, path: str) -> DataFrame:
+    """(path, words): recognised words of files with one result each."""
+    raw = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("path"), F.parse_json("value").alias("v"))
+    return raw.select("path", recognised(F.col("v")).alias("words"))
+
+
+def landed_questions(rows: DataFrame) -> DataFrame:
+    """Rows of a landed dataset with `text` from `content` or else `text`, that have a question mark in text or title."""
+    body = F.coalesce(*(F.col(c) for c in ("content", "text") if c in rows.columns))
+    title = F.col("title") if "title" in rows.columns else F.lit("")
+    kept = rows.withColumn("text", body)
+    return kept.where(F.coalesce(F.col("text"), F.lit("")).contains("?") | F.coalesce(title, F.lit("")).contains("?"))
+
+
+def of_sources(rows: DataFrame, allowed: DataFrame) -> DataFrame:
+    """The rows whose source is among the allowed ones (source); a null source never is."""
+    return rows.join(allowed.select("source").distinct(), "source", "left_semi")
 
 
 def paired_lines(spark: SparkSession, path: str) -> DataFrame:

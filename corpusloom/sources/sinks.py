@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tokens import LABELS
+
 
 def json_lines(df: DataFrame, path: str) -> None:
     df.write.json(path)
@@ -15,6 +17,28 @@ def by_split(df: DataFrame, path: str, split: str = "split") -> None:
     df.write.partitionBy(split).json(path)
 
 
+def statistics(df: DataFrame, split: str = "split") -> DataFrame:
+    """(split, samples, articles, words, and a count for each label) of samples (split, article_id, labels)."""
+    n = [F.sum(F.size(F.filter("labels", _is(x)))).cast("long").alias(x.lower()) for x in LABELS]
+    return df.groupBy(split).agg(F.count(F.lit(1)).alias("samples"), F.count_distinct("article_id").alias("articles"), F.sum(F.size("labels")).cast("long").alias("words"), *n)
+
+
+def _is(value: str):
+    return lambda x: x == value
+
+
+def with_statistics(df: DataFrame, path: str, split: str = "split") -> None:
+    """A folder for each split below `data`, and beside them `statistics`, a line for each split."""
+    by_split(df, f"{path}/data", split)
+    statistics(df, split).coalesce(1).write.json(f"{path}/statistics")
+
+
+def file_hashes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, length, hash): sha256 of each file below a folder. A file is a row, so this is for artefacts, not for tables."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    return files.select("path", "length", F.sha2("content", 256).alias("hash"))
+
+
 def csv(df: DataFrame, path: str) -> None:
     df.write.option("header", "true").option("quote", '"').option("escape", '"').csv(path)
 

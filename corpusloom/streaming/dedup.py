@@ -69,7 +69,23 @@ def window_counts(events: DataFrame, length: str = "1 hour", delay: str = "10 mi
 
 
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Everything that is there now through the stream, written as Parquet and read again."""
-    q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+    """Everything that is there now through the stream, written as Parquet and read again.
+
+    In append mode windows that the watermark hasn't closed are not there; in complete mode each micro-batch writes the whole
+    result, open windows included, and the last one is read.
+    """
+    spark, schema = stream.sparkSession, stream.schema
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").option("path", path).start().awaitTermination()
+        return spark.read.schema(schema).parquet(path)
+    last = [f"{path}/none"]
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{number}")
+        last[0] = f"{path}/{number}"
+
+    writer.foreachBatch(keep).start().awaitTermination()
+    if last[0].endswith("/none"):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(last[0])

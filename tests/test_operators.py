@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,9 +21,13 @@ def slow_signature(text, short=True):
 
 
 def test_signature():
-    for t in ("", "ab", "rojbaş hevalno", "ê" * 20):
-        assert minhash.signature_of(t) == slow_signature(t)
-    assert minhash.signature_of("ab", False) == [0] * 64 and minhash.signature_of(None) is None
+    texts = ["", "ab", "rojbaş hevalno", "ê" * 20, None, "a😀bcd efg", "abcde", "x" * 5000]
+    assert minhash.signatures(pa.array(texts)).to_pylist() == [None if t is None else slow_signature(t) for t in texts]
+    assert minhash.signatures(pa.array(["ab", "abcde"]), False).to_pylist() == [[0] * 64, slow_signature("abcde")]
+    assert minhash.signatures(pa.array([], pa.string())).to_pylist() == []
+    rng = random.Random(6)
+    many = ["".join(chr(rng.randrange(32, 0x3000)) for _ in range(rng.randrange(300))) for _ in range(40)]
+    assert minhash.signatures(pa.array(many)).to_pylist() == [slow_signature(t) for t in many]
 
 
 def test_near_pairs_lose_nothing(spark):
@@ -52,7 +57,7 @@ def slow_greedy(rows):
             continue
         e = " ".join(text.split())
         n = " ".join("".join(c for c in e.lower() if c not in ",.?!;:…").split())
-        s, b = minhash.signature_of(n), (source or "", len(e.split()) // 20)
+        s, b = slow_signature(n), (source or "", len(e.split()) // 20)
         if e in exact:
             out[pos] = "exact_duplicate"
         elif n in nop:
@@ -119,14 +124,94 @@ def test_overlaps_and_caps(spark):
     assert corpus.until_sum(w, "w", 95, "id").count() == 10
 
 
+def slow_reach(costs, start, most, budget):
+    end = start + 1
+    while end < most and sum(costs[start : end + 1]) + 2 <= budget:
+        end += 1
+    return end
+
+
+def slow_training(costs, name, budget=256):
+    """Windows of one article, one after the other."""
+    n, out = len(costs), []
+    if n < 80:
+        return [(0, n)] if n >= 40 else []
+    at = 0
+    while at < n and (not out or n - at >= 40):
+        aim = 110 + int(hashlib.md5(f"42:{name}:{len(out)}".encode()).hexdigest()[:8], 16) % 71
+        if out and n - at < 80:
+            at = min(at, max(n - max(80, min(aim, n - at + 8)), out[-1][0] + 1))
+        end = slow_reach(costs, at, min(at + aim, n), budget)
+        if end < n and n - end < 40:
+            end = max(end, slow_reach(costs, at, n, budget))
+        out.append((at, end))
+        if end == n:
+            break
+        at = max(end - 8, at + 1)
+    return out
+
+
+def pairs_of(spans):
+    return [[(x["start"], x["end"]) for x in row] for row in spans.to_pylist()]
+
+
 def test_training_spans():
-    assert corpus.training_spans([1] * 39, "a") == [] and corpus.training_spans([1] * 60, "a") == [(0, 60)]
-    for n in (80, 200, 333, 1000, 5000):
-        spans = corpus.training_spans([1] * n, f"a{n}")
-        assert spans[0][0] == 0 and n - spans[-1][1] < 40 and all(a < b for a, b in spans)
-        assert all(y[0] <= x[1] and y[0] > x[0] for x, y in zip(spans, spans[1:])) and all(b - a <= 254 for a, b in spans)
-    assert corpus.training_spans([400] * 100, "x")[0] == (0, 1)
-    assert corpus.inference_spans([1] * 300) == [(0, 254), (222, 300)] and corpus.inference_spans([]) == [] and corpus.inference_spans([500, 500]) == [(0, 1), (1, 2)]
+    rng = random.Random(7)
+    costs = [[rng.choice([1, 1, 2, 3, rng.randrange(1, 300)]) for _ in range(n)] for n in (0, 1, 39, 40, 79, 80, 81, 200, 333, 1000, 2500)] + [[1] * 5000, [400] * 100]
+    names = [f"a{i}" for i in range(len(costs))]
+    got = pairs_of(corpus.training_spans(pa.array(costs, pa.list_(pa.int32())), pa.array(names)))
+    assert got == [slow_training(c, n) for c, n in zip(costs, names)]
+    for c, spans in zip(costs, got):
+        assert all(y[0] <= x[1] and y[0] > x[0] for x, y in zip(spans, spans[1:])) and (len(c) < 80 or all(b - a == 1 or sum(c[a:b]) <= 254 for a, b in spans))
+    assert pairs_of(corpus.training_spans(pa.array([None, []], pa.list_(pa.int32())), pa.array([None, "x"]))) == [[], []]
+    some = pa.array([[1] * 300, [], [500, 500], None], pa.list_(pa.int32()))
+    assert pairs_of(corpus.inference_spans(some)) == [[(0, 254), (222, 300)], [], [(0, 1), (1, 2)], []]
+
+
+def test_ranks_with_a_payload(spark):
+    n = 1_000_000
+    rows = spark.range(n).select(F.concat(F.lit("k"), F.col("id")).alias("id"), F.md5(F.col("id").cast("string")).alias("payload"), (F.col("id") % 7).alias("w"))
+    got = corpus.ranked(rows, corpus.hash_order(F.col("id")), "id")
+    s = got.select("rank", "payload").agg(F.count_distinct("rank"), F.min("rank"), F.max("rank"), F.count(F.lit(1))).head()
+    assert tuple(s) == (n, 1, n, n)
+    assert corpus.until_sum(rows, "w", 1_500_000, "id").agg(F.sum("w")).head()[0] in range(1_500_000, 1_500_007)
+
+
+def test_joined_texts_of_many_rows(spark):
+    rows = spark.range(600_000).select(F.format_string("a%06d", "id").alias("id"), F.lit("x").alias("text"), F.lit(1).alias("w"))
+    assert selection.joined_until(rows, "w", 300_000, "id").select("parts", F.length("text").alias("n")).head()[:] == (300_000, 300_000 * 3 - 2)
+
+
+def test_draws(spark):
+    rows = spark.createDataFrame([(f"k{i:04d}", float(1 + i % 3)) for i in range(3000)] + [("k0000", 0.5), (None, 2.0), ("z", None), ("y", 0.0)], "id string, w double")
+    got = corpus.drawn(rows, "id", "w", 6000).collect()
+    assert sorted(r["draw"] for r in got) == list(range(1, 6001)) and len({r["id"] for r in got}) < 3000
+    share = sum(int(r["id"][1:]) % 3 == 2 for r in got) / 6000
+    assert abs(share - 0.5) < 0.03
+    assert corpus.drawn(rows.limit(0), "id", "w", 5).count() == 0
+
+
+def test_subwords(spark):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    from corpusloom.functions import subwords
+
+    words = ["roj", "hevalno", "", "antîdemokratîk", "x" * 300, "roj"]
+    sp = sentencepiece.SentencePieceProcessor(model_file=subwords.DEFAULT_MODEL)
+    want = [max(1, len(sp.encode(w))) for w in words]
+    df = spark.createDataFrame([(1, words), (2, []), (3, None)], "k int, w array<string>")
+    assert [r[0] for r in df.orderBy("k").select(subwords.word_costs(F.col("w"))).collect()] == [want, [], None]
+    long = spark.createDataFrame([("a", ["antîdemokratîk"] * 400)], "k string, items array<string>")
+    spans = [(r["start"], r["end"]) for r in corpus.windows(long, "k", subwords.word_costs(F.col("items")), training=False).orderBy("win").collect()]
+    each = len(sp.encode("antîdemokratîk"))
+    assert spans[0] == (0, 254 // each) and spans[-1][1] == 400
+    assert subwords.quarters(pa.array(["", "abcd", "abcde", None])).tolist() == [1, 1, 2, 1]
+
+
+def test_disjoint_splits(spark):
+    ok = spark.createDataFrame([("a", "train"), ("a", "train"), ("b", "test"), (None, "train"), (None, "test")], "id string, split string")
+    corpus.assert_disjoint(ok, "id")
+    with pytest.raises(ValueError, match="more than one split: b"):
+        corpus.assert_disjoint(ok.union(spark.createDataFrame([("b", "train")], "id string, split string").select("id", "split")), "id")
 
 
 def test_windows_and_masks(spark):
@@ -198,7 +283,18 @@ def test_leakage(spark):
 
 
 def test_selection(spark):
-    assert selection.allocation({"a": 1000, "b": 10, "c": 100}, 400, 50) == {"a": 338, "b": 10, "c": 52}  # floors 50, 10, 50; then int(290 * 1000 / 1110) and int(29 * 100 / 1110); the rest to a
+    def take(sizes, total, floor):
+        df = spark.createDataFrame([*sizes.items(), (None, 9)], "source string, size long")
+        return {r["source"]: r["take"] for r in selection.allocation(df, "source", total, floor).collect()}
+
+    # Floors 50, 10, 50; of the other 290 a has 950 of 1,000 free rows: 275.5 and 14.5, whole 275 and 14, and the one left to the first name.
+    assert take({"a": 1000, "b": 10, "c": 100}, 400, 50) == {"a": 326, "b": 10, "c": 64}
+    assert take({"a": 5, "b": 5}, 400, 50) == {"a": 5, "b": 5} and take({"a": 50, "b": 50, "c": 50}, 70, 40) == {"a": 40, "b": 30, "c": 0}
+    rng = random.Random(9)
+    for _ in range(5):
+        sizes = {f"s{i}": rng.randrange(1, 3000) for i in range(12)}
+        got = take(sizes, 900, 30)
+        assert sum(got.values()) == 900 and all(min(30, sizes[k]) <= v <= sizes[k] for k, v in got.items())
     rows = spark.createDataFrame([(f"r{i}", "ab"[i % 2]) for i in range(30)] + [("x", None)], "id string, source string")
     assert selection.stratified(rows, "source", "id", 10, 3).count() == 10
     picks = selection.rounds(rows, "source", "id", 7).orderBy("pick").collect()
@@ -211,6 +307,36 @@ def test_selection(spark):
     assert filled["text"] == "F. metn F." and filled["constructed"]
 
 
+def slow_capped(rows, target, caps, free, share):
+    """The rule one row after the other."""
+    pools = {s: sorted((r for r in rows if r[1] == s), key=lambda r: (-r[3], r[0])) for s in caps}
+    out, types, got, moved = [], {}, dict.fromkeys(caps, 0), True
+    while moved and len(out) < target:
+        moved = False
+        for s in caps:
+            while pools[s] and got[s] < caps[s] and len(out) < target:
+                r = pools[s].pop(0)
+                n = types.get(r[2], 0) + 1
+                if len(out) < free or n / (len(out) + 1) <= share:
+                    types[r[2]] = n
+                    got[s] += 1
+                    out.append(r[0])
+                    moved = True
+                    break
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_capped_selection_follows_the_rule(spark, seed, monkeypatch):
+    monkeypatch.setattr(selection, "AHEAD", 7)
+    rng = random.Random(seed)
+    rows = [(f"r{i:04d}", rng.choice("ab"), rng.choices("XYZ", [9, 1, rng.random()])[0], float(rng.randrange(9))) for i in range(500)]
+    df = spark.createDataFrame(rows + [("q", "other", "X", 99.0)], "record_id string, source string, type string, score double")
+    for target, caps, free, share in ((120, {"a": 100, "b": 100}, 10, 0.5), (400, {"b": 30, "a": 1000}, 5, 0.4)):
+        got = [r["record_id"] for r in selection.capped_selection(df, target, caps, free, share).orderBy("pick").collect()]
+        assert got == slow_capped(rows, target, caps, free, share)
+
+
 def test_restoration(spark):
     rows = spark.createDataFrame([(1, "ez li amedê dijîm navê min azad e"), (2, ""), (3, None), (4, "Ez hatim. Tu?")], "key int, text string")
 
@@ -229,6 +355,17 @@ def test_restoration(spark):
         restoration.restore(rows, "full", marks)
     with pytest.raises(ValueError):
         restoration.restore(rows, "other", marks, case)
+    again = {r["key"]: r for r in restoration.idempotency(rows, marks, case).collect()}
+    assert set(again) == {1, 4} and again[1]["exact"] and again[4]["near"]
+
+
+def test_mean_logits():
+    items = pa.array([["a"] * 300, [], None, ["b"]], pa.list_(pa.string()))
+    used = pa.array([[i != 5 for i in range(300)], [], None, [True]], pa.list_(pa.bool_()))
+    got = restoration.mean_logits(items, used, lambda ws: [[[i, len(w)] for i in range(len(w))] for w in ws], lambda w: np.ones(len(w), int)).to_pylist()
+    assert [len(x) for x in got] == [300, 0, 0, 1] and got[0][5] is None and got[0][6] == [5.0, 254.0] and got[3] == [[0.0, 1.0]]
+    # Words 222 to 253 are in both windows, 0-254 and 222-299.
+    assert got[0][223] == [(222 + 0) / 2, (254 + 77) / 2] and got[0][299] == [76.0, 77.0]
 
 
 def test_review_and_statistics(spark):
@@ -240,6 +377,28 @@ def test_review_and_statistics(spark):
     w = spark.createDataFrame([("w1", ["Ez", ".", "ew", "Çû"], ["IGNORE", "IGNORE", "IGNORE", "KEEP"]), ("w2", [".", "5", "kes"], ["IGNORE", "IGNORE", "KEEP"])], "id string, tokens array<string>, labels array<string>")
     i = corpus.integrity(w).head()
     assert (i["checked"], i["after_end"], i["after_end_labelled"], i["not_lower"]) == (2, 1, 0, 1)
+    g = curation.gates(spark.createDataFrame([("a", True)] * 9 + [("a", None)] + [("b", True)] * 4 + [("b", False), ("c", False)], "s string, accept boolean"), "s")
+    assert {r["s"]: (r["accepted"], r["gate"]) for r in g.collect()} == {"a": (9, "PASS"), "b": (4, "REFILTER"), "c": (0, "REJECT")}
+
+
+def test_label_numbers(spark):
+    from corpusloom.functions import tokens as T
+
+    df = spark.createDataFrame([(["O", "QUESTION", "IGNORE", None],)], "l array<string>")
+    ids = T.label_ids(F.col("l"))
+    assert df.select(ids).head()[0] == [0, 3, -100, -100] and df.select(T.labels_of(ids)).head()[0] == ["O", "QUESTION", "IGNORE", "IGNORE"]
+    for bad in (T.label_ids(F.array(F.lit("X"))), T.labels_of(F.array(F.lit(9)))):
+        with pytest.raises(Exception, match="unknown label"):
+            df.select(bad).collect()
+
+
+def test_events_in_complete_mode(spark, tmp_path):
+    from corpusloom.streaming import dedup as streams
+
+    rows = [(f"2024-01-01 {h:02d}:{m:02d}:00", "a", 1.0) for h in range(5) for m in (0, 30)]
+    spark.createDataFrame(rows, "ts string, event_type string, value double").withColumn("ts", F.to_timestamp("ts")).write.parquet(f"{tmp_path}/in")
+    stream = lambda: spark.readStream.schema("ts timestamp, event_type string, value double").parquet(f"{tmp_path}/in")
+    assert streams.run_once(streams.window_counts(stream()), f"{tmp_path}/a", f"{tmp_path}/b", "complete").count() == 5
 
 
 def test_capped_selection_uses_up_skipped_rows(spark):
