@@ -12,11 +12,10 @@ from .functions import tokens as T
 from .operators import corpus, curation, metrics, restoration
 from .plans.storage import new_path
 from .queries import (
-    S_CASES, S_CASE_WORDS, S_COST, S_KEY, S_LABEL, S_LABELS, S_OLD, S_OLD_MAP, S_PAIRS, S_PROTECTED, S_SCRIPT, S_SKIP, S_SOFT, S_TITLE, _cases, _doc_tokens, _docs, _labelled_windows, _pairs, q, query, rx, s_collapse, s_dataset, s_f1, s_letters,
-    s_logits, s_nfc, s_nopunct, s_strip, s_title, s_tokens, s_words, s_ws, table,
+    S_CASES, S_CASE_WORDS, S_COST, S_OLD, S_OLD_MAP, S_PAIRS, S_SCRIPT, S_SKIP, _cases, _doc_tokens, _docs, _labelled_windows, _pairs, q, query, rx, s_collapse, s_dataset, s_f1, s_letters,
+    s_logits, s_low, s_nfc, s_nopunct, s_strip, s_tokens, s_words, s_ws, table,
 )
 from .sources import readers, sinks
-from .sources import tables
 
 
 def written(spark: SparkSession, rows: DataFrame, name: str) -> str:
@@ -190,7 +189,7 @@ def evaluation_skips(spark, d):
 S_OLD_TOKS = f"list_filter({S_OLD}, lambda x: regexp_matches(x, '[\\p{{L}}\\p{{N}}]'))"
 
 
-@query(f"SELECT doc_id, md5(array_to_string(list_transform({S_OLD_TOKS}, lambda x: lower(x)), ' ')) AS asr FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, md5(array_to_string(list_transform({S_OLD_TOKS}, lambda x: {s_low('x')}), ' ')) AS asr FROM documents WHERE text IS NOT NULL")
 def recognition_like(spark, d):
     return _docs(spark, d).where("text is not null").select("doc_id", F.md5(T.asr_like(F.col("text"))).alias("asr"))
 
@@ -207,7 +206,7 @@ def old_inputs(spark, d):
 S_OLD_ROWS = f"SELECT doc_id, tok, i, {S_OLD_MAP} AS label FROM (SELECT doc_id, tok, i, lead(tok) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM (SELECT doc_id, unnest(t) AS tok, generate_subscripts(t, 1) AS i FROM (SELECT doc_id, {S_OLD} AS t FROM documents WHERE text IS NOT NULL))) WHERE regexp_matches(tok, '[\\p{{L}}\\p{{N}}]')"
 
 
-@query(f"""WITH f AS ({S_OLD_ROWS}), k AS (SELECT doc_id FROM f GROUP BY doc_id HAVING count(*) >= 3 AND count(*) FILTER (label <> '0') > 0), b AS (SELECT doc_id, i, lower(tok) AS w, label, coalesce(lag(label) OVER (PARTITION BY doc_id ORDER BY i), '.') AS before FROM f JOIN k USING (doc_id))
+@query(f"""WITH f AS ({S_OLD_ROWS}), k AS (SELECT doc_id FROM f GROUP BY doc_id HAVING count(*) >= 3 AND count(*) FILTER (label <> '0') > 0), b AS (SELECT doc_id, i, {s_low('tok')} AS w, label, coalesce(lag(label) OVER (PARTITION BY doc_id ORDER BY i), '.') AS before FROM f JOIN k USING (doc_id))
 SELECT doc_id, md5(string_agg(CASE WHEN before IN ('.', '?') THEN upper(substr(w, 1, 1)) || substr(w, 2) ELSE w END || CASE WHEN label IN ('.', '?', ',', '-', ':') THEN label ELSE '' END, ' ' ORDER BY i)) AS text FROM b GROUP BY doc_id""")
 def old_restored(spark, d):
     """Texts of the older scheme written again from their words and labels."""
