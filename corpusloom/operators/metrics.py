@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,10 +68,17 @@ def skip_reason(tokens: Column, labels: Column, pred: Column | None = None, leas
     return F.when((n == 0) | labels.isNull(), "no_gold").when(n < least, "few_tokens").when(other, "length_mismatch")
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once, also inside a lambda."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def softmax(logits: Column) -> Column:
-    """array<double>: exponentials over their sum, shifted by the largest."""
-    e = F.transform(logits, lambda x: F.exp(x.cast("double") - F.array_max(logits).cast("double")))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+    """array<double>: exponentials over their sum, shifted by the largest; each exponential is computed once."""
+    z = F.transform(logits, lambda x: x.cast("double"))
+    shifted = lambda v: bound(F.array_max(v), lambda m: F.transform(v, lambda x: F.exp(x - m)))
+    shares = lambda e: bound(F.aggregate(e, F.lit(0.0), lambda s, y: s + y), lambda s: F.transform(e, lambda x: x / s))
+    return bound(z, lambda v: bound(shifted(v), shares))
 
 
 def argmax(values: Column) -> Column:

@@ -41,6 +41,11 @@ def stand_in(labels: int) -> Scorer:
     return run
 
 
+def loaded(name: str, load: Callable[[], Scorer]) -> Scorer:
+    """A scorer that each worker process loads once, when it first scores: a model and its vocabulary under a name."""
+    return lambda windows_: subwords.once(f"scorer {name}", load)(windows_)
+
+
 def mean_logits(items: pa.ListArray, used: pa.ListArray | None, scorer: Scorer, cost: Cost, budget: int = 256, overlap: int = 32) -> pa.ListArray:
     """list<list<double>>: for each token the mean of its logits over the windows that hold it; null for tokens that aren't used."""
     size = pc.fill_null(pc.list_value_length(items), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -76,11 +81,6 @@ def logits_of(items: Column, used: Column | None, scorer: Scorer, cost: Cost = s
     return F.arrow_udf(lambda x, u: mean_logits(x, u, scorer, cost, budget, overlap), kind)(items, used)
 
 
-def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value), with the value computed once inside a lambda."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def punctuate(texts: DataFrame, scorer: Scorer, floors: dict[str, float] | None = None, cost: Cost = subwords.quarters) -> DataFrame:
     """(key, input, output, preserved, tokens array<struct<token,label,confidence>>) of rows (key, text).
 
@@ -93,9 +93,9 @@ def punctuate(texts: DataFrame, scorer: Scorer, floors: dict[str, float] | None
     scored = words.select("key", "input", "w", logits_of(F.transform("w", lambda x: x["tok"]), bare, scorer, cost).alias("z"))
 
     def decided(x: Column, z: Column) -> Column:
-        d = _bound(M.softmax(z), lambda p: M.decode_marks(p, floors))
+        d = M.bound(M.softmax(z), lambda p: M.decode_marks(p, floors))
         fixed = F.struct(x["tok"].alias("token"), x["label"].alias("label"), F.lit(1.0).alias("confidence"))
-        return F.when(z.isNull(), fixed).otherwise(_bound(d, lambda y: F.struct(x["tok"].alias("token"), y["label"].alias("label"), y["confidence"].alias("confidence"))))
+        return F.when(z.isNull(), fixed).otherwise(M.bound(d, lambda y: F.struct(x["tok"].alias("token"), y["label"].alias("label"), y["confidence"].alias("confidence"))))
 
     done = materialise(scored.select("key", "input", F.zip_with("w", "z", decided).alias("tokens")), "tokens")
     out = T.join_words(F.transform("tokens", lambda s: s["token"]), F.transform("tokens", lambda s: T.mark_of(s["label"])))
@@ -117,8 +117,8 @@ def capitalise(texts: DataFrame, scorer: Scorer, title: float = 0.8, upper: floa
 
     def spelt(x: Column) -> Column:
         kept = T.is_protected(x["tok"]) | ~x["tok"].rlike(r"\p{L}")
-        label = _bound(M.softmax(x["z"]), lambda p: M.decode_case(p, F.lit(False), x["begin"], title, upper))["label"]
-        changed = _bound(label, lambda y: F.when(y == "KEEP", x["tok"]).otherwise(C.apply_label(x["tok"], y)))
+        label = M.bound(M.softmax(x["z"]), lambda p: M.decode_case(p, F.lit(False), x["begin"], title, upper))["label"]
+        changed = M.bound(label, lambda y: F.when(y == "KEEP", x["tok"]).otherwise(C.apply_label(x["tok"], y)))
         return F.when(kept, x["tok"]).otherwise(changed)
 
     out = F.when(F.size("toks") == 0, F.col("ruled")).otherwise(T.respell(F.col("ruled"), F.transform(rows, spelt)))
@@ -138,6 +138,18 @@ def predicted(samples: DataFrame, scorer: Scorer, labels: list[str], cost: Cost
     return rows.withColumn("pred", F.when(F.size("tokens") == F.size("labels"), pred)).drop("_z")
 
 
+def restore_old(texts: DataFrame, scorer: Scorer, cost: Cost = subwords.quarters) -> DataFrame:
+    """(key, output) of rows (key, text) by the older scheme: words without marks, the likeliest of the older labels for each, written again.
+
+    The scorer gives a logit for each of OLD_LABELS. Null and wordless texts come out as they are.
+    """
+    rows = texts.select("key", "text", F.filter(F.split(X.old_plain(F.col("text")), " "), lambda w: w != "").alias("words"))
+    rows = rows.withColumn("z", logits_of(F.col("words"), None, scorer, cost))
+    names = F.array(*map(F.lit, T.OLD_LABELS))
+    label = F.transform("z", lambda z: F.get(names, M.argmax(z) - 1))
+    return rows.select("key", F.when(F.size("words") > 0, T.old_joined(F.col("words"), label)).otherwise(F.col("text")).alias("output"))
+
+
 def restore(texts: DataFrame, mode: str = "full", marks: Scorer | None = None, case: Scorer | None = None) -> DataFrame:
     """(key, input, punctuated, sentence_capitalized, output, punctuation_only, case_only): the stages of full restoration.
 
