@@ -36,6 +36,7 @@ SHORT = 4
 CLOSE = 0.05
 PRIOR = 0.04
 SEGMENT_WORDS = 6
+MOST_SAMPLES = 100_000
 ORDERS = 3
 BASE = 128
 COUNTS = 16
@@ -309,8 +310,10 @@ def _segment_batches(shared):
 
 
 def profiles(samples: DataFrame) -> Profiles:
-    """Profiles of a fixed table of labelled samples (language, text)."""
-    rows = samples.where("language is not null and text is not null").select("language", "text").collect()
+    """Profiles of a fixed table of labelled samples (language, text); an error if it has more than MOST_SAMPLES rows."""
+    rows = samples.where("language is not null and text is not null").select("language", "text").limit(MOST_SAMPLES + 1).collect()
+    if len(rows) > MOST_SAMPLES:
+        raise ValueError(f"more than {MOST_SAMPLES} language samples")
     return Profiles([(r["language"], r["text"]) for r in rows])
 
 
