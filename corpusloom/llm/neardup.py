@@ -236,21 +236,22 @@ def pairs(texts: DataFrame, similarity: float = SIMILARITY, least: int = MIN_WOR
 def groups(texts: DataFrame, similarity: float = SIMILARITY, least: int = MIN_WORDS) -> DataFrame:
     """(tab, record_key, class_id, links, copies): one row for each row of text with at least `least` words.
 
-    class_id is equal for all texts that links join, directly or through others; links counts the different texts that a text is
-    linked to, copies the rows with the same text.
+    class_id is the least key of all texts that links join, directly or through others; links counts the different texts that a
+    text is linked to, copies the rows with the same text.
     """
     from .groupsplit import propagate
 
     keyed = text_bags(texts, least)
     found = similar_classes(keyed, similarity)
-    link = F.concat_ws("-", "a", "b").alias("record_id")
-    edges = found.select(link, F.col("a").cast("string").alias("document")).union(found.select(link, F.col("b").cast("string").alias("document")))
-    labels = propagate(materialise(edges, "edges")).select(F.col("document").cast("long").alias("node"), "label")
-    degree = found.select("a").union(found.select("b")).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("links"))
-    copies = keyed.groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
-    per = copies.join(labels, "node", "left").join(degree, "node", "left")
+    nodes = materialise(keyed.groupBy("node").agg(F.min("tab").alias("tab"), F.min("record_key").alias("first"), F.count(F.lit(1)).alias("copies")), "nodes")
+    name = F.concat_ws("\x1f", "tab", "first")
+    ends = found.select(F.concat_ws("-", "a", "b").alias("record_id"), F.explode(F.array("a", "b")).alias("node"))
+    edges = ends.join(nodes.select("node", name.alias("document")), "node").select("record_id", "document")
+    labels = propagate(materialise(edges, "edges")).select("document", F.split_part("label", F.lit("\x1f"), F.lit(2)).alias("class_id"))
+    degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+    per = nodes.select("node", "first", "copies", name.alias("document")).join(labels, "document", "left").join(degree, "node", "left")
     out = keyed.select("tab", "record_key", "node").join(per, "node")
-    return out.select("tab", "record_key", F.coalesce("label", F.col("node").cast("string")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), "copies")
+    return out.select("tab", "record_key", F.coalesce("class_id", "first").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), "copies")
 
 
 def corpus_texts(spark: SparkSession, folder: str, *tabs: str) -> DataFrame:

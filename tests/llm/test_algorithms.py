@@ -284,3 +284,17 @@ def test_cross_split_of_lone_replaced_words(rows):
     data = [(f"k{i:04d}", "test" if i % 5 == 0 else "train", x.split(), "a", "s") for i, x in enumerate(texts)]
     got = {tuple(r) for r in overlap.found(rows("id string, split string, tokens array<string>, article_id string, source string", *data)).collect()}
     assert got == {(a, b) for a, b in _brute(texts) if (int(a[1:]) % 5 == 0) != (int(b[1:]) % 5 == 0)}
+
+
+@pytest.mark.parametrize("size", [40, 60, 1000])
+def test_template_families(rows, size):
+    # Texts of 96 words with 80 in common: every two share 0.83, whatever the family's size.
+    base = [f"common{i}" for i in range(80)]
+    texts = [" ".join(base + [f"own{t}x{i}" for i in range(16)]) for t in range(size)]
+    every = size * (size - 1) // 2
+    assert neardup.pairs(rows("tab string, record_key string, text string", *[("t", f"k{i:04d}", x) for i, x in enumerate(texts)])).count() == every
+    data = [(f"k{i:04d}", "train" if i % 4 else "test", x.split(), "a", "s") for i, x in enumerate(texts)]
+    evals = sum(1 for _, s, *_ in data if s == "test")
+    df = rows("id string, split string, tokens array<string>, article_id string, source string", *data)
+    assert overlap.found(df).count() == evals * (size - evals)
+    assert overlap.cross_split(df)[1].agg(F.max("sim")).head()[0] <= 1
