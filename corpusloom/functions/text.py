@@ -158,7 +158,10 @@ def question_context(text: Column, most: int = 1200) -> Column:
 
 
 def strip_markup(text: Column) -> Column:
-    """Plain text of wiki or HTML markup by replacement rules; nested templates lose their innermost level only."""
+    """Plain text of wiki or HTML markup by replacement rules; nested templates lose their innermost level only.
+
+    The patterns and their order are fixed values.
+    """
     t = F.regexp_replace(text, r"\{\{[^{}]*\}\}", " ")
     t = F.regexp_replace(t, r"\[\[(?:[^|\]]*\|)?([^\]]*)\]\]", "$1")
     t = F.regexp_replace(t, "<[^>]+>", " ")
@@ -219,7 +222,10 @@ def paragraphs(text: Column) -> Column:
 
 
 def soft_sentences(paragraph: Column, least: int = 8) -> Column:
-    """Sentences of older preparation: parted after a mark before a capital; short ones are dropped, unless all are."""
+    """Sentences of older preparation: parted after a mark before a capital; short ones are dropped, unless all are.
+
+    The capitals and the least length are fixed values.
+    """
     p = strip(paragraph)
     kept = F.filter(F.transform(F.split(p, rf"(?<=[.!?…]){WS}+(?=[\"'«]?[A-ZÇÊÎŞÛÁÉÍÓÚÄËÖÜ])"), strip), lambda x: F.length(x) >= least)
     return F.when(F.size(kept) > 0, kept).when(F.length(p) >= least, F.array(p)).otherwise(F.array().cast("array<string>"))

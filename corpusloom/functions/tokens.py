@@ -144,9 +144,13 @@ def is_number(token: Column) -> Column:
     return token.rlike(r"^[\p{Nd}.,]*\p{Nd}[\p{Nd}.,]*$")
 
 
+# Fixed value: signs of markup in a token.
+MARKUP = r"\[\[|\]\]|\{\{|\}\}|={2,}|__+|</?[a-zA-Z]+>"
+
+
 def is_protected(token: Column) -> Column:
     """Marks, addresses, numbers and markup: tokens whose letter case is left alone."""
-    return is_mark(token) | is_url(token) | is_email(token) | is_number(token) | token.rlike(r"\[\[|\]\]|\{\{|\}\}|={2,}|__+|</?[a-zA-Z]+>")
+    return is_mark(token) | is_url(token) | is_email(token) | is_number(token) | token.rlike(MARKUP)
 
 
 def is_latin_word(token: Column) -> Column:

@@ -647,11 +647,23 @@ def ranked_in_source(spark, d):
     return selection.best_of(one, "source", 50, F.desc("score"), F.col("record_id")).select("source", "record_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+CAPS = {"kurmanji_news": 1800, "kurdish_ai_corpus": 1500, "tatoeba": 200}
+S_AT = lambda xs, value: "[" + ", ".join(f"CASE WHEN i = {k} THEN {value} ELSE {xs}[{k + 1}] END" for k in range(len(CAPS))) + "]"
+# The rule turn by turn: i is the source whose turn it is, `hit` its next row that may be taken.
+S_BATCH = f"""WITH RECURSIVE o AS (SELECT record_id, source, type, score FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY score DESC, source DESC NULLS LAST, type DESC) AS k FROM (SELECT record_id, source, {S_KIND.replace('text', "coalesce(text, '')")} AS type, {S_SCORE} AS score FROM (SELECT *, coalesce(word_count, 0) AS w, coalesce(question_count, 0) AS qc FROM accepted_records))) WHERE k = 1),
+l AS MATERIALIZED (SELECT source, list({{'p': p, 't': type, 'r': record_id}} ORDER BY p) AS l FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, record_id) AS p FROM o) GROUP BY source),
+s AS MATERIALIZED (SELECT [{', '.join(f"(SELECT l FROM l WHERE source = {q(x)})" for x in CAPS)}] AS lists, {list(CAPS.values())} AS caps, {list(CAPS)} AS names),
+g AS (SELECT -1::BIGINT AS i, 0::BIGINT AS n, [0, 0, 0]::BIGINT[] AS used, [0, 0, 0]::BIGINT[] AS taken, []::VARCHAR[] AS kinds, 0::BIGINT AS idle, NULL::VARCHAR AS record_id, NULL::VARCHAR AS source, NULL::VARCHAR AS type
+ UNION ALL SELECT i, CASE WHEN hit IS NULL THEN n ELSE n + 1 END, {S_AT('used', "CASE WHEN taken[i + 1] >= caps[i + 1] THEN used[i + 1] ELSE coalesce(hit.p, 1000000000) END")}, {S_AT('taken', "taken[i + 1] + (hit IS NOT NULL)::BIGINT")},
+ CASE WHEN hit IS NULL THEN kinds ELSE list_append(kinds, hit.t) END, CASE WHEN hit IS NULL THEN idle + 1 ELSE 0 END, hit.r, CASE WHEN hit IS NOT NULL THEN names[i + 1] END, hit.t FROM (SELECT *, CASE WHEN taken[i + 1] < caps[i + 1] THEN list_filter(coalesce(lists[i + 1], []), lambda x: x.p > used[i + 1] AND (n < 200 OR (len(list_filter(kinds, lambda k: k = x.t)) + 1)::DOUBLE / (n + 1) <= 0.4))[1] END AS hit FROM
+ (SELECT (i + 1) % 3 AS i, n, used, taken, kinds, idle, lists, caps, names FROM g, s WHERE n < 3000 AND idle < 3)))"""
+
+
+@query(f"{S_BATCH} SELECT record_id, source, type, n AS pick FROM g WHERE record_id IS NOT NULL")
 def first_batch(spark, d):
     rows = table(spark, d, "accepted_records")
     one = rows.select("record_id", "source", curation.question_type(F.coalesce("text", F.lit(""))).alias("type"), selection.score(rows).alias("score"))
-    return selection.capped_selection(one.groupBy("record_id").agg(F.max(F.struct("score", "source", "type")).alias("r")).select("record_id", "r.source", "r.type", "r.score"))
+    return selection.capped_selection(one.groupBy("record_id").agg(F.max(F.struct("score", "source", "type")).alias("r")).select("record_id", "r.source", "r.type", "r.score"), caps=CAPS)
 
 
 S_ONE = "(SELECT DISTINCT record_id, source FROM accepted_records WHERE source IS NOT NULL)"
@@ -975,7 +987,15 @@ def event_stream(spark, d):
     return streams.run_once(counts, f"{base}/out", f"{base}/state", "complete")
 
 
-@query()
+# The rule of the stream row by row: each against the list of those accepted before in its source and twenty of words.
+S_STREAM = f"""WITH RECURSIVE k AS MATERIALIZED (SELECT row_number() OVER () AS pos, row_number() OVER (PARTITION BY src, bucket ORDER BY record_id, md5(text)) AS r, * FROM (SELECT record_id, coalesce(source, '') AS src, {s_words('text', 'filter')} // 20 AS bucket, {s_nopunct('text')} AS n, text FROM raw_records WHERE text IS NOT NULL)),
+s AS MATERIALIZED (SELECT pos, src, bucket, r, sig FROM ({s_sig('n', 'pos, src, bucket, r', 'k')})),
+l AS MATERIALIZED (SELECT k.src, k.bucket, k.r, k.pos, list(DISTINCT o.pos) FILTER (o.pos IS NOT NULL) AS others FROM k LEFT JOIN (SELECT b.pos AS at, a.pos FROM s a JOIN s b ON a.src = b.src AND a.bucket = b.bucket AND a.r < b.r AND {S_EQUAL} >= 58) o ON o.at = k.pos GROUP BY ALL),
+g AS (SELECT DISTINCT src, bucket, 0::BIGINT AS r, []::BIGINT[] AS ok FROM k UNION ALL SELECT l.src, l.bucket, l.r, CASE WHEN list_has_any(g.ok, coalesce(l.others, []::BIGINT[])) THEN g.ok ELSE list_append(g.ok, l.pos) END FROM g JOIN l ON l.src = g.src AND l.bucket = g.bucket AND l.r = g.r + 1),
+a AS (SELECT DISTINCT unnest(ok) AS pos FROM g)"""
+
+
+@query(f"{S_STREAM} SELECT record_id, src AS source, pos NOT IN (SELECT pos FROM a) AS reject FROM k")
 def near_stream(spark, d):
     base = new_path(spark, "near")
     return streams.run_once(streams.near_stream(_stream(spark, d, "raw_records").where("text is not null")), f"{base}/out", f"{base}/state")

@@ -23,9 +23,9 @@ def near_stream(records: DataFrame, least: int = 58) -> DataFrame:
 
     State is kept for each source and twenty of words: the signatures of all accepted rows, 512 bytes each, as no age makes
     a row less of a candidate. Rows meet where a band is equal, which loses none (minhash.near_pairs); rows of a
-    micro-batch are taken in the order of record_id.
+    micro-batch are taken in the order of record_id and of a hash of the text.
     """
-    keyed = records.select("record_id", F.coalesce("source", F.lit("")).alias("source"), (X.word_count(F.col("text")) / 20).cast("long").alias("bucket"), minhash.signature(X.nopunct_key(F.col("text"))).alias("sig"))
+    keyed = records.select("record_id", F.coalesce("source", F.lit("")).alias("source"), (X.word_count(F.col("text")) / 20).cast("long").alias("bucket"), minhash.signature(X.nopunct_key(F.col("text"))).alias("sig"), F.md5("text").alias("h"))
 
     n = minhash.bands_for(least)
     width = minhash.HASHES // n * 8
@@ -45,7 +45,7 @@ def near_stream(records: DataFrame, least: int = 58) -> DataFrame:
 
         for at, x in enumerate(kept):
             enter(at, x)
-        rows = pd.concat(list(batches)).sort_values("record_id", kind="stable")
+        rows = pd.concat(list(batches)).sort_values(["record_id", "h"], kind="stable")
         out = []
         for r, sig in zip(rows["record_id"], rows["sig"]):
             s = np.asarray(sig, np.int64)
