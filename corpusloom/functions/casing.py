@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType
 
+from .batches import in_pieces
 from .text import letters, strip, to_nfc
 from .tokens import is_latin_word, is_mark, is_protected, respell, tokenize
 
@@ -103,12 +104,12 @@ def start_flags(events: pa.ListArray, first: bool = True) -> pa.ListArray:
 
 @F.arrow_udf(ArrayType(BooleanType()))
 def _start_flags(events: pa.Array) -> pa.Array:
-    return start_flags(events)
+    return in_pieces(start_flags, events)
 
 
 @F.arrow_udf(ArrayType(BooleanType()))
 def _start_flags_inside(events: pa.Array) -> pa.Array:
-    return start_flags(events, False)
+    return in_pieces(lambda x: start_flags(x, False), events)
 
 
 def starts(tokens: Column, first: bool = True) -> Column:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
+from .batches import ranges
+
 HASHES = 64
 GRAM = 5
 # The family (2k+1) x + k * STEP modulo 2^32.
@@ -66,12 +68,8 @@ def signatures(texts: pa.Array, short_as_itself: bool = True) -> pa.ListArray:
 
 def _pieces(texts: pa.Array, short: bool) -> pa.Array:
     """Batches of long texts are cut, so that the arrays of a piece stay small."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    out, at = [], 0
-    while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + (1 << 20), side="right")))
-        out.append(signatures(texts.slice(at, to - at), short))
-        at = to
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    out = [signatures(texts.slice(a, b - a), short) for a, b in ranges(size, 1 << 20)]
     return pa.concat_arrays(out) if out else signatures(texts, short)
 
 

@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .batches import in_pieces
+
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 _LOADED: dict[str, object] = {}
@@ -55,10 +57,9 @@ def word_costs(words: Column, path: str = DEFAULT_MODEL) -> Column:
     """array<int>: the number of pieces of each word of an array; null for null."""
     cost = piece_costs(path)
 
-    @F.arrow_udf("array<int>")
-    def costs(col: pa.Array) -> pa.Array:
+    def of(col: pa.Array) -> pa.Array:
         offs = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False))]).astype(np.int32)
         flat = pc.list_flatten(col)
         return pa.ListArray.from_arrays(pa.array(offs), pa.array(cost(flat) if len(flat) else np.empty(0, np.int32)), mask=pc.is_null(col) if col.null_count else None)
 
-    return costs(words)
+    return F.arrow_udf(lambda col: in_pieces(of, col), "array<int>")(words)

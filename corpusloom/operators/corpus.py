@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tokens as T
+from ..functions.batches import in_pieces
 from ..functions.casing import event, lower
 from ..functions.text import normalize_for_dataset
 from ..plans.storage import materialise
@@ -190,7 +191,8 @@ def windows(words: DataFrame, key: str, costs: Column, items: str = "items", tra
 
     @F.arrow_udf(SPANS)
     def spans(c: pa.Array, ids: pa.Array) -> pa.Array:
-        return training_spans(c, ids, **rules) if training else inference_spans(c, **rules)
+        cut = (lambda x, y: training_spans(x, y, **rules)) if training else (lambda x, y: inference_spans(x, **rules))
+        return in_pieces(cut, c, ids, most=1 << 21)
 
     cut = words.select(key, items, F.posexplode(spans(costs, F.col(key).cast("string"))).alias("_k", "_s"))
     return cut.select(key, (F.col("_k") + 1).alias("win"), "_s.start", "_s.end", F.slice(items, F.col("_s.start") + 1, F.col("_s.end") - F.col("_s.start")).alias("items"))

@@ -20,6 +20,7 @@ from ..functions import casing as C
 from ..functions import subwords
 from ..functions import text as X
 from ..functions import tokens as T
+from ..functions.batches import in_pieces
 from ..plans.storage import materialise
 from . import metrics as M
 from .corpus import inference_spans
@@ -77,8 +78,8 @@ def logits_of(items: Column, used: Column | None, scorer: Scorer, cost: Cost = s
     """array<array<double>> of the tokens of an array, see mean_logits; used: array<boolean>, by default all."""
     kind = "array<array<double>>"
     if used is None:
-        return F.arrow_udf(lambda x: mean_logits(x, None, scorer, cost, budget, overlap), kind)(items)
-    return F.arrow_udf(lambda x, u: mean_logits(x, u, scorer, cost, budget, overlap), kind)(items, used)
+        return F.arrow_udf(lambda x: in_pieces(lambda y: mean_logits(y, None, scorer, cost, budget, overlap), x), kind)(items)
+    return F.arrow_udf(lambda x, u: in_pieces(lambda y, v: mean_logits(y, v, scorer, cost, budget, overlap), x, u), kind)(items, used)
 
 
 def punctuate(texts: DataFrame, scorer: Scorer, floors: dict[str, float] | None = None, cost: Cost = subwords.quarters) -> DataFrame:
