@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.batches import ranges
 from ..plans.storage import materialise
 
 DEFAULT_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -132,6 +133,12 @@ def dictionary(words: DataFrame, path: str = DEFAULT_FILE) -> DataFrame:
     return short.unionByName(long)
 
 
+def sliced(b: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about `most` words."""
+    size = pc.list_value_length(b.column("words")).to_numpy(zero_copy_only=False).astype(np.int64)
+    return (b.slice(at, to - at) for at, to in ranges(size, most))
+
+
 def _lookup(shared):
     """(keys..., ids, rest) of (keys..., words): a word that isn't known has -1 - its place in `rest` instead of ids."""
 
@@ -142,7 +149,7 @@ def _lookup(shared):
         flat_ids = ids.values.to_numpy(zero_copy_only=False)
         size = np.concatenate([np.diff(begin), [1]])  # the last is for words that aren't known
         begin = np.concatenate([begin[:-1], [0]])
-        for b in batches:
+        for b in (piece for x in batches for piece in sliced(x)):
             col = b.column("words")
             offs = col.offsets.to_numpy().astype(np.int64)
             flat = col.values.slice(offs[0], offs[-1] - offs[0])

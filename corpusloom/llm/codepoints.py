@@ -12,6 +12,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 NCP = 0x110000
 U64 = np.uint64
@@ -164,3 +165,14 @@ def pieces(batches: Iterable[pa.RecordBatch], name: str = "text", limit: int = 1
             to = max(at + 1, int(np.searchsorted(offs, offs[at] + limit, side="right")) - 1)
             yield b.slice(at, to - at)
             at = to
+
+
+def slices(batches: Iterator[pa.RecordBatch], *names: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the named columns hold about `most` bytes or one row."""
+    for b in batches:
+        size = np.cumsum(sum(pc.binary_length(b.column(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in names))
+        at = 0
+        while at < len(b):
+            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, side="right")))
+            yield b.slice(at, to - at)
+            at = to

@@ -16,7 +16,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,7 +107,7 @@ def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
         return pa.RecordBatch.from_arrays([pa.array(w[first].astype(np.int64)), pa.array(np.add.reduceat(c, first))], names=["word", "df"])
 
-    for b in batches:
+    for b in cp.slices(batches, "words", most=1 << 22):
         words, offs = unpack(b.column("words"))
         if not len(words):
             continue
@@ -148,19 +147,8 @@ def overlaps(wa: np.ndarray, oa: np.ndarray, wb: np.ndarray, ob: np.ndarray) ->
     return hit / np.maximum(1, np.maximum(np.diff(oa), np.diff(ob)))
 
 
-def slices(batches: Iterator[pa.RecordBatch], *names: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that the named columns hold about `most` bytes or one row."""
-    for b in batches:
-        size = np.cumsum(sum(pc.binary_length(b.column(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in names))
-        at = 0
-        while at < len(b):
-            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, side="right")))
-            yield b.slice(at, to - at)
-            at = to
-
-
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, "wa", "wb"):
+    for b in cp.slices(batches, "wa", "wb"):
         wa, oa = unpack(b.column("wa"))
         wb, ob = unpack(b.column("wb"))
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(overlaps(wa, oa, wb, ob))], names=["a", "b", "sim"])

@@ -223,14 +223,14 @@ def candidates(bags: DataFrame, unpack, order: tuple[np.ndarray, np.ndarray], si
 
     def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Seen()
-        for b in batches:
+        for b in cp.slices(batches, "words", most=1 << 22):
             words, offs, _, _, group = arrays(b, seen)
             yield pa.RecordBatch.from_arrays([pa.array(keys_of(words, offs, group, order, similarity))], names=["cell"])
 
     def post_rows(turn: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen = Seen()
-            for b in batches:
+            for b in cp.slices(batches, "words", most=1 << 22):
                 words, offs, node, side, group = arrays(b, seen)
                 if len(node):
                     yield posted(words, offs, node, side, group, order, similarity, ROUNDS, turn, fine)
