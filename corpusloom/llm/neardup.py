@@ -123,8 +123,8 @@ def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield out()
 
 
-def overlaps(wa: np.ndarray, oa: np.ndarray, wb: np.ndarray, ob: np.ndarray) -> np.ndarray:
-    """For each row the share of the longer bag that both bags hold, words counted as often as they occur in both.
+def shared_words(wa: np.ndarray, oa: np.ndarray, wb: np.ndarray, ob: np.ndarray) -> np.ndarray:
+    """For each row how many words both bags hold, counted as often as they occur in both.
 
     Words are sorted within rows, so that the keys (row, word, occurrence) are sorted and the sides are merged by search.
     """
@@ -138,27 +138,30 @@ def overlaps(wa: np.ndarray, oa: np.ndarray, wb: np.ndarray, ob: np.ndarray) ->
         keys.append(((row << 32) | w.astype(np.int64), occ))
     (a, i), (b, _) = keys
     if not len(a) or not len(b):
-        return np.zeros(n)
+        return np.zeros(n, np.int64)
     # The k-th occurrence in a is shared if b holds the word more than k times: b's run of the word begins at its first place.
     first = np.searchsorted(b, a, side="left")
     at = first + i
     both = (at < len(b)) & (b[np.minimum(at, len(b) - 1)] == a)
-    hit = np.bincount((a >> 32)[both], minlength=n)
-    return hit / np.maximum(1, np.maximum(np.diff(oa), np.diff(ob)))
+    return np.bincount((a >> 32)[both], minlength=n)
 
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in cp.slices(batches, "wa", "wb"):
         wa, oa = unpack(b.column("wa"))
         wb, ob = unpack(b.column("wb"))
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(overlaps(wa, oa, wb, ob))], names=["a", "b", "sim"])
+        hit, na, nb = shared_words(wa, oa, wb, ob), np.diff(oa), np.diff(ob)
+        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(hit / np.maximum(1, np.maximum(na, nb))), pa.array(hit / np.maximum(1, na))], names=["a", "b", "sim", "contained"])
 
 
 def checked(edges: DataFrame, bags: DataFrame) -> DataFrame:
-    """(a, b, sim) of pairs of classes, by their bags; bags has one row for each class."""
+    """(a, b, sim, contained) of pairs of classes, by their bags; bags has one row for each class.
+
+    sim is the share of the longer bag's words that both hold, contained the share of a's words.
+    """
     wa = bags.select(F.col("node").alias("a"), F.col("words").alias("wa"))
     wb = bags.select(F.col("node").alias("b"), F.col("words").alias("wb"))
-    return edges.join(wa, "a").join(wb, "b").select("a", "b", "wa", "wb").mapInArrow(_check, "a long, b long, sim double")
+    return edges.join(wa, "a").join(wb, "b").select("a", "b", "wa", "wb").mapInArrow(_check, "a long, b long, sim double, contained double")
 
 
 def text_bags(texts: DataFrame, least: int = MIN_WORDS) -> DataFrame:
@@ -177,7 +180,7 @@ def word_counts(bags: DataFrame) -> DataFrame:
 
 
 def verified(edges: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, sim) of the written edges whose bags share at least `similarity` of the longer one's words, written."""
+    """(a, b, sim, contained) of the written edges whose bags share at least `similarity` of the longer one's words, written."""
     near = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     held = materialise(bags.select("node", "words").join(near, "node", "left_semi").groupBy("node").agg(F.first("words").alias("words")), "held")
     links = materialise(checked(edges, held).where(F.col("sim") >= similarity), "links")
@@ -186,7 +189,7 @@ def verified(edges: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
 
 
 def similar_classes(bags: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b, sim): the links between the nodes of written bags, written."""
+    """(a, b, sim, contained): the links between the nodes of written bags, written."""
     order = prefixes.order_of(word_counts(bags), bags.count())
     edges = prefixes.candidates(bags.select("node", F.lit(0).alias("side"), F.xxhash64("tab").alias("grp"), "words"), unpack, order, similarity)
     links = verified(edges, bags, similarity)

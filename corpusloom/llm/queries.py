@@ -193,10 +193,10 @@ def oracle_sql() -> dict[str, str]:
     page = f"""'page ' || regexp_replace(lower({parts[0]}), '^((www|m)[.])+', '') || rtrim({parts[1]}, '/') || '?' || array_to_string(list_sort(list_filter(string_split({parts[2]}, '&'), lambda x: x <> '' AND NOT regexp_matches(string_split(x, '=')[1], '{tracking}'))), '&')"""
     named = f"""SELECT record_id AS k, CASE WHEN regexp_matches(t, '^https?://') THEN {page} ELSE 'place ' || s || ' ' || CASE WHEN regexp_matches(t, '^[0-9]+$') THEN (t::HUGEINT)::VARCHAR ELSE t END END AS doc
 FROM (SELECT record_id, trim(source_document_id) AS t, regexp_replace(lower(trim(coalesce(source, 'unknown'))), '[ -]+', '_', 'g') AS s FROM accepted_records) WHERE t <> '' AND record_id IS NOT NULL"""
-    report = f"""WITH {_sql_shared(windows, 1)}, h AS (SELECT DISTINCT CASE WHEN a.side = 'eval' THEN a.k ELSE b.k END AS id, CASE WHEN a.side = 'eval' THEN b.k ELSE a.k END AS other FROM s JOIN d a ON a.r = ra JOIN d b ON b.r = rb WHERE a.side <> b.side AND n >= 0.8 * greatest(len(a.w), len(b.w))),
+    report = f"""WITH {_sql_shared(windows, 1)}, h AS (SELECT DISTINCT CASE WHEN a.side = 'eval' THEN a.k ELSE b.k END AS id, CASE WHEN a.side = 'eval' THEN b.k ELSE a.k END AS other, n / len(CASE WHEN a.side = 'eval' THEN a.w ELSE b.w END) AS inside FROM s JOIN d a ON a.r = ra JOIN d b ON b.r = rb WHERE a.side <> b.side AND n >= 0.8 * greatest(len(a.w), len(b.w))),
 e AS (SELECT id, split, min(coalesce(source, 'unknown')) AS source, min(article_id) AS article_id FROM window_samples WHERE split IN ('validation', 'test') GROUP BY id, split),
-t AS (SELECT h.id, w.article_id FROM h JOIN window_samples w ON w.id = h.other AND w.split = 'train'), p AS (SELECT e.split, e.source, e.id, count(t.article_id) > 0 AS hit, coalesce(bool_or(t.article_id = e.article_id), false) AS same FROM e LEFT JOIN t ON t.id = e.id GROUP BY ALL)
-SELECT split, source, count(*) AS windows, count(*) FILTER (hit) AS overlapping, count(*) FILTER (same) AS same_article FROM p GROUP BY split, source"""
+t AS (SELECT h.id, w.article_id, inside FROM h JOIN window_samples w ON w.id = h.other AND w.split = 'train'), p AS (SELECT e.split, e.source, e.id, count(t.id) > 0 AS hit, max(inside) AS inside, coalesce(bool_or(t.article_id = e.article_id), false) AS same FROM e LEFT JOIN t ON t.id = e.id GROUP BY ALL)
+SELECT split, source, count(*) AS windows, count(*) FILTER (hit) AS overlapping, count(*) FILTER (same) AS same_article, round(avg(inside), 6) AS containment FROM p GROUP BY split, source"""
     groups = f"""WITH RECURSIVE {_sql_shared(texts, 30)}, b AS (SELECT r, tab, k, tab || ' ' || array_to_string(list_sort(w), ' ') AS bag, len(w) AS n FROM d WHERE len(w) >= 30), c AS (SELECT bag, min(tab) AS tab, min(k) AS first, count(*) AS copies FROM b GROUP BY bag),
 e AS (SELECT DISTINCT x.bag AS a, y.bag AS b FROM s JOIN b x ON x.r = s.ra JOIN b y ON y.r = s.rb WHERE x.tab = y.tab AND x.bag <> y.bag AND s.n >= 0.8 * greatest(x.n, y.n)), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 t AS (SELECT bag AS a, bag AS b FROM c UNION SELECT t.a, u.b FROM t JOIN u ON u.a = t.b), m AS (SELECT t.a, min(c.first) AS class_id FROM t JOIN c ON c.bag = t.b GROUP BY t.a), g AS (SELECT a, count(*) AS links FROM u GROUP BY a)

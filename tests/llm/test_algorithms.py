@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +77,17 @@ def named(spark, *pairs):
     return [r[1] for r in sorted(rows.select("i", groupsplit.document_name(F.col("s"), F.col("t"))).collect())]
 
 
+def test_tokens_hold_the_words_of_their_text():
+    from corpusloom.llm import overlap
+
+    rng = random.Random(40)
+    odd = ["Roj", "baş", ",", "", None, "ｂｉｂîn", "Kaxeka", "jі", "it's", "21ê", "a-b c", "ș\u0327", "слово", "👨\u200d👩", "مى\u200cخواهم", "ê", "e\u0302"]
+    rows_ = [[rng.choice(odd) for _ in range(rng.randrange(12))] for _ in range(300)] + [[], None]
+    a = overlap.token_bags(pa.array(rows_, pa.list_(pa.string())))
+    b = neardup.bag_arrays(pa.array([" ".join(x for x in r if x is not None) if r is not None else None for r in rows_], pa.string()))
+    assert a[0].tolist() == b[0].tolist() and a[1].tolist() == b[1].tolist()
+
+
 def test_addresses(spark):
     same = ["https://www.ciya.example/nuce.php?id=5", "http://m.CIYA.example:80/nuce.php?utm_source=rss&id=5#top", "https://ciya.example/nuce.php?id=5&fbclid=x", " //ciya.example/nuce.php?id=5&ref=rss", "ciya.example/nuce.php?id=%35", "https://u:p@ciya.example./nuce.php?id=5"]
     assert len(set(named(spark, *[(s, x) for s in "ab" for x in same]))) == 1
