@@ -53,11 +53,12 @@ S_MARKABLE = s_collapse(rx("text", r"[^\p{L}\p{N},.?! ]", " "))
 
 @query(f"SELECT article_id AS title, {S_MARKABLE} AS text FROM wikipedia WHERE length({S_MARKABLE}) > 0")
 def dump_scan(spark, d):
-    """Articles as pages of 64 dump files, each with a copy outside the main space that must not come back."""
+    """Articles as pages of dump files of some 500 articles, each with a copy outside the main space that must not come back."""
     t = X.collapse(F.regexp_replace("text", r"[^\p{L}\p{N},.?! ]", " "))
     rows = table(spark, d, "wikipedia").select("article_id", t.alias("t")).where(F.length("t") > 0)
     page = lambda space: F.concat(F.lit("<page><title>"), "article_id", F.lit(f"</title><ns>{space}</ns><revision><text>"), "t", F.lit("</text></revision></page>"))
-    pages = rows.select(F.pmod(F.xxhash64("article_id"), F.lit(64)).alias("part"), F.concat(page(0), page(10)).alias("page"))
+    files = rows.count() // 500 + 1
+    pages = rows.select(F.pmod(F.xxhash64("article_id"), F.lit(files)).alias("part"), F.concat(page(0), page(10)).alias("page"))
     path = new_path(spark, "dump")
     dumps = pages.groupBy("part").agg(F.concat(F.lit("<mediawiki>"), F.array_join(F.collect_list("page"), "\n"), F.lit("</mediawiki>")).alias("value"))
     dumps.write.partitionBy("part").text(path)
