@@ -5,12 +5,15 @@ is a word of its own. Of n words a pair at the threshold shares at least least_s
 common word among their first n - least_shared(n) + 1; bags meet in a cell for each of these. The pairs of a cell that lengths
 allow are looked at, by bounds that can't reject a pair at the threshold: the words left after the common one, and the
 parities of word counts in a row of bits, whose differing bits are no more than the words that only one of both bags has. The
-bits are a few times as many as the words; of two bags the finer row is folded to the coarser by exclusive or.
+bits are a few times as many as the words, and never so few that bags of many words, which share the frequent ones, pass
+whatever they hold; of two bags the finer row is folded to the coarser by exclusive or.
 
 A cell of more than BLOCK bags is cut into parts, and each two parts meet in rows of their own, so no task holds more than two
 parts. Which cells are cut is estimated from one bag in SAMPLE; it decides who works where and never what comes out. The cells
-are worked in ROUNDS parts of the key space, each written before the next begins, so that less lies on disk at once. The pairs
-looked at grow with the square of a word's bags; where words don't get rarer as a table grows, so does that part of the work.
+are worked in rounds, each a part of the key space and written before the next begins: as many, ROUNDS at least, as keep the
+rows sent in one within the bytes of the words themselves. So the disk needed stays in proportion to the bags even where cut
+cells send a bag many times. The pairs looked at grow with the square of a word's bags; where words don't get rarer as a table
+grows, so does that part of the work.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import ranges
 from ..plans.storage import discard, materialise
 from . import codepoints as cp
 
@@ -32,7 +36,9 @@ ROUNDS = 3
 PAIRS_AT_ONCE = 400_000
 FREQUENT = 0.0001
 MOST_FREQUENT = 1_000_000
-LEAST_BITS, MOST_BITS = 64, 1024
+LEAST_BITS, MOST_BITS = 64, 4096
+MANY_WORDS, FINE_OF_MANY = 512, 1.25
+ROW_BYTES, BYTES_AT_ONCE = 40, 1 << 24
 SIDE, LENGTH = 1 << 3, 32
 U64 = np.uint64
 
@@ -82,9 +88,15 @@ def _prefix(words: np.ndarray, offs: np.ndarray, row: np.ndarray, order: tuple[n
     return o[first], pos[first]
 
 
+def _width(n: np.ndarray, fine: float) -> np.ndarray:
+    """Bits of a bag of n words. Bags over MANY_WORDS, which send many rows, get as few a word as still tell them apart."""
+    least = np.where(n > MANY_WORDS, np.maximum(n * min(fine, FINE_OF_MANY), min(MANY_WORDS * fine, MOST_BITS)), n * fine)
+    return np.clip(1 << np.ceil(np.log2(np.maximum(least, 1))).astype(np.int64), LEAST_BITS, MOST_BITS)
+
+
 def _parities(row: np.ndarray, token: np.ndarray, n: np.ndarray, fine: float) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit words of all rows, where each row's begin): bit t % width is odd where the row holds an odd number of tokens t."""
-    width = np.clip(1 << np.ceil(np.log2(np.maximum(n, 1) * fine)).astype(np.int64), LEAST_BITS, MOST_BITS)
+    width = _width(n, fine)
     base = np.concatenate([[0], np.cumsum(width)])
     at = base[row] + (token & (width[row] - 1).astype(U64)).astype(np.int64)
     odd = (np.bincount(at, minlength=int(base[-1])) & 1).astype(np.uint8)
@@ -97,37 +109,64 @@ def _flat(words: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return words[np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - size, size) + np.repeat(begin, size)]
 
 
-def keys_of(words: np.ndarray, offs: np.ndarray, group: np.ndarray, order: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+def sizes_of(words: np.ndarray, offs: np.ndarray, group: np.ndarray, order: tuple[np.ndarray, np.ndarray], similarity: float, fine: float) -> pa.RecordBatch:
+    """(cell, bytes, own) of each prefix word: bytes of its row, and its part of the bytes of its bag's words."""
+    n = np.diff(offs)
     row, token = _tokens(words, offs)
     at, _ = _prefix(words, offs, row, order, similarity)
-    return cp.mix64(token[at] + group[row[at]]).view(np.int64)
+    r = row[at]
+    own = (4.0 * n / np.maximum(1, np.bincount(r, minlength=len(n))))[r]
+    return pa.RecordBatch.from_arrays([pa.array(cp.mix64(token[at] + group[r]).view(np.int64)), pa.array((ROW_BYTES + _width(n, fine) / 8)[r]), pa.array(own)], names=["cell", "bytes", "own"])
+
 
+def _turns(keys: np.ndarray, node: np.ndarray, hot: tuple[np.ndarray, np.ndarray], rounds: int, turn: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places in keys, cells, parts) of the rows of this turn. A cell in hot is cut: the bag meets each part in a cell of its own.
 
-def posted(words: np.ndarray, offs: np.ndarray, node: np.ndarray, side: np.ndarray, group: np.ndarray, order: tuple[np.ndarray, np.ndarray], similarity: float, rounds: int, turn: int, fine: float) -> pa.RecordBatch:
-    """A row for each prefix word whose key belongs to this turn; keys differ by group. fine: least bits for each word."""
+    The part is 0 where a bag meets its own one, else 1 or 2 by the side it is on.
+    """
+    cut, many = hot
+    parts = np.ones(len(keys), np.int64)
+    if len(cut):
+        at = np.minimum(np.searchsorted(cut, keys), len(cut) - 1)
+        parts = np.where(cut[at] == keys, many[at], 1)
+    for x, y in ranges(parts, 1 << 20):
+        at = np.repeat(np.arange(x, y), parts[x:y])
+        other = (np.arange(len(at)) - np.repeat(np.cumsum(parts[x:y]) - parts[x:y], parts[x:y])).astype(U64)
+        mine = cp.mix64(node[at].view(U64) + U64(0x7F4A7C15)) % parts[at].astype(U64)
+        pair = (np.minimum(mine, other) << U64(32)) | np.maximum(mine, other)
+        cell = np.where(parts[at] > 1, cp.mix64(keys[at] ^ cp.mix64(pair + U64(0x9E3779B9))), keys[at])
+        part = np.where(mine == other, 0, np.where(mine < other, 1, 2))
+        sel = cell % U64(rounds) == U64(turn)
+        yield at[sel], cell[sel], part[sel]
+
+
+def posted(words: np.ndarray, offs: np.ndarray, node: np.ndarray, side: np.ndarray, group: np.ndarray, order: tuple[np.ndarray, np.ndarray], similarity: float, hot: tuple[np.ndarray, np.ndarray], rounds: int, turn: int, fine: float) -> Iterator[pa.RecordBatch]:
+    """A row for each prefix word, and each part of its cell, whose key belongs to this turn; keys differ by group. fine: least bits for each word."""
     n = np.diff(offs)
     row, token = _tokens(words, offs)
     at, pos = _prefix(words, offs, row, order, similarity)
     keys = cp.mix64(token[at] + group[row[at]])
-    mine = keys % U64(rounds) == U64(turn)
-    at, pos, keys = at[mine], pos[mine], keys[mine]
     bits, begin = _parities(row, token, n, fine)
-    r = row[at]
-    size = np.diff(begin)[r]
-    flat = _flat(bits, begin[:-1][r], size)
-    ends = np.concatenate([[0], np.cumsum(size)]) * 8
-    held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(r), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(flat.tobytes())]).cast(pa.binary())
-    meta = (n[r] << LENGTH) | (pos << 4) | np.where(side[r] > 0, SIDE, 0)
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(node[r]), pa.array(meta), held], names=["cell", "node", "meta", "bits"])
+    width = np.diff(begin)
+    for places, cells, parts in _turns(keys, node[row[at]], hot, rounds, turn):
+        for x, y in ranges(width[row[at[places]]] * 8, BYTES_AT_ONCE):
+            k = places[x:y]
+            r = row[at[k]]
+            size = width[r]
+            flat = _flat(bits, begin[:-1][r], size)
+            ends = np.concatenate([[0], np.cumsum(size)]) * 8
+            held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(r), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(flat.tobytes())]).cast(pa.binary())
+            meta = (n[r] << LENGTH) | (pos[k] << 4) | np.where(side[r] > 0, SIDE, 0) | parts[x:y]
+            yield pa.RecordBatch.from_arrays([pa.array(cells[x:y].view(np.int64)), pa.array(node[r]), pa.array(meta), held], names=["cell", "node", "meta", "bits"])
 
 
 def _apart(bits: np.ndarray, begin: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The differing bits of rows i and j, the finer folded to the coarser."""
     out = np.zeros(len(i), np.int64)
-    kind = size[i] * 64 + size[j]
+    kind = (size[i] << 32) | size[j]
     for k in np.unique(kind):
         sel = np.flatnonzero(kind == k)
-        si, sj = int(k) // 64, int(k) % 64
+        si, sj = int(k) >> 32, int(k) & 0xFFFFFFFF
         w = min(si, sj)
         for c in range(w):
             x = bits[begin[i[sel]] + c]
@@ -208,6 +247,18 @@ def _met(similarity: float, cross: bool):
     return run
 
 
+def plan(sizes: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], int]:
+    """((cells that are cut, their parts), rounds) by the sample's cells (cell, parts, bytes, own).
+
+    A cut cell holds BLOCK bags or more, so they are no more than rows sent / BLOCK.
+    """
+    got = sizes.where("parts > 1").select("cell", "parts").toArrow()
+    cell, many = got.column("cell").to_numpy().astype(np.int64).view(U64), got.column("parts").to_numpy().astype(np.int64)
+    o = np.argsort(cell)
+    sent, own = sizes.agg(F.sum(F.col("bytes") * F.col("parts")), F.sum("own")).head()
+    return (cell[o], many[o]), max(ROUNDS, int(np.ceil((sent or 0) / max(own or 0, 1))))
+
+
 def candidates(bags: DataFrame, unpack, order: tuple[np.ndarray, np.ndarray], similarity: float, cross: bool = False, fine: float = 2.0) -> DataFrame:
     """Distinct pairs (a, b) of nodes of a written table of bags (node, side, grp, words) that pass the bounds, written.
 
@@ -221,42 +272,37 @@ def candidates(bags: DataFrame, unpack, order: tuple[np.ndarray, np.ndarray], si
         b = b.filter(pa.array(fresh))
         return *unpack(b.column("words")), node[fresh], side[fresh], b.column("grp").to_numpy(zero_copy_only=False).astype(np.int64).view(U64)
 
-    def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def size_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Seen()
         for b in cp.slices(batches, "words", most=1 << 22):
             words, offs, _, _, group = arrays(b, seen)
-            yield pa.RecordBatch.from_arrays([pa.array(keys_of(words, offs, group, order, similarity))], names=["cell"])
+            yield sizes_of(words, offs, group, order, similarity, fine)
 
-    def post_rows(turn: int):
+    def post_rows(hot: tuple[np.ndarray, np.ndarray], rounds: int, turn: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen = Seen()
             for b in cp.slices(batches, "words", most=1 << 22):
                 words, offs, node, side, group = arrays(b, seen)
                 if len(node):
-                    yield posted(words, offs, node, side, group, order, similarity, ROUNDS, turn, fine)
+                    yield from posted(words, offs, node, side, group, order, similarity, hot, rounds, turn, fine)
 
         return run
 
     rows = bags.select("node", "side", "grp", "words")
-    some = rows.where(F.pmod("node", F.lit(SAMPLE)) == 0).mapInArrow(key_rows, "cell long").groupBy("cell").agg(F.count(F.lit(1)).alias("size"))
-    hot = some.where(F.col("size") * SAMPLE > BLOCK).select("cell", F.ceil(F.col("size") * SAMPLE / BLOCK).cast("int").alias("parts"))
-    hot = materialise(hot, "hot")
-    none, parts = hot.isEmpty(), []
-    for turn in range(ROUNDS):
-        cells = rows.mapInArrow(post_rows(turn), POSTED)
-        if not none:
-            cells = cells.join(hot, "cell", "left").withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int"))
-            other = F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))).alias("other")
-            cells = cells.select("*", other)
-            cell = F.when(F.col("other") < 0, F.col("cell")).otherwise(F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")))
-            part = F.when((F.col("other") < 0) | (F.col("own") == F.col("other")), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-            cells = cells.select(cell.alias("cell"), "node", F.col("meta").bitwiseOR(part.cast("long")).alias("meta"), "bits")
+    some = rows.where(F.pmod("node", F.lit(SAMPLE)) == 0).mapInArrow(size_rows, "cell long, bytes double, own double")
+    sizes = some.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.sum("bytes").alias("bytes"), F.sum("own").alias("own"))
+    sizes = materialise(sizes.select("cell", F.greatest(F.lit(1), F.ceil(F.col("size") * SAMPLE / BLOCK)).cast("long").alias("parts"), "bytes", "own"), "sizes")
+    hot, rounds = plan(sizes)
+    discard(sizes)
+    parts = []
+    for turn in range(rounds):
+        cells = rows.mapInArrow(post_rows(hot, rounds, turn), POSTED)
         met = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_met(similarity, cross), "a long, b long").distinct()
         met = materialise(met, "met")
         parts.append(met)
         discard(spark=bags.sparkSession)
     edges = materialise(reduce(DataFrame.union, parts).distinct(), "edges")
-    discard(hot, *parts)
+    discard(*parts)
     return edges
 
 

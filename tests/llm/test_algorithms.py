@@ -310,3 +310,35 @@ def test_template_families(rows, size):
     df = rows("id string, split string, tokens array<string>, article_id string, source string", *data)
     assert overlap.found(df).count() == evals * (size - evals)
     assert overlap.cross_split(df)[1].agg(F.max("sim")).head()[0] <= 1
+
+
+def test_long_texts_of_frequent_words_are_no_candidates(rows):
+    from corpusloom.llm import prefixes
+
+    # Every two texts share 0.55 of their 2,500 words, all frequent, and some of the others; one has a near copy.
+    rng = random.Random(26)
+    pool, common = [f"w{i}" for i in range(20_000)], [f"common{i}" for i in range(1375)]
+    texts = [" ".join(common + rng.sample(pool, 1125)) for _ in range(30)]
+    texts.append(_edited(rng, texts[0].split(), 300, "x"))
+    df = rows("tab string, record_key string, text string", *[("t", f"k{i:04d}", x) for i, x in enumerate(texts)])
+    bags = neardup.text_bags(df)
+    order = prefixes.order_of(neardup.word_counts(bags), bags.count())
+    edges = prefixes.candidates(bags.select("node", F.lit(0).alias("side"), F.lit(0).cast("long").alias("grp"), "words"), neardup.unpack, order, 0.8)
+    assert edges.count() == 1
+    assert {(r["key_a"], r["key_b"]) for r in neardup.pairs(df).collect()} == _brute(texts) == {("k0000", "k0030")}
+
+
+def test_cut_cells_take_more_rounds(rows, monkeypatch):
+    from corpusloom.llm import prefixes
+
+    monkeypatch.setattr(prefixes, "BLOCK", 7)
+    monkeypatch.setattr(prefixes, "SAMPLE", 1)
+    rng = random.Random(27)
+    base = [f"base{i}" for i in range(40)]
+    texts = [_edited(rng, base, rng.randrange(3, 7), t) for t in range(120)]
+    written = []
+    write = prefixes.materialise
+    monkeypatch.setattr(prefixes, "materialise", lambda df, name="table": written.append(name) or write(df, name))
+    got = {(r["key_a"], r["key_b"]) for r in neardup.pairs(rows("tab string, record_key string, text string", *[("t", f"k{i:04d}", x) for i, x in enumerate(texts)])).collect()}
+    # Cells of the family are cut into some 17 parts and so sent 17 times, which 3 rounds would hold at once.
+    assert got == _brute(texts) and written.count("met") > 12
