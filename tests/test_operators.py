@@ -412,3 +412,41 @@ def test_capped_selection_uses_up_skipped_rows(spark):
             want.append(f"r{i:04d}")
     got = selection.capped_selection(cand, 100, {"a": 100}, 10, 0.6).orderBy("pick").collect()
     assert [r["record_id"] for r in got] == want
+
+
+def test_second_restoration_is_one_stage(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(restoration, "materialise", lambda df, name="table": written.append(name) or df)
+    df = spark.createDataFrame([(i, f"Ez li malê bûm {i % 3}.") for i in range(9)] + [(9, " .!"), (10, None)], "key int, text string")
+    got = restoration.idempotency(df, restoration.stand_in(5), restoration.stand_in(3)).where("near or not near").select("key", "exact", "near", "output", "again")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1 and not written
+    assert sorted(r["key"] for r in got.collect()) == list(range(9))
+
+
+def test_each_stretch_is_cut_once():
+    from corpusloom.functions import stretches as S
+
+    texts = ["ez li malê bûm ez li malê", "li\n malê", ""] * 500
+    S.tokens_of.cache_clear()
+    t = S.Tokens.of(S.Texts.of(texts))
+    assert S.tokens_of.cache_info().misses == 4 and t.texts.written() == texts and [t.names[k] for k in t.ids[:9]] == "ez li malê bûm ez li malê li malê".split()
+    assert np.flatnonzero(t.starts())[:3].tolist() == [0, 7, 9]
+
+
+def test_stretches_are_as_expressions(spark):
+    from corpusloom.functions import casing, stretches as S
+    from corpusloom.functions import text as X
+    from corpusloom.functions import tokens as T
+
+    rng = random.Random(7)
+    odd = list("abÇİIıiŞßŉſΣσς09٣.,?!;'’-_@/<>=[]{}½²ẞƛɤ") + ["http://", "HTTPS://", "a@b.co", "A.b@C.Org", "é", "̇", "ࡰ", "\U00010570", "\U00011f51", "3.14", "1,5", "[[x]]", "<b>", "K", "Ω"]
+    texts = sorted({"".join(rng.choice(odd) for _ in range(rng.randrange(1, 9))) for _ in range(600)})
+    x = F.col("x")
+    kept = T.is_protected(x) | ~x.rlike(r"\p{L}")
+    rows = spark.createDataFrame([(t,) for t in texts], "x string").select("x", T.tokenize(x), casing.lower(x), casing.title(x), F.upper(x), kept, casing.event(x)).collect()
+    events = {None: 0, "SET": S.SET, "CONSUME": S.CONSUME, "CLEAR": S.CLEAR}
+    for t, toks, low, title, up, fixed, what in rows:
+        assert (list(S.tokens_of(t)[0]), S.lower(t), S.title(t), S.upper(t), S.keeps_case(t), S.event(t)) == (toks, low, title, up, fixed, events[what]), t
+    blank = sorted({"".join(rng.choice(["a", ".", " ", "\n", "\r", "\t", "\v", "\f", "\x85", "\xa0", "\x1c", " ", "B"]) for _ in range(9)) for _ in range(400)})
+    for t, w, s, near in spark.createDataFrame([(t,) for t in blank], "x string").select("x", X.normalize_whitespace(x), X.strip_supported(x), X.near_idempotent(x, F.lower(x))).collect():
+        assert (S.normalize_whitespace(t), S.strip_supported(t), S.near_idempotent(t, t.lower())) == (w, s, near), t
